@@ -38,20 +38,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def look_up(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+#: Parts into which the rows of a frequent key are dealt.
+SALTS = 64
+
+
+def frequent(left: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+    """The keys with more than one in `share` of left's rows, stored: fewer than `share` rows, whatever the data."""
+    often = left.groupBy(key).count().filter((F.col("count") > max(rows // share, 1)) & F.col(key).isNotNull())
+    return stored(often.select(key))
+
+
+def look_up(left: DataFrame, right: DataFrame, key: str, often: DataFrame) -> DataFrame:
     """left with right's columns, where right has one row at most for each key; rows without a match keep nulls.
 
-    A key with more than one in `share` of left's rows would fill one task. There are fewer than `share` such keys
-    whatever the data, so their rows of right are broadcast; the other keys are joined by shuffle.
-    left and right should be stored: each is read twice. rows: left's row count. A null key matches nothing.
+    often: of `frequent`. Rows of left with such a key would fill one task: they are dealt into SALTS parts by a hash of
+    the row, and right's rows for these keys (fewer than 1000) are repeated once for each part. A null key matches nothing.
     """
-    often = left.groupBy(key).count().filter((F.col("count") > max(rows // share, 1)) & F.col(key).isNotNull())
-    often = stored(often.select(key, F.lit(True).alias("_often")))
-    marked = left.join(F.broadcast(often), key, "left")
-    top = right.join(F.broadcast(often.select(key)), key, "left_semi")
-    by_broadcast = marked.filter(F.col("_often")).drop("_often").join(F.broadcast(top), key, "left")
-    by_shuffle = marked.filter(F.col("_often").isNull()).drop("_often").join(right.hint("shuffle_merge"), key, "left")
-    return by_shuffle.unionByName(by_broadcast)
+    mark = often.select(key, F.lit(True).alias("_often"))
+    salt = F.when(F.col("_often"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    parts = F.when(F.col("_often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(F.broadcast(mark), key, "left").withColumn("_salt", salt).drop("_often")
+    each = right.join(F.broadcast(mark), key, "left").withColumn("_salt", F.explode(parts)).drop("_often")
+    return salted.join(each.hint("merge"), [key, "_salt"], "left").drop("_salt")
 
 
 def bit_rows(keys: DataFrame, bit: Column) -> DataFrame:

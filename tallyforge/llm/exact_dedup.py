@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_rows, bit_set, look_up, stored
+from .common import bit_rows, bit_set, frequent, look_up, stored
 
 #: Characters of the normalised text in the second key.
 PREFIX = 64
@@ -70,7 +70,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("text_sha256", "group_size", F.col("_best.doc_id").alias("keep_id"), F.col("_best._row").alias("_keep"))
         .filter("group_size > 1")
     )
-    joined = look_up(narrow, groups, "text_sha256", narrow.count())
+    joined = look_up(narrow, groups, "text_sha256", frequent(narrow, "text_sha256", narrow.count()))
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",

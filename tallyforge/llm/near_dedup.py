@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import look_up, stored
+from .common import frequent, look_up, stored
 
 BITS = 64
 #: Shingles whose hash bits are counted at once.
@@ -115,8 +115,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hook = stored(step.groupBy("root").agg(F.min("_best").alias("_to")))
         for _ in range(2):  # a root's own target may have moved in this round
             up = hook.select(F.col("root").alias("_to"), F.col("_to").alias("_up"))
-            hook = stored(look_up(hook, up, "_to", hook.count()).select("root", F.coalesce(F.least("_up", "_to"), "_to").alias("_to")))
-        label = stored(look_up(step, hook, "root", n).select("fp", F.col("_to").alias("root")))
+            hook = stored(look_up(hook, up, "_to", frequent(hook, "_to", hook.count())).select("root", F.coalesce(F.least("_up", "_to"), "_to").alias("_to")))
+        label = stored(look_up(step, hook, "root", frequent(step, "root", n)).select("fp", F.col("_to").alias("root")))
     return nodes.join(label, "fp", "left").select("fp", F.coalesce("root", "rank").alias("root"))
 
 
@@ -133,7 +133,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     distinct = stored(fps.groupBy("fp").agg(rank.alias("rank")))
     edges = stored(links(distinct.select("fp"), distance))
     roots = stored(components(distinct, edges).select("fp", F.nullif(F.col("root.id"), F.lit(2**63 - 1)).alias("component_id")))
-    return look_up(fps, roots, "fp", fps.count()).select("doc_id", "fp", "component_id")
+    return look_up(fps, roots, "fp", frequent(fps, "fp", fps.count())).select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

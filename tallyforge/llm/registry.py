@@ -13,6 +13,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .near_dedup import hex_digits, near_dedup
 from .packing import pack
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 
 
@@ -61,8 +62,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op6_simhash": op6_simhash, "op7_decontamination": op7_decontamination, "op8_token_counts": op8_token_counts, "op9_packing": op9_packing}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op6_simhash": op6_simhash,
+        "op7_decontamination": op7_decontamination,
+        "op8_token_counts": op8_token_counts,
+        "op9_packing": op9_packing,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
