@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import hex_digits, near_dedup
 from .packing import pack
 from .substring_dedup import substring_dedup
+from .suffix_tree_lm import lm_scores
 from .token_counts import token_counts
 
 
@@ -37,6 +38,11 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
+    return lm_scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex_digits(out.fp).alias("fingerprint"), "component_id")
@@ -70,6 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_suffix_tree_lm": op3_suffix_tree_lm,
         "op6_simhash": op6_simhash,
         "op7_decontamination": op7_decontamination,
         "op8_token_counts": op8_token_counts,
