@@ -16,6 +16,7 @@ from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_tree_lm import lm_scores
 from .token_counts import token_counts
+from .toxicity import toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -38,6 +39,12 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    p = F.col("probabilities")
+    return out.select("doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), "toxic")
+
+
 def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1
     return lm_scores(table(spark, sf_dir, "documents"), held_out)
@@ -76,6 +83,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_suffix_tree_lm": op3_suffix_tree_lm,
         "op6_simhash": op6_simhash,
         "op7_decontamination": op7_decontamination,
