@@ -17,6 +17,7 @@ from .substring_dedup import substring_dedup
 from .suffix_tree_lm import lm_scores
 from .token_counts import token_counts
 from .toxicity import toxicity
+from .url_filter import url_filter
 
 
 def vocabulary(name: str) -> str:
@@ -50,6 +51,23 @@ def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), held_out)
 
 
+#: (verdict, host, path without its first /), as the query's contract names them.
+URL_RULES = [
+    ("block", "com", "en/"),
+    ("allow", "example.com", "en/7"),
+    ("allow", "net", "de/"),
+    ("block", "example.net", "de/8"),
+    ("block", "org", "es/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels' ids are taken as page ids; a page is bad if its label says poor quality or toxic."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), bad, URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined_rule.tokens", " ").alias("mined_tokens"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex_digits(out.fp).alias("fingerprint"), "component_id")
@@ -85,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_suffix_tree_lm": op3_suffix_tree_lm,
+        "op4_url_filter": op4_url_filter,
         "op6_simhash": op6_simhash,
         "op7_decontamination": op7_decontamination,
         "op8_token_counts": op8_token_counts,
