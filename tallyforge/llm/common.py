@@ -52,10 +52,11 @@ def look_up(left: DataFrame, right: DataFrame, key: str, often: DataFrame) -> Da
     """left with right's columns, where right has one row at most for each key; rows without a match keep nulls.
 
     often: of `frequent`. Rows of left with such a key would fill one task: they are dealt into SALTS parts by a hash of
-    the row, and right's rows for these keys (fewer than 1000) are repeated once for each part. A null key matches nothing.
+    the row, and right's rows for these keys (fewer than 1000) are repeated once for each part. A null key matches nothing; rows
+    with it are dealt out as well.
     """
     mark = often.select(key, F.lit(True).alias("_often"))
-    salt = F.when(F.col("_often"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    salt = F.when(F.col("_often") | F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS))).otherwise(0).cast("int")
     parts = F.when(F.col("_often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = left.join(F.broadcast(mark), key, "left").withColumn("_salt", salt).drop("_often")
     each = right.join(F.broadcast(mark), key, "left").withColumn("_salt", F.explode(parts)).drop("_often")

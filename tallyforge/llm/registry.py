@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .chat_format import Parameter, link_tool_calls
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
@@ -68,6 +69,54 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined_rule.tokens", " ").alias("mined_tokens"))
 
 
+#: The one tool of the query: what it may be given.
+REPLY_TOOL = {"reply": {"after": Parameter("string"), "prompt": Parameter("string", required=True, longest=2000), "turn": Parameter("integer", required=True)}}
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's turn is a call of the tool `reply`, which needs the user's turn before; the assistant's next turn is its result."""
+    call_id = lambda turn: F.concat(F.lit("call-"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
+    turn, role = F.col("turn"), F.col("role")
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        F.when(role == "user", "call").when(role == "assistant", "result").otherwise("message").alias("kind"),
+        F.when(role == "user", call_id(turn)).when(role == "assistant", call_id(turn - 1)).alias("id"),
+        F.when(role == "user", "reply").otherwise(role).alias("name"),
+        F.when(role == "user", F.to_json(F.struct(F.when(turn >= 2, call_id(turn - 2)).alias("after"), F.col("text").alias("prompt"), turn))).otherwise(F.col("text")).alias("payload"),
+        F.when((role == "user") & (turn >= 2), F.array(call_id(turn - 2))).alias("after"),
+    )
+    return link_tool_calls(turns, REPLY_TOOL).withColumn("errors", F.array_join("errors", "; "))
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN 'call-' || conv_id || '-' || turn WHEN 'assistant' THEN 'call-' || conv_id || '-' || (turn - 1) END AS id,
+    CASE WHEN role = 'user' AND turn >= 2 THEN 'call-' || conv_id || '-' || (turn - 2) END AS need
+  FROM conversations),
+ids AS (
+  SELECT id, min(turn) FILTER (kind = 'call') AS called, min(turn) FILTER (kind = 'result') AS answered,
+    count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'result') AS results
+  FROM t WHERE id IS NOT NULL GROUP BY id)
+SELECT t.conv_id, t.turn, t.kind, t.id, CASE kind WHEN 'call' THEN i.answered WHEN 'result' THEN i.called END AS partner_turn, 0 AS level,
+  CASE kind WHEN 'call' THEN concat_ws('; ',
+      CASE WHEN i.calls > 1 THEN 'repeated id' END,
+      CASE WHEN i.answered IS NULL THEN 'no result' END,
+      CASE WHEN i.answered <= turn THEN 'result before call' END,
+      CASE WHEN need IS NOT NULL AND n.called IS NULL THEN 'unknown need' END,
+      CASE WHEN text IS NULL THEN 'missing: prompt' END,
+      CASE WHEN length(text) > 2000 THEN 'too long: prompt' END)
+    WHEN 'result' THEN concat_ws('; ', CASE WHEN i.called IS NULL THEN 'no call' END, CASE WHEN i.results > 1 THEN 'repeated result' END)
+    ELSE '' END AS errors,
+  CASE kind WHEN 'call' THEN '{"arguments":{' || coalesce('"after":' || to_json(need) || ',', '') || coalesce('"prompt":' || to_json(text) || ',', '') || '"turn":' || turn || '},"id":' || to_json(t.id) || ',"name":"reply","type":"call"}'
+    WHEN 'result' THEN '{' || coalesce('"content":' || to_json(text) || ',', '') || '"id":' || to_json(t.id) || ',"type":"result"}'
+    ELSE '{' || coalesce('"content":' || to_json(text) || ',', '') || coalesce('"role":' || to_json(role) || ',', '') || '"type":"message"}' END AS json
+FROM t LEFT JOIN ids i ON t.id = i.id LEFT JOIN ids n ON t.need = n.id
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", hex_digits(out.fp).alias("fingerprint"), "component_id")
@@ -104,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_suffix_tree_lm": op3_suffix_tree_lm,
         "op4_url_filter": op4_url_filter,
+        "op5_tool_calls": op5_tool_calls,
         "op6_simhash": op6_simhash,
         "op7_decontamination": op7_decontamination,
         "op8_token_counts": op8_token_counts,
@@ -113,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_tool_calls": OP5_SQL}
