@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; its package is imported where it is asked for only."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of our own only where the session names none (local tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,6 +45,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A column of that name is added to documents for a while.
+ROW = "_tallyforge_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, stored, with the column ROW that tells its rows apart, equal ones too."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `numbered` docs whose ROW is not in dropped, without that column."""
+    return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
+
+
 #: Parts into which the rows of a frequent key are dealt.
 SALTS = 64
 

@@ -6,7 +6,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -104,6 +104,46 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: i
     return docs.mapInArrow(run, "doc_id long, n_words long, hit array<int>, items array<string>, _row long")
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The benchmark as (i, t), and into how many blocks it is dealt."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    total = items.select(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    return items, max(1, -(-total // block_bytes))
+
+
+def _block(items: DataFrame, n: int, k: int) -> list[tuple[str | None, str | None]]:
+    return [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+
+
+def _hit(spark: SparkSession, items: list[tuple[str | None, str | None]], window: int):
+    sent = spark.sparkContext.broadcast(items)
+
+    @F.arrow_udf("boolean")
+    def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary, machines, _ = searchers(sent.value, window)
+        known = vocabulary.get
+        for batch in texts:
+            found = []
+            for t in batch:
+                ids = [known(w, -1) for w in words(t.as_py())]
+                found.append(any(next(m.find(ids), None) for m in machines))
+            yield pa.array(found, pa.bool_())
+
+    return hit
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a hit by `contamination`, all columns as they are; a null text has no hits and stays.
+
+    A benchmark of several blocks is searched for block by block, each among the documents that the blocks before left.
+    """
+    items, n = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    for k in range(n):
+        docs = docs.filter(~_hit(docs.sparkSession, _block(items, n, k), window)(F.col(text_col).cast("string")))
+        docs = stored(docs) if k + 1 < n else docs
+    return docs
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -115,20 +155,16 @@ def contamination(
     not shuffled. The benchmark's tables are sent to the tasks only up to `block_bytes` of text at once (or one item):
     a larger benchmark is dealt into blocks, each searched for in a scan of its own, and the scans' hits are united.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
-    total = items.select(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = max(1, -(-total // block_bytes))
+    items, n = _blocks(benchmark, item_col, item_text_col, block_bytes)
     if n == 1:
-        return _scan(base.withColumn("_row", F.lit(0).cast("long")), [tuple(r) for r in items.collect()], window).drop("_row")
+        return _scan(base.withColumn("_row", F.lit(0).cast("long")), _block(items, 1, 0), window).drop("_row")
     base = stored(base.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "_text")).select("doc_id", "_text", "_row")
     parts = []
     for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        parts.append(stored(_scan(base, [tuple(r) for r in block], window)))
-    every = spark.createDataFrame([], parts[0].schema)
-    for p in parts:
+        parts.append(stored(_scan(base, _block(items, n, k), window)))
+    every = parts[0]
+    for p in parts[1:]:
         every = every.unionByName(p)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     return every.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), flat("hit").alias("hit"), flat("items").alias("items")).drop("_row")

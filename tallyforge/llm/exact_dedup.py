@@ -24,20 +24,21 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts, the one with the most code points in the original text stays, then the one with the smallest id (a
     null id comes last); rows equal even in that count as copies of which one stays. text_sha256 is null for
     documents that the first two keys show to be alone, unless hash_all is set. An empty table gives an empty result;
-    other columns are not read.
+    other columns are not read. row_col: a column that numbers the rows; it is added to
+    the result.
 
     Step 1 scans for length and prefix hash and counts groups. Step 2 scans again and hashes whole texts only where the
     (length, prefix hash) group has two rows or more. The groups that survive step 1 reach step 2 as a filter of
     FILTER_BITS bits, so its size does not follow the data; a false positive costs one hash. Texts are never shuffled.
     """
     norm = normalised(F.col("_text"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"))
     group = [F.char_length(norm).alias("norm_len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix_hash")]
     bit = F.pmod(F.xxhash64("norm_len", "prefix_hash"), F.lit(FILTER_BITS)) + 1
 
@@ -45,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_prefix = base.select(*group).groupBy("norm_len", "prefix_hash").count()
     survivors = stored(bit_rows(by_prefix.filter(F.col("count") > 1), bit))
 
-    keyed = base.select("doc_id", "_text", F.coalesce(F.char_length("_text"), F.lit(0)).alias("n_points"), *group)
+    keyed = base.select("doc_id", "_text", "_row", F.coalesce(F.char_length("_text"), F.lit(0)).alias("n_points"), *group)
     keyed = keyed.withColumn("_bit", bit)
     keyed = keyed.withColumn("bit_row", F.bitmap_bucket_number("_bit")).join(F.broadcast(survivors), "bit_row", "left")
     alive = bit_set(F.col("bits"), F.col("_bit"))
@@ -56,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "n_points",
             alive.alias("_alive"),
             F.sha2(full, 256).alias("text_sha256"),
-            F.monotonically_increasing_id().alias("_row"),
+            "_row",
         )
     )
 
@@ -78,4 +79,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("_row") == F.col("_keep"))).alias("kept"),
         "text_sha256",
+        *([F.col("_row").alias(row_col)] if row_col else []),
     )

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .common import frequent, look_up, stored
 
 BITS = 64
+#: A null id comes after all others.
+LAST = 2**63 - 1
 #: Shingles whose hash bits are counted at once.
 CHUNK = 1 << 16
 
@@ -36,17 +38,17 @@ def fingerprint(text: str | None, width: int) -> int:
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp as a signed long. A null or wordless text has fp 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, row_col: str | None = None) -> DataFrame:
+    """(doc_id, _row, fp): fp as a signed long. A null or wordless text has fp 0. row_col: a column that numbers the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps], ["doc_id", "_row", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        run, "doc_id long, fp long"
-    )
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    return base.mapInArrow(run, "doc_id long, _row long, fp long")
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -120,20 +122,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label, "fp", "left").select("fp", F.coalesce("root", "rank").alias("root"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (the smallest doc_id of its group).
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, fp (signed long), component_id (the smallest doc_id of its group), kept (one row of each group).
 
     Links are sought between different fingerprints only, so that copies cost nothing: one table row for each text
     class. Null ids take part; they name a group only if it has no other id (component_id is then null). Repeated rows
-    give repeated rows; an empty table an empty result; further columns are not read.
+    give repeated rows, one of them kept at most; an empty table an empty result; further columns are not read. row_col: a
+    column that numbers the rows; it is added to the result.
     """
-    fps = stored(fingerprints(docs, id_col, text_col, shingle))
-    # Null ids rank last; several groups of only null ids must not meet, so the rank is (id, fp).
-    rank = F.struct(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("id"), F.first("fp").alias("fp"))
+    fps = stored(fingerprints(docs, id_col, text_col, shingle, row_col))
+    # Null ids rank last.
+    rank = F.min(F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "_row"))
     distinct = stored(fps.groupBy("fp").agg(rank.alias("rank")))
     edges = stored(links(distinct.select("fp"), distance))
-    roots = stored(components(distinct, edges).select("fp", F.nullif(F.col("root.id"), F.lit(2**63 - 1)).alias("component_id")))
-    return look_up(fps, roots, "fp", frequent(fps, "fp", fps.count())).select("doc_id", "fp", "component_id")
+    roots = components(distinct, edges).select("fp", F.nullif(F.col("root.id"), F.lit(LAST)).alias("component_id"), F.col("root._row").alias("_keep"))
+    out = look_up(fps, stored(roots), "fp", frequent(fps, "fp", fps.count())).withColumn("kept", F.col("_row") == F.col("_keep"))
+    return out.select("doc_id", "fp", "component_id", "kept", *([F.col("_row").alias(row_col)] if row_col else []))
 
 
 def hex_digits(fp: Column) -> Column:

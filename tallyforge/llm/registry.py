@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from .chat_format import Parameter, link_tool_calls
-from .common import table
+from .common import table, vocabulary
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .near_dedup import hex_digits, near_dedup
@@ -21,12 +21,6 @@ from .toxicity import toxicity
 from .url_filter import url_filter
 
 
-def vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), hash_all=True)
 
@@ -149,6 +143,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_exact_dedup": op1_exact_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_suffix_tree_lm": op3_suffix_tree_lm,

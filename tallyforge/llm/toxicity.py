@@ -205,6 +205,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] |
     return out.withColumn("toxic", F.col("probabilities")[len(chain.links) - 1] >= threshold)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that `toxicity` does not call toxic, with their own columns only."""
+    chain = fit(docs, labels, categories or default_categories(), id_col, text_col)
+    return docs.filter(chain.probabilities(F.col(text_col).cast("string"))[len(chain.links) - 1] < threshold)
+
+
 def default_categories() -> dict[str, Column]:
     """The categories of the table labels: poor quality first, as it comes with toxic texts, then toxic."""
     return {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
