@@ -92,6 +92,22 @@ def chosen(sample: DataFrame, ys: list[str], total: int, positive: dict[str, int
     return sorted(set(best))
 
 
+def _presence(features: list[int]):
+    wanted = np.array(features, dtype=np.int64)
+
+    @F.arrow_udf("array<double>")
+    def presence(lists: pa.Array) -> pa.Array:
+        out = np.zeros((len(lists), len(wanted)))
+        if len(wanted):
+            flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            at = np.minimum(np.searchsorted(wanted, flat), len(wanted) - 1)
+            there = wanted[at] == flat
+            out[row[there], at[there]] = 1.0
+        return pa.array(list(out), pa.list_(pa.float64()))
+
+    return presence
+
+
 @dataclass
 class Link:
     """One category's model: weights of the features, then of the earlier categories' probabilities."""
@@ -168,10 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_co
     if not first.n:
         return Chain([], [Link(c, -12.0, np.zeros(0), np.zeros(i)) for i, c in enumerate(categories)])
     features = chosen(sample, ys, first.n, {y: first[y] for y in ys}, most)
-    wanted = F.array(*(F.lit(f) for f in features)).cast("array<bigint>")
-    # Presence as 0 or 1 in the features' order: at most `rows` times twice `most` numbers, mostly zeros.
-    present = F.map_from_entries(F.transform(F.array_intersect("feats", wanted), lambda f: F.struct(f, F.lit(1.0))))
-    dense = sample.withColumn("_m", present).select(*ys, "fold", array_to_vector(F.transform(wanted, lambda f: F.coalesce(F.col("_m")[f], F.lit(0.0)))).alias("_f"))
+    # At most `rows` times twice `most` zeros and ones.
+    dense = sample.select(*ys, "fold", array_to_vector(_presence(features)(F.col("feats"))).alias("_f"))
     table = stored(dense.coalesce(8))
 
     links, inputs = [], ["_f"] if features else []
