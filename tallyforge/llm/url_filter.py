@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -17,12 +18,10 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-#: Mined from about so many labelled pages, each with its rarest MOST_ITEMS frequent tokens at most: long token lists have too many subsets.
-SAMPLE, MOST_ITEMS = 200_000, 12
+#: Mined from about so many labelled pages.
+SAMPLE = 200_000
 #: A rule holds for at least this share of the labelled pages, and this many of them; this share of those it holds for are blocked.
 SUPPORT, LEAST_PAGES, CONFIDENCE = 0.001, 8, 0.8
-#: The rules kept, by confidence, support and brevity.
-MOST_RULES = 1000
 BLOCKED = "=block"
 
 
@@ -57,10 +56,12 @@ def verdict_of_rules(url: Column, rules: list[tuple[str, str, str]]) -> tuple[Co
     return rule, verdict
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST_RULES) -> list[tuple[tuple[str, ...], float, float]]:
-    """(tokens, support, confidence) of the rules tokens -> block; labelled: (tokens array<string>, block boolean).
+def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[tuple[str, ...], float, float]]:
+    """(tokens, support, confidence) of the rules tokens -> block, by confidence, support and brevity; labelled: (tokens array<string>, block boolean).
 
-    The rules of longer token lists are left out where a sublist's rule is as confident.
+    The rules of longer token lists are left out where a sublist's rule is as confident. All other rules with that support and
+    confidence are there. Tokens that stand in the same rows are mined as one item, which loses nothing: the rule of any
+    of their combinations holds for the same rows as that of one of them, so each of them takes the item's place in turn.
     """
     total = labelled.count()
     if not total:
@@ -77,17 +78,36 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
         .agg(F.count("*").alias("n"), F.count_if("block").alias("k"))
         .filter((F.col("k") >= share * total) & (F.col("n") < total))
     )
-    rarest = F.slice(F.array_sort(F.collect_list(F.struct("n", "token"))), 1, MOST_ITEMS).getField("token")
-    items = each.join(stored(often).drop("k"), "token").groupBy("_row").agg(rarest.alias("items")).join(rows.select("_row", "block"), "_row")
+    rows_of = each.join(stored(often).select("token"), "token")
+    # The same rows: the same number of them and the same sums of two hashes of each.
+    sums = [F.sum(F.xxhash64("_row", F.lit(i)).cast("decimal(38,0)")).alias(f"_{i}") for i in (1, 2)]
+    alike = rows_of.groupBy("token").agg(F.count("*").alias("n"), *sums)
+    groups = stored(alike.groupBy("n", "_1", "_2").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.col("members")[0].alias("token"), "members"))
+    members = {r.token: r.members for r in groups.collect()}
+    items = rows_of.join(groups.select("token"), "token").groupBy("_row").agg(F.collect_list("token").alias("items")).join(rows.select("_row", "block"), "_row")
     items = items.select(F.when(F.col("block"), F.array_append("items", BLOCKED)).otherwise(F.col("items")).alias("items"))
     n_items = items.count()
     if not n_items:
         return []
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, share * total / n_items), minConfidence=confidence).fit(items)
-    found = model.associationRules.filter(F.array_contains("consequent", BLOCKED)).orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent"))
-    rules = [(tuple(sorted(r.antecedent)), r.support * n_items / total, r.confidence) for r in found.limit(most).collect()]
-    known = {frozenset(t): c for t, _, c in rules}
-    return [(t, s, c) for t, s, c in rules if not any(o < set(t) and known[o] >= c for o in known)]
+    found = stored(model.associationRules.filter(F.array_contains("consequent", BLOCKED)).select(F.array_sort("antecedent").alias("own"), "support", "confidence"))
+    # A rule whose sublist's is as confident goes, before anything is sent; a sublist is not longer, so all its items are in the longer one.
+    sizes = [r[0] for r in found.select(F.size("own")).distinct().orderBy(F.size("own")).collect()]
+    kept: list[tuple[tuple[str, ...], float, float]] = []
+    by_item: dict[str, list[int]] = defaultdict(list)
+    for size in sizes:
+        new = []
+        for r in found.filter(F.size("own") == size).toLocalIterator():
+            own = set(r.own)
+            near = Counter(k for t in own for k in by_item.get(t, ()))
+            if not any(n == len(kept[k][0]) and kept[k][2] >= r.confidence for k, n in near.items()):
+                new.append((tuple(r.own), r.support * n_items / total, r.confidence))
+        for rule in new:
+            for t in rule[0]:
+                by_item[t].append(len(kept))
+            kept.append(rule)
+    whole = [(tuple(sorted(x)), s, c) for own, s, c in kept for x in product(*(members[t] for t in own))]
+    return sorted(whole, key=lambda r: (-r[2], -r[1], len(r[0]), r[0]))
 
 
 class Index:
