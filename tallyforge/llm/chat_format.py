@@ -61,20 +61,54 @@ def schema_errors(name: Column, payload: Column, schemas: dict[str, dict[str, Pa
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): 0 where nothing is needed, else one more than the highest level needed; null on and behind cycles.
 
-    nodes: (node), distinct. edges: (node, needs), distinct, both in nodes. A round takes off all that needs nothing more, so there are
-    as many rounds as levels; each round is stored.
+    nodes: (node), distinct. edges: (node, needs), distinct, both in nodes. A node that needs one other is a link of a chain. Chains are
+    shortened by doubling: each round a link takes over where the one it points to points, so a chain of n calls takes log2 n rounds.
+    Only nodes that need several others take a round for each level of such nodes. Each round is stored.
     """
-    left, needed, done, level = stored(nodes), stored(edges), [], 0
+    needs = edges.groupBy("node").agg(F.count("*").alias("kind"), F.min("needs").alias("to"))
+    nodes = stored(nodes.join(needs, "node", "left").select("node", F.coalesce("kind", F.lit(0)).alias("kind"), "to"))
+    links = nodes.filter("kind = 1").select("node", "to")
+    ends = nodes.select(F.col("node").alias("to"), "kind")
+    first = stored(look_up(links, ends, "to", frequent(links, "to", links.count())).select("node", "to", F.lit(1).alias("dist"), "kind"))
+    closed, chained = first.filter("kind <> 1"), first.filter("kind = 1")
+    n = chained.count()
+    while n:
+        ahead = closed.unionByName(chained).select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("dist").alias("_dist"), F.col("kind").alias("_kind"))
+        jumped = look_up(chained, ahead, "to", frequent(chained, "to", n))
+        step = stored(jumped.select("node", F.col("_to").alias("to"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_kind").alias("kind")))
+        closed, chained = closed.unionByName(step.filter("kind <> 1")), step.filter("kind = 1")
+        before, n = n, chained.count()
+        if n == before:  # some end of a chain is reached in each round: what is left runs into cycles
+            break
+    known = nodes.filter("kind = 0").select("node", F.lit(0).alias("level"))
+    several = nodes.filter("kind > 1").select("node")
+    if not several.isEmpty():
+        known = stored(known.unionByName(_branch_levels(several, edges, known, closed)))
+    ranked = look_up(closed.select("node", "to", "dist"), known.select(F.col("node").alias("to"), "level"), "to", frequent(closed, "to", closed.count()))
+    out = known.unionByName(ranked.select("node", (F.col("level") + F.col("dist")).alias("level")))
+    never = chained.select("node", F.lit(None).cast("int").alias("level"))
+    return out.unionByName(never).unionByName(several.join(known, "node", "left_anti").select("node", F.lit(None).cast("int").alias("level")))
+
+
+def _branch_levels(several: DataFrame, edges: DataFrame, known: DataFrame, chains: DataFrame) -> DataFrame:
+    """(node, level) of the nodes that need several others and are not on or behind a cycle; chains: (node, to, dist) of the links."""
+    own = edges.join(several, "node", "left_semi")
+    ways = chains.select(F.col("node").alias("needs"), "to", "dist")
+    own = look_up(own, ways, "needs", frequent(own, "needs", own.count()))
+    waiting = stored(own.select("node", F.coalesce("to", "needs").alias("to"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")))
+    newly, done, best = known, [], None
     while True:
-        ready = stored(left.join(needed.select("node").distinct(), "node", "left_anti"))
-        if ready.isEmpty():
+        hit = stored(look_up(waiting, newly.select(F.col("node").alias("to"), "level"), "to", frequent(waiting, "to", waiting.count())))
+        got = hit.filter("level is not null").select("node", (F.col("level") + F.col("dist")).alias("level"))
+        waiting = hit.filter("level is null").drop("level")
+        best = stored((got if best is None else best.unionByName(got)).groupBy("node").agg(F.max("level").alias("level")))
+        newly = stored(best.join(waiting, "node", "left_anti"))
+        if newly.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        left = stored(left.join(ready, "node", "left_anti"))
-        needed = stored(needed.join(ready.withColumnRenamed("node", "needs"), "needs", "left_anti").select("node", "needs"))
-        level += 1
-    out = left.withColumn("level", F.lit(None).cast("int"))
-    for part in done:
+        done.append(newly)
+        best = best.join(waiting, "node", "left_semi")
+    out = done[0] if done else known.limit(0)
+    for part in done[1:]:
         out = out.unionByName(part)
     return out
 
@@ -87,10 +121,9 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict[str, Parameter]])
     after (array<string>: ids of the calls that a call needs). Further columns are not read.
 
     Calls and results meet by (conv_id, id): partner_turn is the first turn of the other kind. (level, turn) puts calls
-    after what they need, and results with their calls. Where all of a conversation's calls need earlier turns only, its
-    turns are such an order already and every level is 0; calls of the other conversations get the level of `levels`,
-    null for a cycle. A null conv_id or id links nothing. Repeated rows give repeated rows, with the error "repeated id"
-    for calls and "repeated result" for results; an empty table gives none.
+    after what they need, and results with their calls: a call's level is that of `levels`, null for a cycle, a result's that of its
+    call, and 0 for all other rows. Needs that no call answers to do not count. A null conv_id or id links nothing. Repeated rows give
+    repeated rows, with the error "repeated id" for calls and "repeated result" for results; an empty table gives none.
 
     json has its keys in order, without white space or null members; arguments that are no JSON stay a string.
     """
@@ -115,20 +148,14 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict[str, Parameter]])
     wanted = stored(needs)
     n_needs = wanted.count()
     edges = stored(look_up(wanted, ids.select("_key", "_called"), "_key", frequent(wanted, "_key", n_needs)).withColumn("lost", F.col("_called").isNull()))
-    lost = edges.filter("lost").select("node").distinct()
-    odd = stored(edges.filter("not lost and _called >= turn").select("conv_id").distinct())
-
-    rows = look_up(base, ids, "_key", frequent(base.filter(F.col("_key").isNotNull()), "_key", base.count()))
-    rows = rows.withColumn("_odd", F.lit(False)).withColumn("_level", F.lit(0)).withColumn("_lost", F.lit(False))
-    if not odd.isEmpty():
-        inside = edges.filter("not lost").join(odd, "conv_id", "left_semi").select("node", F.col("_key").alias("needs")).distinct()
-        nodes = base.filter(is_call).join(odd, "conv_id", "left_semi").filter(F.col("_key").isNotNull()).select(F.col("_key").alias("node")).distinct()
-        found = stored(levels(nodes, inside).select(F.col("node").alias("_key"), F.col("level").alias("_own"), F.lit(True).alias("_ranked")))
-        rows = look_up(rows.drop("_odd", "_level"), found, "_key", frequent(rows, "_key", rows.count()))
-        rows = rows.withColumn("_odd", F.coalesce("_ranked", F.lit(False))).withColumn("_level", F.when(F.col("_odd"), F.col("_own")).otherwise(0)).drop("_own", "_ranked")
-    if not lost.isEmpty():
-        marks = stored(lost.select(F.col("node").alias("_key"), F.lit(True).alias("_gone")))
-        rows = look_up(rows.drop("_lost"), marks, "_key", frequent(rows, "_key", rows.count())).withColumn("_lost", F.coalesce("_gone", F.lit(False))).drop("_gone")
+    lost = edges.filter("lost").select(F.col("node").alias("_key"), F.lit(True).alias("_lost")).distinct()
+    calls = ids.filter("_calls > 0").select(F.col("_key").alias("node"))
+    found = levels(calls, edges.filter("not lost").select("node", F.col("_key").alias("needs")).distinct())
+    # All three have one row for each key.
+    ranked = ids.join(found.select(F.col("node").alias("_key"), "level"), "_key", "left").join(lost, "_key", "left")
+    info = stored(ranked.withColumn("_level", F.when(F.col("_calls") > 0, F.col("level")).otherwise(0)).drop("level"))
+    rows = look_up(base, info, "_key", frequent(base.filter(F.col("_key").isNotNull()), "_key", base.count()))
+    rows = rows.withColumn("_level", F.when(F.col("_key").isNotNull(), F.col("_level")).otherwise(0))
 
     none = F.array().cast("array<string>")
     call_errors = F.concat(
@@ -139,7 +166,7 @@ def link_tool_calls(turns: DataFrame, schemas: dict[str, dict[str, Parameter]])
                 _when(F.col("_key").isNotNull() & F.col("_answered").isNull(), "no result"),
                 _when(F.col("_answered") <= F.col("turn"), "result before call"),
                 _when(F.col("_lost"), "unknown need"),
-                _when(F.col("_odd") & F.col("_level").isNull(), "cycle"),
+                _when(F.col("_level").isNull(), "cycle"),
             )
         ),
         schema_errors(F.col("name"), F.col("payload"), schemas),

@@ -57,9 +57,8 @@ URL_RULES = [
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels' ids are taken as page ids; a page is bad if its label says poor quality or toxic."""
-    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), bad, URL_RULES)
+    """No table says which pages are bad: the verdicts of the query's own rules are the labels that more rules are mined from."""
+    out = url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), None, None, URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", F.array_join("mined_rule.tokens", " ").alias("mined_tokens"))
 
 
@@ -84,7 +83,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH t AS (
+WITH RECURSIVE t AS (
   SELECT conv_id, turn, role, text,
     CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
     CASE role WHEN 'user' THEN 'call-' || conv_id || '-' || turn WHEN 'assistant' THEN 'call-' || conv_id || '-' || (turn - 1) END AS id,
@@ -93,8 +92,11 @@ WITH t AS (
 ids AS (
   SELECT id, min(turn) FILTER (kind = 'call') AS called, min(turn) FILTER (kind = 'result') AS answered,
     count(*) FILTER (kind = 'call') AS calls, count(*) FILTER (kind = 'result') AS results
-  FROM t WHERE id IS NOT NULL GROUP BY id)
-SELECT t.conv_id, t.turn, t.kind, t.id, CASE kind WHEN 'call' THEN i.answered WHEN 'result' THEN i.called END AS partner_turn, 0 AS level,
+  FROM t WHERE id IS NOT NULL GROUP BY id),
+calls AS (SELECT DISTINCT t.id, n.id AS need FROM t LEFT JOIN ids n ON t.need = n.id AND n.calls > 0 WHERE t.kind = 'call' AND t.id IS NOT NULL),
+l AS (SELECT id, 0 AS level FROM calls WHERE need IS NULL UNION ALL SELECT c.id, l.level + 1 FROM calls c JOIN l ON c.need = l.id)
+SELECT t.conv_id, t.turn, t.kind, t.id, CASE kind WHEN 'call' THEN i.answered WHEN 'result' THEN i.called END AS partner_turn,
+  CASE WHEN i.calls > 0 AND kind <> 'message' THEN l.level ELSE 0 END AS level,
   CASE kind WHEN 'call' THEN concat_ws('; ',
       CASE WHEN i.calls > 1 THEN 'repeated id' END,
       CASE WHEN i.answered IS NULL THEN 'no result' END,
@@ -107,7 +109,7 @@ SELECT t.conv_id, t.turn, t.kind, t.id, CASE kind WHEN 'call' THEN i.answered WH
   CASE kind WHEN 'call' THEN '{"arguments":{' || coalesce('"after":' || to_json(need) || ',', '') || coalesce('"prompt":' || to_json(text) || ',', '') || '"turn":' || turn || '},"id":' || to_json(t.id) || ',"name":"reply","type":"call"}'
     WHEN 'result' THEN '{' || coalesce('"content":' || to_json(text) || ',', '') || '"id":' || to_json(t.id) || ',"type":"result"}'
     ELSE '{' || coalesce('"content":' || to_json(text) || ',', '') || coalesce('"role":' || to_json(role) || ',', '') || '"type":"message"}' END AS json
-FROM t LEFT JOIN ids i ON t.id = i.id LEFT JOIN ids n ON t.need = n.id
+FROM t LEFT JOIN ids i ON t.id = i.id LEFT JOIN ids n ON t.need = n.id LEFT JOIN l ON t.id = l.id
 """
 
 

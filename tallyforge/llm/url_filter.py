@@ -23,6 +23,8 @@ SAMPLE = 200_000
 #: A rule holds for at least this share of the labelled pages, and this many of them; this share of those it holds for are blocked.
 SUPPORT, LEAST_PAGES, CONFIDENCE = 0.001, 8, 0.8
 BLOCKED = "=block"
+#: Rules in one index of a task; more of them take several.
+BLOCK = 100_000
 
 
 def host(url: Column) -> Column:
@@ -125,8 +127,13 @@ class Index:
         return min((k for k, n in hits.items() if n == len(self.rules[k][0])), default=None)
 
 
-def matched(own: Column, rules: list[tuple[tuple[str, ...], float, float]]) -> Column:
-    """Of the tokens in own: the matching rule as struct<tokens, confidence>, or null."""
+def matched(own: Column, rules: list[tuple[tuple[str, ...], float, float]], block: int = BLOCK) -> Column:
+    """Of the tokens in own: the first matching rule as struct<tokens, confidence>, or null. Each index holds `block` rules at most."""
+    parts = [rules[i : i + block] for i in range(0, len(rules), block)]
+    return F.coalesce(*(_match(x)(own) for x in parts or [[]]))
+
+
+def _match(rules: list[tuple[tuple[str, ...], float, float]]):
     index = Index(rules)
     kind = pa.struct([("tokens", pa.list_(pa.string())), ("confidence", pa.float64())])
 
@@ -135,28 +142,36 @@ def matched(own: Column, rules: list[tuple[tuple[str, ...], float, float]]) -> C
         best = [index.best(x) for x in lists.to_pylist()]
         return pa.array([None if k is None else {"tokens": list(rules[k][0]), "confidence": rules[k][2]} for k in best], kind)
 
-    return match(own)
+    return match
+
+
+def _labelled(pages: DataFrame, labels: DataFrame, bad: Column, id_col: str, url_col: str, label_id: str) -> DataFrame:
+    """(id, url, block) of the pages with a label; several labels of an id count as the bad one."""
+    known = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg((F.coalesce(F.max(bad.cast("int")), F.lit(0)) == 1).alias("block"))
+    return pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url")).join(known, "_id")
 
 
 def url_filter(
-    pages: DataFrame, labels: DataFrame, bad: Column, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rows: int = SAMPLE
+    pages: DataFrame, labels: DataFrame | None, bad: Column | None, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", rows: int = SAMPLE
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, mined_rule (struct, null where none matches).
 
-    A page is labelled where labels has its id; several labels count as the bad one, null ids and null labels as none.
+    A page is labelled where labels has its id; several labels count as the bad one, null ids and null labels as none. Without
+    a table of labels (None), the verdicts of `rules` are the labels of the pages that they fit.
     A fitting rule of `rules` decides, else a mined rule blocks, else the page is allowed. A null url has an empty host
     and path and is allowed unless mined rules say otherwise; repeated rows give repeated rows; empty tables give no
-    rows, or no mined rules. Only mining is bounded: about `rows` labelled pages, picked by a hash of their id.
+    rows, or no mined rules. Only mining is bounded: about `rows` labelled pages, picked by a hash of the url.
     """
-    known = labels.filter(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.coalesce(F.max(bad.cast("int")), F.lit(0)).alias("_bad"))
-    n = labels.count()
-    if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    own = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"))
-    labelled = own.join(known, "_id").select(tokens(F.col("_url")).alias("tokens"), (F.col("_bad") == 1).alias("block"))
-    found = mined(labelled)
     url = F.col("_url")
     rule, verdict = verdict_of_rules(url, rules)
+    if labels is None:
+        known = pages.select(F.col(url_col).cast("string").alias("_url")).select("_url", (verdict == "block").alias("block")).filter("block is not null")
+    else:
+        known = _labelled(pages, labels, bad, id_col, url_col, label_id)
+    n = known.count()
+    if n > rows:
+        known = known.filter(F.pmod(F.xxhash64("_url", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    found = mined(known.select(tokens(url).alias("tokens"), "block"))
     out = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("_url"))
     out = out.select("page_id", host(url).alias("host"), path(url).alias("path"), rule.alias("rule"), verdict.alias("_verdict"), tokens(url).alias("_tokens"))
     out = out.withColumn("mined_rule", matched(F.col("_tokens"), found))
