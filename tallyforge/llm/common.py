@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Bits in one row of a filter: bitmap_construct_agg makes bitmaps of 4 KB.
 ROW_BITS = 32768
 
@@ -24,27 +23,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (local tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as a table in the shared folder and read back.
-
-    It cuts the lineage, so that a lost executor costs no more than one step, and keeps what is read several times
-    from being computed several times.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tallyforge-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A column of that name is added to documents for a while.
 ROW = "_tallyforge_row"
 
@@ -55,8 +33,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of `numbered` docs whose ROW is not in dropped, without that column."""
-    return docs.join(dropped.select(ROW), ROW, "left_anti").drop(ROW)
+    """The rows of `numbered` docs whose ROW is not in dropped, without that column.
+
+    The numbers are stored first: by their size Spark sends them to the tasks, or joins by a shuffle where they are many.
+    """
+    return docs.join(stored(dropped.select(ROW)), ROW, "left_anti").drop(ROW)
 
 
 #: Parts into which the rows of a frequent key are dealt.

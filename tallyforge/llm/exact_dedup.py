@@ -8,12 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_rows, bit_set, frequent, look_up, stored
+from .common import ROW_BITS, bit_rows, bit_set, frequent, look_up, stored
 
 #: Characters of the normalised text in the second key.
 PREFIX = 64
-#: Bits of the filter that carries the surviving groups into the second scan: 32 rows of 4 KB.
-FILTER_BITS = 1 << 20
+#: Bits of the filter that carries the surviving groups into the second scan, for each of them; at least one row of 4 KB.
+BITS_EACH = 16
+#: Bits of a filter that is sent to all tasks (64 MB); a larger one is joined.
+SENT_BITS = 1 << 29
 
 
 def normalised(text: Column) -> Column:
@@ -35,20 +37,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Step 1 scans for length and prefix hash and counts groups. Step 2 scans again and hashes whole texts only where the
     (length, prefix hash) group has two rows or more. The groups that survive step 1 reach step 2 as a filter of
-    FILTER_BITS bits, so its size does not follow the data; a false positive costs one hash. Texts are never shuffled.
+    BITS_EACH bits for each; a false positive costs one hash. Texts are shuffled only where the filter is too large to be sent.
     """
     norm = normalised(F.col("_text"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"))
     group = [F.char_length(norm).alias("norm_len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix_hash")]
-    bit = F.pmod(F.xxhash64("norm_len", "prefix_hash"), F.lit(FILTER_BITS)) + 1
 
-    # Groups by length and, within those of two rows or more, by prefix hash.
-    by_prefix = base.select(*group).groupBy("norm_len", "prefix_hash").count()
-    survivors = stored(bit_rows(by_prefix.filter(F.col("count") > 1), bit))
+    # Groups by length and, within those of two rows or more, by prefix hash: a pair of both that is there twice is so by its length as well.
+    twice = stored(base.select(*group).groupBy("norm_len", "prefix_hash").count().filter("count > 1"))
+    bits = max(ROW_BITS, 1 << (BITS_EACH * twice.count()).bit_length())
+    bit = F.pmod(F.xxhash64("norm_len", "prefix_hash"), F.lit(bits)) + 1
+    survivors = stored(bit_rows(twice, bit))
 
     keyed = base.select("doc_id", "_text", "_row", F.coalesce(F.char_length("_text"), F.lit(0)).alias("n_points"), *group)
     keyed = keyed.withColumn("_bit", bit)
-    keyed = keyed.withColumn("bit_row", F.bitmap_bucket_number("_bit")).join(F.broadcast(survivors), "bit_row", "left")
+    sent = F.broadcast(survivors) if bits <= SENT_BITS else survivors
+    keyed = keyed.withColumn("bit_row", F.bitmap_bucket_number("_bit")).join(sent, "bit_row", "left")
     alive = bit_set(F.col("bits"), F.col("_bit"))
     full = norm if hash_all else F.when(alive, norm)
     narrow = stored(
@@ -61,13 +65,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
     )
 
-    # The third key. max_by's order: most code points, then smallest id, nulls last, then one row of several.
-    rank = F.struct("n_points", (-F.coalesce("doc_id", F.lit(2**63 - 1))).alias("_id"), (-F.col("_row")).alias("_r"))
-    alike = narrow.filter("_alive").select("text_sha256", "doc_id", "_row", rank.alias("_rank"))
-    best = F.max(F.struct("_rank", "doc_id", "_row"))
+    # The third key. Most code points first, then the smallest id, nulls last, then one row of several.
+    rank = F.struct((-F.col("n_points")).alias("_n"), F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")
+    alike = narrow.filter("_alive").select("text_sha256", rank.alias("_rank"))
     groups = stored(
         alike.groupBy("text_sha256")
-        .agg(best.alias("_best"), F.count("*").alias("group_size"))
+        .agg(F.min("_rank").alias("_best"), F.count("*").alias("group_size"))
         .select("text_sha256", "group_size", F.col("_best.doc_id").alias("keep_id"), F.col("_best._row").alias("_keep"))
         .filter("group_size > 1")
     )
