@@ -17,6 +17,8 @@ BITS = 64
 #: Parts of a set's fingerprint, and the minima in each: two sets of similarity s agree in none of them with probability
 #: (1 - s ** 4) ** 20, which is 3 in 100,000 at 0.8.
 PARTS, MINIMA = 20, 4
+#: Longs of a set's bit map: a shingle sets one of their bits.
+MAP = 32
 #: A null id comes after all others.
 LAST = 2**63 - 1
 #: Shingles whose hash bits are counted at once.
@@ -180,17 +182,41 @@ def parts_of(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(rows[k].tobytes(), k) - (1 << 63) for k in range(PARTS)]
 
 
+def bit_map(hashes: np.ndarray) -> list[int]:
+    """MAP longs with the bit of each hash."""
+    bits = np.zeros(MAP * 64, bool)
+    bits[(hashes >> np.uint64(64 - (MAP * 64 - 1).bit_length())).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def may_be_alike(a: str, b: str, least: float) -> Column:
+    """Whether the sets of two structs (n, bits) can have a similarity of `least`: none that have is denied.
+
+    A bit that only one set has stands for one or more of its hashes that the other lacks, so they share no more than the rest.
+    """
+
+    def only(x: str, y: str) -> Column:
+        out = F.lit(0)
+        for i in range(MAP):
+            out = out + F.bit_count(F.col(f"{x}.bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}.bits")[i])))
+        return out
+
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    shared = F.least(n - only(a, b), m - only(b, a))
+    return (F.least(n, m) / F.greatest(n, m) >= least) & (shared / (n + m - shared) >= least)
+
+
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, _row, fp, n, keys) of docs (doc_id, _row, _text): fp a hash of the whole set, n its size."""
+    """(doc_id, _row, fp, n, keys, bits) of docs (doc_id, _row, _text): fp a hash of the whole set, n its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
             fps = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
-            rest = [pa.array([len(x) for x in sets], pa.int64()), pa.array([parts_of(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, *rest], ["doc_id", "_row", "fp", "n", "keys"])
+            rest = [pa.array([len(x) for x in sets], pa.int64()), *(pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (parts_of, bit_map))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, *rest], ["doc_id", "_row", "fp", "n", "keys", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, _row long, fp long, n long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, _row long, fp long, n long, keys array<long>, bits array<long>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -204,6 +230,18 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "fp long, hashes array<long>")
 
 
+def _with_map(rows: DataFrame, name: str, maps: DataFrame, often: DataFrame | None = None) -> DataFrame:
+    """rows with the struct (n, bits) of the set that the column `name` holds, as _<name>."""
+    side = maps.select(F.col("fp").alias(name), F.struct("n", "bits").alias(f"_{name}"))
+    return look_up(rows, side, name, often if often is not None else frequent(rows.select(name), name, rows.count()))
+
+
+def _pairs(found: DataFrame, maps: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b, each once and stored, of rows (fp, other) whose bit maps allow the similarity."""
+    once = stored(found.filter("fp <> other").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
+    return stored(_with_map(_with_map(once, "a", maps), "b", maps).filter(may_be_alike("_a", "_b", least)).select("a", "b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b), stored, whose sets have a Jaccard similarity of at least `least`."""
     n = pairs.count()
@@ -214,46 +252,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stored(pairs.filter(both / (F.size("_a") + F.size("_b") - both) >= least).select("a", "b"))
 
 
-def _pairs(found: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, each once and stored, of rows (fp, n, other, other_n) whose sizes allow the similarity."""
-    fits = (F.col("fp") != F.col("other")) & (F.least("n", "other_n") / F.greatest("n", "other_n") >= least)
-    return stored(found.filter(fits).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-
-
 def similar_links(docs: DataFrame, distinct: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Links (a, b) between the sets of distinct (fp, rank, n, keys) that are alike by `least`; with them, the components are
+    """Links (a, b) between the sets of distinct (fp, rank, n, keys, bits) that are alike by `least`; with them, the components are
     those of all candidates, sets that share a key.
 
-    In a group of m copies not all m * m pairs are compared: first each with the first of every key, then with the one that
-    has most links so far, and last those pairs of a key that are in different components still.
+    In a group of m copies not all m * m pairs are made: first each with the first of every key, then with the one that has most
+    links so far, and last those of a key that are in different components still and whose bit maps allow the similarity.
     """
-    keys = stored(distinct.select("fp", "n", F.col("rank._row").alias("_row"), F.explode("keys").alias("key")))
+    keys = stored(distinct.select("fp", F.col("rank._row").alias("_row"), F.explode("keys").alias("key")))
     often = frequent(keys, "key", keys.count())
-    each = keys.groupBy("key").agg(F.count("*").alias("_m"), F.min(F.struct("_row", "fp", "n")).alias("_first")).filter("_m > 1")
+    each = keys.groupBy("key").agg(F.count("*").alias("_m"), F.min(F.struct("_row", "fp")).alias("_first")).filter("_m > 1")
     members = stored(look_up(keys, each, "key", often).filter("_first is not null"))
-    wanted = members.select("fp", F.col("_row").alias(ROW)).distinct()
-    sets = stored(_sets(docs.join(wanted, ROW).select("fp", "_text"), shingle))
+    wanted = stored(members.select("fp", F.col("_row").alias(ROW)).distinct())
+    maps = stored(distinct.select("fp", "n", "bits").join(wanted.select("fp"), "fp", "left_semi"))
 
-    tested = _pairs(members.select("fp", "n", F.col("_first.fp").alias("other"), F.col("_first.n").alias("other_n")), least)
-    found = _confirmed(tested, sets, least)
+    tested = _pairs(members.select("fp", F.col("_first.fp").alias("other")), maps, least)
+    # Most sets are in no pair that is left; those of the others are made when they are needed.
+    made = lambda pairs: stored(_sets(docs.join(wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), ROW).select("fp", "_text"), shingle))
+    found = _confirmed(tested, made(tested), least)
 
-    members = members.select("fp", "n", "key")
+    members = members.select("fp", "key")
     degree = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("_d"))
-    best = members.join(stored(degree), "fp").groupBy("key").agg(F.max(F.struct("_d", "fp", "n")).alias("_best"))
+    best = members.join(stored(degree), "fp").groupBy("key").agg(F.max(F.struct("_d", "fp")).alias("_best"))
     near = look_up(members, best, "key", often).filter("_best is not null")
-    more = _pairs(near.select("fp", "n", F.col("_best.fp").alias("other"), F.col("_best.n").alias("other_n")), least)
+    more = _pairs(near.select("fp", F.col("_best.fp").alias("other")), maps, least)
     more = stored(more.join(tested, ["a", "b"], "left_anti"))
-    tested, found = stored(tested.union(more)), stored(found.union(_confirmed(more, sets, least)))
+    tested, found = stored(tested.union(more)), stored(found.union(_confirmed(more, made(more), least)))
 
     roots = stored(components(distinct.select("fp", "rank"), found).select("fp", F.col("root._row").alias("root")))
     members = stored(members.join(roots, "fp"))
     main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("_main"), F.count("*").alias("_roots")).filter("_roots > 1")
-    open_ = stored(look_up(members, main.drop("_roots"), "key", often).filter("_main is not null"))
-    left = open_.filter("root <> _main").drop("_main")
-    right = open_.select("key", F.col("fp").alias("other"), F.col("n").alias("other_n"), F.col("root").alias("_root"), "_main")
-    apart = left.join(right, (left["key"] == right["key"]) & (F.col("root") != F.col("_root")) & ((F.col("_root") == F.col("_main")) | (F.col("fp") < F.col("other"))))
-    more = stored(_pairs(apart.select("fp", "n", "other", "other_n"), least).join(tested, ["a", "b"], "left_anti"))
-    return stored(found.union(_confirmed(more, sets, least)))
+    open_ = look_up(members, main.drop("_roots"), "key", often).filter("_main is not null").withColumn("a", F.col("fp"))
+    open_ = stored(_with_map(open_, "a", maps, frequent(open_.select("a"), "a", members.count())))
+    left = open_.filter("root <> _main").select("key", "fp", "root", "_a")
+    right = open_.select("key", F.col("fp").alias("other"), F.col("root").alias("_root"), "_main", F.col("_a").alias("_b"))
+    apart = (F.col("root") != F.col("_root")) & ((F.col("_root") == F.col("_main")) | (F.col("fp") < F.col("other"))) & may_be_alike("_a", "_b", least)
+    rest = left.join(right, (left["key"] == right["key"]) & apart)
+    once = stored(rest.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    return stored(found.union(_confirmed(once, made(once), least)))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, row_col: str = ROW) -> DataFrame:
@@ -264,7 +300,7 @@ def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row_col).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     sketches = stored(_sketches(base, shingle))
-    distinct = stored(sketches.groupBy("fp").agg(_rank(), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    distinct = stored(sketches.groupBy("fp").agg(_rank(), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     edges = similar_links(base.select(F.col("_row").alias(ROW), "_text"), distinct, shingle, least)
     return _grouped(sketches.select("doc_id", "_row", "fp"), distinct.select("fp", "rank"), edges, row_col)
 
