@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,17 @@ def local_day(ts: Column, offset_s: int = 32400) -> Column:
     return F.date_format(F.date_add(F.to_date(F.lit("1970-01-01")), F.floor((F.floor(ts / 1000) + offset_s) / 86400).cast("int")), "yyyy-MM-dd")
 
 
+def midnight(day: str, offset_s: int = 32400) -> int:
+    """Epoch milliseconds of a day's (yyyy-MM-dd) beginning at a fixed offset."""
+    return int((datetime.fromisoformat(day) - datetime(1970, 1, 1)).total_seconds() - offset_s) * 1000
+
+
+def millis_of(iso: Column) -> Column:
+    """Epoch milliseconds of an ISO 8601 time; without an offset it is UTC, and null if it is no time."""
+    zoned = F.when(iso.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    return F.unix_millis(F.try_to_timestamp(zoned))
+
+
 def glob(pattern: Column) -> Column:
     """A regular expression for a glob with * and ?, over all characters."""
     quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")

@@ -7,33 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import glob
 
-#: A rule list beyond that is no list that someone wrote, and is not sent to every task.
-MOST_RULES = 10_000
+#: Rules tried on every row; of a longer list, all rules are tried on the distinct combinations of what they look at.
+ON_ROWS = 200
+
+
+def _first_fitting(rules: list, cwd: str, host: str, provider: str) -> Column:
+    """The owner by the first fitting rule of a list; the patterns are literals, so each is compiled once in a task."""
+    out = None
+    for r in rules:
+        tests = [(r.re, F.col(cwd).rlike(r.re) if r.re else None), (r.host, F.col(host) == r.host), (r.provider, F.col(provider) == r.provider)]
+        fits = [F.coalesce(test, F.lit(False)) for condition, test in tests if condition is not None]
+        if fits:
+            every = fits[0]
+            for f in fits[1:]:
+                every = every & f
+            out = F.when(every, F.lit(r.owner)) if out is None else out.when(every, F.lit(r.owner))
+    return F.lit(None).cast("string") if out is None else out
 
 
 def first_match(rows: DataFrame, rules: DataFrame, cwd: str = "cwd", host: str = "host", provider: str = "provider") -> DataFrame:
     """rows with owner (null if no rule fits). rules: rule_idx, owner, cwd_glob, host, provider; a rule without any condition never fits.
 
-    The rules are distinct conditions over three columns: they are tried on the distinct combinations of these, which is
-    far less than on rows, and the result is joined back. A longer list than MOST_RULES is refused.
+    Rules are a list that someone has written, and go to the driver; rows are not moved for up to ON_ROWS of them.
     """
-    n = rules.count()
-    if n > MOST_RULES:
-        raise ValueError(f"{n} rules; at most {MOST_RULES} are tried on every row")
-    r = rules.select("rule_idx", F.col("owner").alias("_owner"), glob(F.col("cwd_glob")).alias("_re"), F.col("host").alias("_host"), F.col("provider").alias("_provider"))
-    r = r.filter("_re is not null or _host is not null or _provider is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("rule_idx", "_owner", "_re", "_host", "_provider")))
-    one = r.agg(ordered.alias("_rules"))
-
-    def fits(x: Column) -> Column:
-        tests = [(x["_re"], F.rlike(F.col(cwd), x["_re"])), (x["_host"], F.col(host) == x["_host"]), (x["_provider"], F.col(provider) == x["_provider"])]
-        out = F.lit(True)
-        for condition, test in tests:
-            out = out & (condition.isNull() | F.coalesce(test, F.lit(False)))
-        return out
-
+    every = rules.orderBy("rule_idx").select("owner", glob(F.col("cwd_glob")).alias("re"), "host", "provider").collect()
+    blocks = [every[i : i + ON_ROWS] for i in range(0, len(every), ON_ROWS)] or [[]]
+    owner = F.coalesce(*(_first_fitting(b, cwd, host, provider) for b in blocks))
+    if len(blocks) == 1:
+        return rows.withColumn("owner", owner)
     keys = [cwd, host, provider]
-    kinds = rows.select(*keys).distinct().join(F.broadcast(one)).withColumn("owner", F.get(F.filter("_rules", fits), F.lit(0))["_owner"])
+    kinds = rows.select(*keys).distinct().withColumn("owner", owner)
     kinds = kinds.select("owner", *(F.col(k).alias(f"_kind_{k}") for k in keys))
     same = F.lit(True)
     for k in keys:

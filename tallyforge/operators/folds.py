@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def last_values(rows: DataFrame, keys: list[str], order: list[str], always: list[str], known: list[str]) -> DataFrame:
-    """Of each key: the last value of `always`, nulls too, and the last value that is known of `known`."""
+def last_values(rows: DataFrame, keys: list[str], order: list[str], always: list[str], known: list[str], largest: list[str] = ()) -> DataFrame:
+    """Of each key: the last value of `always`, nulls too, the last value that is known of `known`, and the largest of `largest`."""
     at = F.struct(*order)
     return rows.groupBy(*keys).agg(
         *(F.max_by(F.struct(c), at)[c].alias(c) for c in always),
         *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in known),
+        *(F.max(c).alias(c) for c in largest),
     )
 
 
@@ -34,19 +36,61 @@ def carried_forward(rows: DataFrame, keys: list[str], order: list[str], stamp: s
 
 
 def changes(rows: DataFrame, keys: list[str], order: list[str], value: str, least: float = 0) -> DataFrame:
-    """Rows whose value differs from the one before by more than `least`, and first rows."""
+    """The rows that are stored: first ones, and those whose value differs from that of the last stored row by more than `least`.
+
+    Rows that repeat the row before are never stored and are dropped first. The rest of a key, its changes, is gone through in order.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_p", F.lag(value).over(w)).filter(F.col("_p").isNull() | (F.abs(F.col(value) - F.col("_p")) > least)).drop("_p")
+    moved = rows.withColumn("_p", F.lag(value).over(w)).filter(F.col("_p").isNull() | (F.col(value) != F.col("_p"))).drop("_p")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, keep, held = pdf.sort_values(order), [], None
+        for x in pdf[value]:
+            new = held is None or abs(x - held) > least
+            held = x if new else held
+            keep.append(new)
+        return pdf[keep]
 
+    return moved.groupBy(*keys).applyInPandas(run, moved.schema)
 
-def spent_since(rows: DataFrame, keys: list[str], order: list[str], value: str, at: str, since: Column) -> DataFrame:
-    """(keys, spent, anchor): decreases of a balance since a time, from the last observation before it or else the first; rises do not count."""
+
+def spent_since(rows: DataFrame, keys: list[str], order: list[str], value: str, at: str, since: Column, initial: Column | None = None) -> DataFrame:
+    """(keys, spent, anchor, since): decreases of a balance since a time; rises do not count.
+
+    They count from the anchor: the last observation before that time, else the initial value, if one is given, else the first observation;
+    with the latter, `since` is its own time. A key without observations has no row.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    fall = F.greatest(F.lit(0), F.lag(value).over(w) - F.col(value))
+    at_first = F.coalesce(F.lag(value).over(w), initial) if initial is not None else F.lag(value).over(w)
+    fall = F.greatest(F.lit(0), at_first - F.col(value))
+    before = F.max_by(value, F.when(F.col(at) < since, F.struct(*order)))
+    first = F.min_by(value, F.struct(*order))
     out = rows.withColumn("_fall", fall).groupBy(*keys)
-    anchor = F.coalesce(F.max_by(value, F.when(F.col(at) < since, F.struct(*order))), F.min_by(value, F.struct(*order)))
-    return out.agg(F.coalesce(F.sum(F.when(F.col(at) >= since, F.col("_fall"))), F.lit(0)).alias("spent"), anchor.alias("anchor"))
+    anchor = F.coalesce(before, initial if initial is not None else first, first)
+    known = before.isNotNull() | (F.lit(initial is not None))
+    return out.agg(F.coalesce(F.sum(F.when(F.col(at) >= since, F.col("_fall"))), F.lit(0)).alias("spent"), anchor.alias("anchor"), F.when(known, since).otherwise(F.min(at)).alias("since"))
+
+
+def credit_view(accounts: DataFrame, keys: list[str], balances: DataFrame, order: list[str], value: str, at: str, since: Column, initial: Column, limit: Column, today: str, limit_until: str | None) -> DataFrame:
+    """accounts with balance (the latest), total_spent (initial minus balance), month_spent, month_since and monthly_limit (null after its last day)."""
+    now = balances.groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias("balance"))
+    month = spent_since(balances, keys, order, value, at, since, initial).select(*keys, F.col("spent").alias("month_spent"), F.col("since").alias("month_since"))
+    out = accounts.join(now, keys, "left").join(month, keys, "left").withColumn("total_spent", initial - F.col("balance"))
+    return out.withColumn("monthly_limit", limit if limit_until is None or today <= limit_until else F.lit(None).cast("bigint"))
 
 
 def as_of(rows: DataFrame, keys: list[str], order: list[str], value: str, at: str, when: Column) -> DataFrame:
     return rows.filter(F.col(at) < when).groupBy(*keys).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def as_of_many(times: DataFrame, rows: DataFrame, keys: list[str], value: str, at: str, order: list[str]) -> DataFrame:
+    """times (keys, at, ...) with the last value of rows before each time; null where there is none.
+
+    Both are put into one sequence of each key, an observation after the times equal to its own, and carried forward.
+    """
+    more = [c for c in times.columns if c not in [*keys, at]]
+    asked = times.select(*keys, at, F.lit(0).alias("_seen"), *(F.lit(None).cast(rows.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)), F.lit(None).cast(rows.schema[value].dataType).alias(value), F.struct(*(more or [F.lit(1).alias("_none")])).alias("_more"))
+    held = rows.select(*keys, at, F.lit(1).alias("_seen"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), value, F.lit(None).cast(asked.schema["_more"].dataType).alias("_more"))
+    w = Window.partitionBy(*keys).orderBy(at, "_seen", *(f"_o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, -1)
+    out = asked.unionByName(held).withColumn("_last", F.last(value, ignorenulls=True).over(w)).filter("_seen = 0")
+    return out.select(*keys, at, *(F.col(f"_more.{c}").alias(c) for c in more), F.col("_last").alias(value))

@@ -17,13 +17,21 @@ def one_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 
 def burst_seconds(rows: DataFrame, least: int, where: Column, keys: list[str]) -> DataFrame:
-    """(keys, second) with `least` rows or more of one whole second; found before any other filter."""
-    return rows.filter(where).groupBy(*keys, F.floor(F.col("ts") / 1000).alias("second")).count().filter(F.col("count") >= least).drop("count")
+    """(keys, second) with `least` rows or more of one whole second; found before any other filter. A null time is 0, and null keys are a group."""
+    return rows.filter(where).groupBy(*keys, _second().alias("second")).count().filter(F.col("count") >= least).drop("count")
+
+
+def _second() -> Column:
+    return F.floor(F.coalesce("ts", F.lit(0)) / 1000)
 
 
 def without_bursts(rows: DataFrame, least: int, where: Column, keys: list[str]) -> DataFrame:
-    bursts = burst_seconds(rows, least, where, keys).withColumn("_burst", F.lit(True))
-    marked = rows.withColumn("second", F.floor(F.col("ts") / 1000)).join(bursts, [*keys, "second"], "left")
+    found = burst_seconds(rows, least, where, keys)
+    bursts = found.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("second").alias("_second"), F.lit(True).alias("_burst"))
+    same = F.col("second") == F.col("_second")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    marked = rows.withColumn("second", _second()).join(bursts, same, "left")
     return marked.filter(F.col("_burst").isNull() | ~where).select(*rows.columns)
 
 
@@ -32,16 +40,15 @@ def provable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("uuid").isNotNull() & ~F.coalesce(F.col("assumed"), F.lit(False)) & F.col("account_email").isNotNull())
 
 
-def session_totals(turns: DataFrame) -> DataFrame:
-    """One row per (provider, session): sums, first and last time, last known values and sets; turns without a session stand alone."""
+def session_totals(turns: DataFrame, order: tuple[str, ...] = ("ts", "uuid"), last: tuple[str, ...] = ("account", "host", "cwd"), sets: tuple[str, ...] = ("model",)) -> DataFrame:
+    """One row per (provider, session): sums, first and last time, last known values by `order` and sets; turns without a session stand alone."""
     key = F.coalesce(F.nullif("session_id", F.lit("")), F.concat(F.lit("_"), "uuid"))
-    order = F.struct("ts", "uuid")
-    last = {c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("account", "host", "cwd")}
+    at = F.struct(*order)
     return turns.groupBy("provider", key.alias("session_id")).agg(
         F.count("*").alias("turns"),
         *(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("i", "o", "cw", "cr")),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        *last.values(),
-        F.array_sort(F.collect_set(F.nullif("model", F.lit("")))).alias("models"),
+        *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in last),
+        *(F.array_sort(F.collect_set(F.nullif(c, F.lit("")))).alias(f"{c}s") for c in sets),
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import text as X
-from ..operators import board, folds
+from ..operators import board, folds, merge
+from ..operators.order import coded, latest, with_position
 from ..sources.events import table
 
 
@@ -56,7 +56,8 @@ def balance_spent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPENT_SQL = f"""WITH {OBS}, b AS (SELECT *, greatest(0, lag(cents) OVER (PARTITION BY who ORDER BY seen, pos) - cents) AS fall FROM obs WHERE cents IS NOT NULL)
-SELECT who, CAST(coalesce(sum(fall) FILTER (seen >= '{ANCHOR}'), 0) AS BIGINT) AS spent, coalesce(arg_max(cents, (seen, pos)) FILTER (seen < '{ANCHOR}'), arg_min(cents, (seen, pos))) AS anchor FROM b GROUP BY who"""
+SELECT who, CAST(coalesce(sum(fall) FILTER (seen >= '{ANCHOR}'), 0) AS BIGINT) AS spent, coalesce(arg_max(cents, (seen, pos)) FILTER (seen < '{ANCHOR}'), arg_min(cents, (seen, pos))) AS anchor,
+  CASE WHEN min(seen) < '{ANCHOR}' THEN '{ANCHOR}' ELSE min(seen) END AS since FROM b GROUP BY who"""
 
 
 def asof_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +93,110 @@ def cutoff_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def board_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred of the board: a top-k report."""
-    top = status_dday(spark, sf_dir).orderBy(*board.board_order(), "uid").limit(100)
-    return top.select("uid", "status", "dday", "apply_end", "posted")
+    """The whole board with each row's place."""
+    rows = status_dday(spark, sf_dir).select("uid", "status", "dday", "apply_end", "posted")
+    return with_position(rows, [*board.board_order(), "uid"])
 
 
-BOARD_SQL = f"""WITH {STATUS} SELECT uid, status, dday, apply_end, posted FROM e
-ORDER BY CASE status WHEN 'open' THEN 0 WHEN 'upcoming' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, coalesce(dday, 9999), length(coalesce(apply_end, '')) DESC, coalesce(apply_end, ''), posted, uid LIMIT 100"""
+_RANK = "CASE status WHEN 'open' THEN 0 WHEN 'upcoming' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END"
+BOARD_SQL = f"""WITH {STATUS} SELECT uid, status, dday, apply_end, posted,
+  row_number() OVER (ORDER BY {_RANK}, coalesce(dday, 9999), length(coalesce(apply_end, '')) DESC, coalesce(apply_end, ''), posted, uid) - 1 AS position FROM e"""
+
+
+def board_for_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the open rows by deadline, by the day they were posted and by source."""
+    rows = cards(spark, sf_dir).filter("status <> 'closed'").select("uid", "status", "dday", "apply_end", "posted", "source_label")
+    for by in ("deadline", "posted", "source"):
+        rows = with_position(rows, [*board.board_order(by), "uid"], f"by_{by}")
+    return rows.select("uid", "by_deadline", "by_posted", "by_source")
+
+
+BOARD_FOR_READERS_SQL = f"""WITH {STATUS} SELECT uid, row_number() OVER (ORDER BY {_RANK}, coalesce(dday, 9999), coalesce(apply_end, '') DESC, uid) - 1 AS by_deadline,
+  row_number() OVER (ORDER BY posted DESC, uid) - 1 AS by_posted, row_number() OVER (ORDER BY uid % 5, {_RANK}, uid) - 1 AS by_source FROM e WHERE status <> 'closed'"""
+
+
+def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Announcements with sources, links, entities and tokens that no one knows, all made of the key."""
+    k = F.col("uid")
+    source = lambda n: F.concat(F.lit("s"), (n % 5).cast("string"))
+    link = lambda n: F.struct(F.concat(F.lit("Source "), (n % 5).cast("string")).alias("label"), F.concat(F.lit("https://"), source(n), F.lit(".test/view/"), n.cast("string"), F.lit("/")).alias("url"), source(n).alias("source"))
+    return status_dday(spark, sf_dir).select(
+        "*", source(k).alias("source"), F.concat(F.lit("Source "), (k % 5).cast("string")).alias("source_label"), F.when(k % 6 == 0, F.array(link(k), link(k + 1))).otherwise(F.array(link(k))).alias("links"),
+        F.array_compact(F.array(F.concat(F.lit("E"), (k % 7).cast("string")), F.when(k % 2 == 0, "E9"))).alias("entities"), F.when(k % 3 == 0, "supplier").otherwise("user").alias("audience"),
+        F.concat(F.lit("Call "), (k % 100).cast("string"), F.lit(" of many")).alias("title"), F.when(k % 9 == 0, F.array(F.struct(F.concat(F.lit("X"), (k % 13).cast("string")).alias("token"), F.concat(F.lit("line "), k.cast("string")).alias("line")))).otherwise(F.array().cast("array<struct<token:string,line:string>>")).alias("unknown"),
+    )
+
+
+def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = board.decorated_at(announcements(spark, sf_dir), f"{TODAY}T18:01").withColumn("left", F.floor(board.remaining_share(TODAY) * 1000).cast("bigint"))
+    return out.select("uid", "status", F.col("dday").cast("bigint").alias("dday"), "closing_soon", "left")
+
+
+LIVE_STATUS_SQL = f"""WITH {ANN}, s AS (SELECT *, date_diff('day', DATE '{TODAY}', CAST(substr(apply_end, 1, 10) AS DATE)) AS togo, CASE WHEN length(apply_end) = 10 THEN apply_end || 'T23:59' ELSE apply_end END AS z FROM a),
+d AS (SELECT *, CASE WHEN closed_hint OR z < '{TODAY}T18:01' THEN 'closed' WHEN apply_start || 'T00:00' > '{TODAY}T18:01' THEN 'upcoming' WHEN apply_end IS NOT NULL THEN 'open' ELSE 'unknown' END AS status,
+  date_diff('day', CAST(apply_start AS DATE), CAST(substr(apply_end, 1, 10) AS DATE)) AS span FROM s)
+SELECT uid, status, CASE WHEN status IN ('open', 'upcoming') THEN togo END AS dday, status = 'open' AND togo <= 7 AS closing_soon, CASE WHEN span > 0 THEN CAST(floor(least(1.0, greatest(0.0, togo / span)) * 1000) AS BIGINT) END AS "left" FROM d"""
+
+
+def board_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.filtered(cards(spark, sf_dir), "s1", "E9", "user", "CALL 7", ["title", "entities"], open_only=True).select("uid")
+
+
+BOARD_FILTER_SQL = f"WITH {STATUS} SELECT uid FROM e WHERE (uid % 5 = 1 OR uid % 6 = 0 AND (uid + 1) % 5 = 1) AND uid % 2 = 0 AND uid % 3 <> 0 AND 'call ' || uid % 100 || ' of many' LIKE '%call 7%' AND status <> 'closed'"
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.status_counts(status_dday(spark, sf_dir))
+
+
+STATUS_COUNTS_SQL = f"WITH {STATUS} SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (status = '{x}') AS {x}" for x in ("open", "upcoming", "unknown", "closed")) + ", count(*) FILTER (closing_soon) AS closing_soon FROM e"
+
+
+def unknown_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.unknown_digest(cards(spark, sf_dir), ["uid"], 6).withColumn("titles", F.array_join("titles", ","))
+
+
+UNKNOWN_DIGEST_SQL = """WITH t AS (SELECT 'X' || o_orderkey % 13 AS token, o_orderkey AS k, 'Call ' || o_orderkey % 100 || ' of many' AS title FROM orders WHERE o_orderkey % 9 = 0),
+f AS (SELECT token, 'line ' || min(k) AS line, list_sort(list(DISTINCT title)) AS titles FROM t GROUP BY token) SELECT token, line, array_to_string(list_transform(titles, lambda x: x[1:6]), ',') AS titles FROM f"""
+FILTER_VALUES_SQL = """SELECT 'source' AS kind, 's' || n AS value, 'Source ' || n AS label FROM range(5) r(n) WHERE n IN (SELECT o_orderkey % 5 FROM orders UNION SELECT (o_orderkey + 1) % 5 FROM orders WHERE o_orderkey % 6 = 0)
+UNION ALL SELECT DISTINCT 'entity', 'E' || o_orderkey % 7, 'E' || o_orderkey % 7 FROM orders UNION ALL SELECT DISTINCT 'entity', 'E9', 'E9' FROM orders WHERE o_orderkey % 2 = 0"""
+
+
+def override_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides by a link's identifier and by the row's own, and a row more."""
+    c = cards(spark, sf_dir).select(F.col("uid").cast("string").alias("uid"), "title", "audience", "links")
+    n = F.col("uid").cast("bigint")
+    by_link = c.filter(n % 10 == 2).select(F.concat(F.lit("s"), (n % 5).cast("string"), F.lit("-"), "uid").alias("uid"), F.lit(False).alias("hide"), F.lit("by link").alias("title"), F.lit(None).cast("string").alias("audience"))
+    by_second = c.filter(n % 6 == 0).select(F.concat(F.lit("s"), ((n + 1) % 5).cast("string"), F.lit("-"), (n + 1).cast("string")).alias("uid"), F.lit(False), F.lit("by second"), F.lit("all"))
+    by_uid = c.filter(n % 20 == 2).select("uid", n % 40 == 2, F.lit("by uid"), F.lit(None).cast("string"))
+    more = spark.createDataFrame([("extra", "one more")], "uid string, title string")
+    return board.patched(c, by_link.union(by_second).union(by_uid), "uid", ["title", "audience"], "links", more).select("uid", "title", "audience", "edited")
+
+
+OVERRIDE_LINKS_SQL = """WITH c AS (SELECT o_orderkey AS n, 'Call ' || o_orderkey % 100 || ' of many' AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'supplier' ELSE 'user' END AS audience FROM orders),
+keys AS (SELECT n FROM c WHERE n % 10 = 2), seconds AS (SELECT n + 1 AS m FROM c WHERE n % 6 = 0),
+f AS (SELECT c.*, n IN (FROM keys) AS own, n IN (SELECT m FROM seconds) AS own2, n % 6 = 0 AS sec, n % 6 = 0 AND n + 1 IN (FROM keys) AS sec_own, n % 20 = 2 AS by_uid FROM c)
+SELECT CAST(n AS VARCHAR) AS uid, CASE WHEN by_uid THEN 'by uid' WHEN sec THEN 'by second' WHEN own THEN 'by link' WHEN own2 THEN 'by second' ELSE title END AS title,
+  CASE WHEN by_uid THEN audience WHEN sec THEN 'all' WHEN own THEN audience WHEN own2 THEN 'all' ELSE audience END AS audience, by_uid OR sec OR own OR own2 AS edited FROM f WHERE NOT (n % 40 = 2)
+UNION ALL SELECT 'extra', 'one more', NULL, NULL"""
+
+
+def last_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source s1 failed and s2 read nothing; s3 read a list without anything to keep. Of their last good rows, those of s2 are too old."""
+    c = cards(spark, sf_dir).select("source", "uid")
+    fresh = c.filter(~F.col("source").isin("s1", "s2", "s3"))
+    report = spark.createDataFrame([("s0", "", 9), ("s1", "timed out", 0), ("s2", "", 0), ("s3", "", 5), ("s4", None, 0)], "source string, error string, scanned int")
+    held = c.filter(F.col("source").isin("s1", "s2", "s3")).withColumn("saved_at", F.when(F.col("source") == "s2", "1998-05-01 09:00").otherwise("1998-06-01 09:00"))
+    rows, told = board.sources_with_last_good(fresh, report, held, TODAY)
+    kept = board.saved_last_good(held, rows, told, TODAY)
+    counts = rows.groupBy("source").agg(F.count("*").alias("rows"), F.max("stale_since").alias("since"))
+    saved = kept.groupBy("source").agg(F.count("*").alias("saved"))
+    return told.join(counts, "source", "left").join(saved, "source", "left").select("source", "ok", "stale", F.col("count").cast("bigint").alias("count"), "collected_at", "rows", "since", "saved")
+
+
+LAST_GOOD_SQL = """WITH n AS (SELECT 's' || o_orderkey % 5 AS source, count(*) AS n FROM orders GROUP BY 1)
+SELECT source, source IN ('s0', 's4', 's3') AS ok, source = 's1' AS stale, CASE WHEN source IN ('s0', 's1', 's4') THEN n ELSE 0 END AS count, CASE WHEN source = 's1' THEN '1998-06-01 09:00' ELSE '' END AS collected_at,
+  CASE WHEN source IN ('s0', 's1', 's4') THEN n END AS rows, CASE source WHEN 's1' THEN '1998-06-01 09:00' WHEN 's0' THEN '' WHEN 's4' THEN '' END AS since, CASE WHEN source <> 's3' THEN n END AS saved FROM n"""
 
 
 def override_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,13 +215,11 @@ def missing_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dimension_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    names = n.select("n_name").distinct().withColumn("code", (F.row_number().over(Window.orderBy("n_name")) - 1).cast("bigint"))
-    return n.join(names, "n_name").select("n_nationkey", "n_name", "code")
+    return coded(table(spark, sf_dir, "nation"), "n_name").select("n_nationkey", "n_name", "code")
 
 
 def latest_50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_custkey")
+    return latest(table(spark, sf_dir, "orders"), [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "o_custkey")
 
 
 def loose_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,21 +273,37 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hash of a table whatever the order of its rows."""
-    each = table(spark, sf_dir, "nation").select(F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("fingerprint"))
+    return merge.fingerprint(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
+
+
+FINGERPRINT_SQL = """WITH h AS (SELECT sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS h FROM nation), p AS (SELECT list_transform([1, 9, 17, 25, 33, 41, 49, 57], lambda i: CAST('0x' || h[i:i+7] AS BIGINT)) AS p FROM h)
+SELECT sha256(count(*) || '|' || sum(p[1]) || '|' || sum(p[2]) || '|' || sum(p[3]) || '|' || sum(p[4]) || '|' || sum(p[5]) || '|' || sum(p[6]) || '|' || sum(p[7]) || '|' || sum(p[8])) AS fingerprint FROM p"""
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as announcements of three sources: names alike over all of them, with tags, ordinals and dates that may contradict."""
+    k = F.col("p_partkey")
+    day = lambda n: F.date_format(F.date_add(F.to_date(F.lit("2024-01-01")), n.cast("int")), "yyyy-MM-dd")
+    return table(spark, sf_dir, "part").select(
+        k.alias("uid"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.concat(F.lit("Source "), (k % 3).cast("string")).alias("source_label"), F.concat(F.lit("https://s.test/"), k.cast("string")).alias("url"),
+        F.lower(F.regexp_replace(F.concat_ws("", "p_name", "p_brand", "p_type"), r"\W", "")).alias("core"), F.col("p_size").alias("richness"), F.when(k % 4 != 0, day(k % 20)).alias("apply_start"), F.when(k % 5 != 0, day(k % 90)).alias("apply_end"),
+        F.when(k % 6 == 0, F.concat(F.lit("24-"), (k % 2).cast("string"))).alias("nth"), F.when(k % 8 == 0, "industry").when(k % 8 == 1, "academy").alias("tag"), F.when(k % 3 == 1, F.col("p_type")).alias("summary"),
+        F.array(F.substring("p_brand", -2, 2)).alias("entities"), (k % 10 == 0).alias("closed_hint"), (k % 7 == 0).alias("stale"), F.when(k % 7 == 0, "2024-01-01").otherwise("").alias("stale_since"),
+    )
 
 
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as cross-posted announcements: those of a brand and type share a block."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("uid"), (F.col("p_partkey") % 3).alias("source"), F.col("p_name").alias("core"), F.col("p_size").alias("richness"), F.concat_ws("|", "p_brand", "p_type").alias("block"))
-    return board.merged(rows)
+    rows = posts(spark, sf_dir)
+    out = merge.merged(rows, merge.grouped(rows, ["tag"]), ["apply_start", "apply_end", "summary"], ["entities"], ["closed_hint"])
+    return out.select("uid", "source", "apply_start", "apply_end", "summary", F.array_join("entities", ",").alias("entities"), "closed_hint", "stale", "stale_since", F.array_join("also_on", ",").alias("also_on"), F.size("links").alias("links"))
 
 
 QUERIES = {
     "latest_non_null": latest_non_null, "guarded_latest": guarded_latest, "carry_forward": carry_forward, "balance_spent": balance_spent, "asof_balance": asof_balance, "status_dday": status_dday,
     "cutoff_filter": cutoff_filter, "board_sort": board_sort, "override_patch": override_patch, "anti_join_missing": missing_accounts, "dimension_encode": dimension_encode, "latest_50": latest_50,
     "loose_date_parse": loose_dates, "keyword_lines": keyword_lines, "relevance": relevance, "model_mentions": entity_mentions, "page_links": page_links, "html_to_text": page_text, "fingerprint": fingerprint, "entity_merge": entity_merge,
+    "board_for_readers": board_for_readers, "live_status": live_status, "board_filter": board_filter, "status_counts": status_counts, "unknown_digest": unknown_digest, "override_links": override_links, "last_good": last_good,
+    "filter_values": lambda spark, sf_dir: board.filter_values(cards(spark, sf_dir)),
 }
 SQL = {
     "latest_non_null": LATEST_SQL, "guarded_latest": GUARDED_SQL, "carry_forward": CARRY_SQL, "balance_spent": SPENT_SQL, "asof_balance": ASOF_SQL, "status_dday": f"WITH {STATUS} SELECT * FROM e",
@@ -199,5 +311,6 @@ SQL = {
     "anti_join_missing": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
     "dimension_encode": "SELECT n_nationkey, n_name, dense_rank() OVER (ORDER BY n_name) - 1 AS code FROM nation", "latest_50": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "loose_date_parse": DATES_SQL, "keyword_lines": KEYWORD_SQL, "relevance": RELEVANCE_SQL, "model_mentions": ENTITIES_SQL, "page_links": LINKS_SQL,
-    "fingerprint": "SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS h FROM nation)",
+    "fingerprint": FINGERPRINT_SQL, "board_for_readers": BOARD_FOR_READERS_SQL, "live_status": LIVE_STATUS_SQL, "board_filter": BOARD_FILTER_SQL, "status_counts": STATUS_COUNTS_SQL, "unknown_digest": UNKNOWN_DIGEST_SQL,
+    "override_links": OVERRIDE_LINKS_SQL, "last_good": LAST_GOOD_SQL, "filter_values": FILTER_VALUES_SQL,
 }

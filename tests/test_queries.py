@@ -6,9 +6,10 @@ from collections import Counter
 
 import duckdb
 import pytest
-from tallyforge.plans import board, ledger
+from tallyforge.plans import board, ingest, ledger, views
 
-QUERIES, SQL = ledger.QUERIES | board.QUERIES, ledger.SQL | board.SQL
+PLANS = (ledger, views, ingest, board)
+QUERIES, SQL = {k: q for p in PLANS for k, q in p.QUERIES.items()}, {k: q for p in PLANS for k, q in p.SQL.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
