@@ -17,6 +17,8 @@ BITS = 64
 #: Parts of a set's fingerprint, and the minima in each: two sets of similarity s agree in none of them with probability
 #: (1 - s ** 4) ** 20, which is 3 in 100,000 at 0.8.
 PARTS, MINIMA = 20, 4
+#: Documents handled at once in a task.
+SLICE = 512
 #: Longs of a set's bit map: a shingle sets one of their bits.
 MAP = 32
 #: A null id comes after all others.
@@ -206,11 +208,18 @@ def may_be_alike(a: str, b: str, least: float) -> Column:
     return (F.least(n, m) / F.greatest(n, m) >= least) & (shared / (n + m - shared) >= least)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows, so that a task holds the sets of no more."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, _row, fp, n, keys, bits) of docs (doc_id, _row, _text): fp a hash of the whole set, n its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = [shingle_set(t.as_py(), width) for t in b.column(2)]
             fps = pa.array([xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
             rest = [pa.array([len(x) for x in sets], pa.int64()), *(pa.array([f(x) for x in sets], pa.list_(pa.int64())) for f in (parts_of, bit_map))]
@@ -223,7 +232,7 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     """(fp, hashes) of texts (fp, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             sets = pa.array([shingle_set(t.as_py(), width).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), sets], ["fp", "hashes"])
 
@@ -267,8 +276,11 @@ def similar_links(docs: DataFrame, distinct: DataFrame, shingle: int, least: flo
     maps = stored(distinct.select("fp", "n", "bits").join(wanted.select("fp"), "fp", "left_semi"))
 
     tested = _pairs(members.select("fp", F.col("_first.fp").alias("other")), maps, least)
-    # Most sets are in no pair that is left; those of the others are made when they are needed.
-    made = lambda pairs: stored(_sets(docs.join(wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), ROW).select("fp", "_text"), shingle))
+
+    def made(pairs: DataFrame) -> DataFrame:
+        """The sets of pairs. Most sets are in none; the rows of those that are, two numbers each, go to the tasks by their size, or Spark joins by a shuffle."""
+        rows = stored(wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"))
+        return stored(_sets(docs.join(rows, ROW).select("fp", "_text"), shingle))
     found = _confirmed(tested, made(tested), least)
 
     members = members.select("fp", "key")
