@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +67,34 @@ def identified(raw: DataFrame, senders: Senders) -> DataFrame:
     )
 
 
-def candidates(raw: DataFrame, senders: Senders, seed_until: int | None = None) -> DataFrame:
-    """Turns that may count, copies too: no replay (sought in each batch before all else), later than the seed, with an id and a proven account."""
-    turns = without_bursts(identified(raw, senders), senders.burst, F.col("provider") == senders.scoped, ["file_path", "session_id"])
+def proven(turns: DataFrame, seed_until: int | None = None) -> DataFrame:
+    """Identified turns that may count, copies too: later than the seed, with an id and an account that is not assumed."""
     turns = turns.filter(F.coalesce("ts", F.lit(0)) > seed_until) if seed_until else turns
     return provable(turns.withColumnRenamed("account", "account_email")).withColumnRenamed("account_email", "account").drop("assumed")
 
 
+def candidates(raw: DataFrame, senders: Senders, seed_until: int | None = None) -> DataFrame:
+    """The proven turns of raw that are no replay; replays are sought in each batch, before all else."""
+    own = without_bursts(identified(raw, senders), senders.burst, F.col("provider") == senders.scoped, ["file_path", "session_id"])
+    return proven(own, seed_until)
+
+
+def not_replayed(usage: Column, senders: Senders) -> Column:
+    """array<boolean> for a batch's usage records: false for those of a burst. The same as in `candidates`, of one batch at a time, for streams."""
+
+    @F.pandas_udf("array<boolean>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for providers, sessions, times in batches:
+            out = []
+            for p, s, t in zip(providers, sessions, times, strict=True):
+                keys = [(b, 0 if c is None or pd.isna(c) else int(c) // 1000) if a == senders.scoped else None for a, b, c in zip(p, s, t, strict=True)] if p is not None else []
+                n = Counter(k for k in keys if k)
+                out.append([k is None or n[k] < senders.burst for k in keys])
+            yield pd.Series(out)
+
+    return run(usage["provider"], usage["session_id"], usage["ts"])
+
+
 def accepted(raw: DataFrame, senders: Senders, seed_until: int | None = None, before: DataFrame | None = None) -> DataFrame:
     """Each turn once, its first arrival; none whose uuid is in `before`, the turns accepted so far."""
     turns = one_per_key(candidates(raw, senders, seed_until), "uuid", [F.col(c) for c in ARRIVAL])

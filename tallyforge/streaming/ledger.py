@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import provable
-from ..sources.inbox import raw_turns
+from ..operators.alerts import COOLDOWN
+from ..operators.ingest import Senders, identified, not_replayed, proven
 
 
-def deduplicated(batches: DataFrame, retain: str = "30 days") -> DataFrame:
-    """The provable turns of stream_batches, each id once as long as it is retained; later copies than that count anew."""
-    turns = provable(raw_turns(batches)).withColumn("event_time", F.timestamp_millis("ts"))
+def deduplicated(batches: DataFrame, retain: str = "30 days", senders: Senders | None = None, seed_until: int | None = None) -> DataFrame:
+    """The turns of stream_batches that count, by content: each once as long as it is retained, whatever id its copies have; later copies count anew."""
+    senders = senders or Senders()
+    marked = batches.withColumn("_kept", not_replayed(F.col("usage"), senders))
+    each = marked.select("file_path", "node", F.posexplode(F.arrays_zip("usage", "_kept")).alias("pos", "z")).filter("z._kept")
+    turns = proven(identified(each.select("file_path", "node", "pos", "z.usage.*"), senders), seed_until).withColumn("event_time", F.timestamp_millis("ts"))
     return turns.withWatermark("event_time", retain).dropDuplicatesWithinWatermark(["uuid"])
 
 
@@ -34,7 +37,7 @@ def cooled(alerts: DataFrame) -> DataFrame:
         rows = pd.concat(list(chunks)).sort_values("ts")
         keep = []
         for ts, minutes in zip(rows["ts"], rows["cooldown_minutes"], strict=True):
-            sent = last is None or ts - last >= (minutes or 30) * 60_000
+            sent = last is None or ts - last >= (minutes or COOLDOWN) * 60_000
             last = ts if sent else last
             keep.append(sent)
         state.update((int(last),))

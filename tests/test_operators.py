@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 from tallyforge.functions import identity as I
 from tallyforge.functions import text as X
-from tallyforge.operators import alerts, board, folds
+from tallyforge.operators import alerts, board, folds, merge
 from tallyforge.operators.attribution import owners
 from tallyforge.operators.ledger import one_per_key, provable
 from tallyforge.sources.inbox import account_observations, changed_files, raw_turns, read_batches, session_observations, stream_batches
@@ -110,5 +110,5 @@ def test_scalar_functions(spark):
 
 def test_merge_is_greedy_and_complete(spark):
     rows = [(1, "x", "gpu support round 1", 3), (2, "y", "gpu support round 1.", 2), (3, "x", "gpu support round 1", 1), (4, "z", "other", 9)]
-    d = spark.createDataFrame(rows, "uid int, source string, core string, richness int").withColumn("block", F.lit("b"))
-    assert {r.uid: r.group for r in board.merged(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    d = spark.createDataFrame([(*r, None, None, None) for r in rows], "uid int, source string, core string, richness int, apply_start string, apply_end string, nth string")
+    assert {r.uid: r.group for r in merge.grouped(d, []).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}

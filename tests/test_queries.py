@@ -6,9 +6,9 @@ from collections import Counter
 
 import duckdb
 import pytest
-from tallyforge.plans import board, ingest, ledger, views
+from tallyforge.plans import board, ingest, ledger, text, views
 
-PLANS = (ledger, views, ingest, board)
+PLANS = (ledger, views, ingest, board, text)
 QUERIES, SQL = {k: q for p in PLANS for k, q in p.QUERIES.items()}, {k: q for p in PLANS for k, q in p.SQL.items()}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
