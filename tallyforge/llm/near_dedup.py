@@ -20,7 +20,7 @@ PARTS, MINIMA = 20, 4
 #: Documents handled at once in a task.
 SLICE = 512
 #: Longs of a set's bit map: a shingle sets one of their bits.
-MAP = 32
+MAP = 16
 #: A null id comes after all others.
 LAST = 2**63 - 1
 #: Shingles whose hash bits are counted at once.

@@ -29,8 +29,8 @@ LEAST_DOCS, LEAST_G2 = 3, 20.0
 FOLDS, L2 = 4, 1e-3
 #: Bytes of word beginnings.
 BEGINNINGS = (4, 5, 6, 7)
-#: Words a worker remembers the features of.
-REMEMBERED = 300_000
+#: Words a worker remembers the features of, and documents whose features it lists at once.
+REMEMBERED, SLICE = 100_000, 512
 #: A-Z to a-z, other ASCII but digits and letters to a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -49,9 +49,11 @@ def _feature_lists(docs: DataFrame, names: list[str]) -> DataFrame:
     """names, then feats: the distinct features of _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = [list({f for w in words(t.as_py()) for f in features_of(w)}) for t in b.column(len(names))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(lists, pa.list_(pa.int64()))], [*names, "feats"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                lists = [list({f for w in words(t.as_py()) for f in features_of(w)}) for t in b.column(len(names))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(lists, pa.list_(pa.int64()))], [*names, "feats"])
 
     rows = docs.select(*names, "_text")
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("feats", T.ArrayType(T.LongType()))]))
