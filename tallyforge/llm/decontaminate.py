@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from .common import stored
 #: A-Z to a-z; all other ASCII but digits and letters to a space; other bytes as they are.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Bytes of benchmark text whose search tables one scan of the documents holds; a larger benchmark takes more scans.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 8_000_000
 #: Words in a block of the shift table.
 BLOCK = 2
 
@@ -24,74 +26,91 @@ def words(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search for word sequences of one length.
+    """Search for windows of `length` words of a text of word numbers.
 
-    shift: for the last words of a position's window, how far the search may move on; without an entry, no pattern has
-    that block and the whole window but one block is skipped. buckets: the patterns whose last block has shift 0.
+    shift: for the last words of a position's window, how far the search may move on; without an entry, no window has
+    that block and the whole window but one block is skipped. Where it may not move on, the entry names the bucket of the
+    windows that end in the block: they are compared word by word. Windows are places in `words`; nothing is copied.
     """
 
-    def __init__(self, length: int, block: int = BLOCK):
-        self.length, self.block = length, min(block, length)
-        self.shift: dict = {}
-        self.buckets: dict = defaultdict(list)
-        self.seen: dict = {}
-
-    def add(self, pattern: tuple[int, ...], owner: int) -> None:
-        if (owners := self.seen.get(pattern)) is not None:
-            owners.add(owner)
-            return
-        self.seen[pattern] = owners = {owner}
-        m, b = self.length, self.block
-        for end in range(b, m + 1):
-            key = pattern[end - b : end]
-            self.shift[key] = min(self.shift.get(key, m), m - end)
-        self.buckets[pattern[m - b :]].append((pattern, owners))
-
-    def find(self, ids: list[int]) -> Iterator[tuple[int, set[int]]]:
-        """(first word, owners) of each occurrence."""
-        m, b, shift, skip = self.length, self.block, self.shift.get, self.length - self.block + 1
-        end, n = m, len(ids)
+    def __init__(self, length: int, words: np.ndarray, starts: np.ndarray, owners: np.ndarray, vocabulary: int):
+        self.length, self.block, self.base = length, min(BLOCK, length), vocabulary + 1
+        blocks = words.astype(np.int64) + 1
+        for _ in range(self.block - 1):
+            blocks = blocks[:-1] * self.base + words[len(words) - len(blocks) + 1 :] + 1
+        last = blocks[starts + length - self.block]
+        order = np.argsort(last, kind="stable")
+        self.words, self.starts, self.owners = words.tolist(), starts[order].tolist(), owners[order].tolist()
+        ends, first = np.unique(last[order], return_index=True)
+        self.bounds = [*first.tolist(), len(starts)]
+        # In the order of their shifts, so that a block's first entry is its least.
+        keys = np.concatenate([blocks[starts + length - self.block - s] for s in range(length - self.block + 1)])
+        every, at = np.unique(keys, return_index=True)
+        self.shift = dict(zip(every.tolist(), (at // len(starts)).tolist(), strict=True)) | dict(zip(ends.tolist(), (-1 - np.arange(len(ends))).tolist(), strict=True))
+
+    def find(self, ids: list[int]) -> Iterator[tuple[int, int]]:
+        """(first word, owner) of each occurrence; ids: word numbers, -1 for words that are in no window."""
+        m, base, shift, skip = self.length, self.base, self.shift.get, self.length - self.block + 1
+        end, n, two = m, len(ids), self.block == 2
         while end <= n:
-            key = tuple(ids[end - b : end])
-            if step := shift(key, skip):
+            key = (ids[end - 2] + 1) * base + ids[end - 1] + 1 if two else ids[end - 1] + 1
+            step = shift(key, skip)
+            if step > 0:
                 end += step
                 continue
-            for pattern, owners in self.buckets[key]:
-                if tuple(ids[end - m : end]) == pattern:
-                    yield end - m, owners
+            own = ids[end - m : end]
+            for k in range(self.bounds[-1 - step], self.bounds[-step]):
+                if self.words[self.starts[k] : self.starts[k] + m] == own:
+                    yield end - m, self.owners[k]
             end += 1
 
 
-def searchers(items: list[tuple[str | None, str | None]], window: int) -> tuple[dict[bytes, int], list[WuManber], list[str | None]]:
-    vocabulary: dict[bytes, int] = {}
-    by_length: dict[int, WuManber] = {}
-    for owner, (_, text) in enumerate(items):
-        ids = tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words(text))
-        if not ids:
-            continue
-        m = min(window, len(ids))
-        machine = by_length.setdefault(m, WuManber(m))
-        for i in range(len(ids) - m + 1):
-            machine.add(ids[i : i + m], owner)
-    return vocabulary, list(by_length.values()), [i for i, _ in items]
+class Search:
+    """The tables of some items (id, text), made once in each worker that they are sent to."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        self.items, self.window = items, window
+
+    def __getstate__(self) -> dict:
+        return {"items": self.items, "window": self.window}
+
+    @cached_property
+    def tables(self) -> tuple[dict[bytes, int], list[WuManber]]:
+        vocabulary: dict[bytes, int] = {}
+        flat: list[int] = []
+        places: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for owner, (_, text) in enumerate(self.items):
+            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
+            if ids:
+                m = min(self.window, len(ids))
+                places[m].append((len(flat), len(ids) - m + 1, owner))
+                flat += ids
+        text, machines = np.array(flat, np.int32), []
+        for m, own in places.items():
+            starts = np.concatenate([np.arange(a, a + n) for a, n, _ in own])
+            machines.append(WuManber(m, text, starts, np.repeat([o for *_, o in own], [n for _, n, _ in own]), len(vocabulary)))
+        return vocabulary, machines
+
+    def ids(self, text: str | None) -> list[int]:
+        known = self.tables[0].get
+        return [known(w, -1) for w in words(text)]
 
 
 def _scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    sent = docs.sparkSession.sparkContext.broadcast(Search(items, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, machines, names = searchers(sent.value, window)
-        known = vocabulary.get
+        search = sent.value
+        names = [i for i, _ in search.items]
         for b in batches:
             count, hit, found = [], [], []
             for t in b.column(1):
-                own = words(t.as_py())
-                ids = [known(w, -1) for w in own]
+                own = search.ids(t.as_py())
                 spans, owners = [], set()
-                for machine in machines:
-                    for at, who in machine.find(ids):
+                for machine in search.tables[1]:
+                    for at, who in machine.find(own):
                         spans.append((at, at + machine.length))
-                        owners |= who
+                        owners.add(who)
                 places: list[int] = []
                 for a, z in sorted(spans):
                     places.extend(range(max(a, places[-1] + 1) if places else a, z))
@@ -105,8 +124,8 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, str | None]], window: i
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """The benchmark as (i, t), and into how many blocks it is dealt."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    """The benchmark's distinct items as (i, t), and into how many blocks they are dealt."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     total = items.select(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     return items, max(1, -(-total // block_bytes))
 
@@ -116,17 +135,16 @@ def _block(items: DataFrame, n: int, k: int) -> list[tuple[str | None, str | Non
 
 
 def _hit(spark: SparkSession, items: list[tuple[str | None, str | None]], window: int):
-    sent = spark.sparkContext.broadcast(items)
+    sent = spark.sparkContext.broadcast(Search(items, window))
 
     @F.arrow_udf("boolean")
     def hit(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, machines, _ = searchers(sent.value, window)
-        known = vocabulary.get
+        search = sent.value
         for batch in texts:
             found = []
             for t in batch:
-                ids = [known(w, -1) for w in words(t.as_py())]
-                found.append(any(next(m.find(ids), None) for m in machines))
+                ids = search.ids(t.as_py())
+                found.append(any(next(m.find(ids), None) for m in search.tables[1]))
             yield pa.array(found, pa.bool_())
 
     return hit
