@@ -33,8 +33,8 @@ SLICE = 512
 #: A null id comes after all others.
 LAST = 2**63 - 1
 
-_BASE = 0x9E3779B97F4A7C15 | 3
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Of the sums that runs of words are told apart by.
+_BASES = (0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F)
 
 
 def period(window: int) -> int:
@@ -42,28 +42,40 @@ def period(window: int) -> int:
 
 
 class Rolling:
-    """64-bit hashes of the runs of words in a document: sums of word hashes times powers, wrapping round, then mixed."""
+    """Hashes of the runs of words in a document: sums of word hashes times powers, wrapping round, then mixed."""
 
-    _powers = _inverses = np.ones(1, dtype=np.uint64)
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, words: list[bytes]):
-        n = len(words)
-        if len(Rolling._powers) <= n:
-            size = 2 * n + 64
-            step = np.full(size, _BASE, dtype=np.uint64)
-            back = np.full(size, _INVERSE, dtype=np.uint64)
-            step[0] = back[0] = 1
-            Rolling._powers, Rolling._inverses = np.multiply.accumulate(step), np.multiply.accumulate(back)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
-        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(hashes * Rolling._powers[:n], dtype=np.uint64)))
-
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        x = (self.sums[starts + length] - self.sums[starts]) * Rolling._inverses[starts]
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        self.sums: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The powers of a base and of its inverse, n or more of each; kept for the next document."""
+        own = cls._powers.get(base)
+        if own is None or len(own[0]) <= n:
+            both = [np.full(2 * n + 64, x, dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+            for x in both:
+                x[0] = 1
+            own = cls._powers[base] = tuple(map(np.multiply.accumulate, both))
+        return own
+
+    def at(self, starts: np.ndarray, length: int, base: int = _BASES[0]) -> np.ndarray:
+        """The 64-bit hashes of the runs of `length` words."""
+        times, back = self.powers(base, len(self.hashes))
+        if (sums := self.sums.get(base)) is None:
+            sums = self.sums[base] = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(self.hashes * times[: len(self.hashes)], dtype=np.uint64)))
+        x = (sums[starts + length] - sums[starts]) * back[starts]
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
         return x.view(np.int64)
 
+    def check(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """32 more bits of each run, from sums of their own."""
+        return (self.at(starts, length, _BASES[1]) >> 32).astype(np.int32)
+
 
 def cover_positions(n: int, window: int) -> np.ndarray:
     """Where anchors start in a document of n words."""
@@ -96,14 +108,14 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, window: int, packed, size: int) -> DataFrame:
-    """(h, d, k, at): hash and start of each window that holds an anchor of the filter."""
+    """(h, g, d, k, at): hash, more bits of it, and start of each window that holds an anchor of the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, v = packed.value, period(window)
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
-                out = [[np.zeros(0, np.int64)] for _ in range(4)]
+                out = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int64, np.int64, np.int32)]
                 for d, t, k in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
                     words = (t or "").encode("utf-8", "surrogatepass").split()
                     n = len(words)
@@ -118,11 +130,11 @@ def _candidates(docs: DataFrame, window: int, packed, size: int) -> DataFrame:
                     np.add.at(change, np.maximum(where - v + 1, 0), 1)
                     np.add.at(change, where + 1, -1)
                     starts = np.flatnonzero(np.cumsum(change)[: n - window + 1] > 0)
-                    for x, y in zip(out, (own.at(starts, window), np.full(len(starts), d, np.int64), np.full(len(starts), k, np.int64), starts), strict=True):
+                    for x, y in zip(out, (own.at(starts, window), own.check(starts, window), np.full(len(starts), d, np.int64), np.full(len(starts), k, np.int64), starts.astype(np.int32)), strict=True):
                         x.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "d", "k", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["h", "g", "d", "k", "at"])
 
-    return docs.select("d", "_text", "k").mapInArrow(run, "h long, d long, k long, at long")
+    return docs.select("d", "_text", "k").mapInArrow(run, "h long, g int, d long, k long, at int")
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +143,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     A word [^\\x20\\x09-\\x0D]+ goes if a window over it has the same words as a window that starts in a document with a
     smaller id, judged on the input. A null id counts as larger than all others, a null text as empty. Rows with the
     same id do not clear each other, and equal rows give equal results; an empty table gives none; further columns are
-    not read. Runs of words are compared by 64-bit hashes.
+    not read. Windows are compared by 96 bits of hashes: among 10^13 of them, two different ones are taken for equal with a probability of 0.001.
 
     No pairs are made. Shared anchors (two ids or more) become a filter of at most MOST_BITS bits for the tasks; windows
     that hold one are counted by their hash, and a window goes if its id is larger than its hash's smallest.
@@ -149,12 +161,12 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     two = F.array(F.pmod(F.col("h"), F.lit(size)), F.pmod(F.expr(f"h div {size}"), F.lit(size)))
     packed = spark.sparkContext.broadcast(bit_array(bit_rows(shared.select(F.explode(two).alias("b")), F.col("b") + 1), size))
 
-    rows = _candidates(base, window, packed, size)
+    rows = _candidates(base, window, packed, size).select(F.struct("h", "g").alias("h"), "d", "k", "at")
     first = stored(rows.groupBy("h").agg(*ends, F.count("*").alias("n")).filter("lo < hi").select("h", "lo", "n"))
     total = first.select(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     often = stored(first.filter(F.col("n") > max(total // 1000, 1)).select("h"))
     known = look_up(rows, first.select("h", "lo"), "h", often)
-    covered = known.filter("lo < d").groupBy("k").agg(F.array_sort(F.collect_set(F.col("at").cast("int"))).alias("starts"))
+    covered = known.filter("lo < d").groupBy("k").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,7 +178,9 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                     n = len(words)
                     left = words
                     if starts.is_valid:
+                        # Rows meet again by a hash; a place that is none in this text is another row's.
                         at = starts.values.to_numpy()
+                        at = at[at + window <= n]
                         change = np.zeros(n + 1, np.int32)
                         change[at] += 1
                         change[at + window] -= 1
