@@ -86,3 +86,30 @@ def test_query_equals_its_sql(spark, sf_dir):
     got = sorted(tuple(r) for r in op5_tool_calls(spark, sf_dir).select(*names).collect())
     assert got == want
     assert all(json.loads(r[-1]) for r in got)
+
+
+def test_levels_of_long_chains_stars_and_cycles(spark):
+    pick = random.Random(6)
+    needs = {f"c{i}": {f"c{i - 1}"} if i else set() for i in range(700)}  # a chain
+    needs |= {f"s{i}": {"c699"} for i in range(200)}  # many that need its end
+    needs |= {f"d{i}": {f"d{j}" for j in pick.sample(range(i), min(i, pick.randint(0, 3)))} | ({"c40"} if i % 7 == 0 else set()) for i in range(60)}  # some need several
+    needs |= {f"r{i}": {f"r{(i + 1) % 5}"} for i in range(5)} | {"behind": {"r2"}, "both": {"r1", "c3"}, "after": {"both"}, "self": {"self"}}
+    level = {}
+    while found := {n: 1 + max((level[x] for x in own), default=-1) for n, own in needs.items() if n not in level and all(x in level for x in own)}:
+        level |= found
+    nodes = spark.createDataFrame([(n,) for n in needs], "node string")
+    edges = spark.createDataFrame([(n, x) for n, own in needs.items() for x in own], "node string, needs string")
+    got = {r.node: r.level for r in levels(nodes, edges).collect()}
+    assert got == {n: level.get(n) for n in needs} and got["c699"] == 699 and got["s7"] == 700 and got["after"] is None
+
+
+def test_query_has_calls_on_several_levels(spark):
+    out = op5_tool_calls(spark, "/root/testdata/sf0.01").groupBy("kind", "level").count().collect()
+    assert sum(r["count"] for r in out if r.kind == "call" and r.level > 0) > 20
+
+
+def test_further_columns_and_long_payloads(spark):
+    long = json.dumps({"a": 1, "mode": "x" * 1_000_000})
+    d = spark.createDataFrame([(1, 1, "call", "i", "add", long, None, 5, "z"), (1, 2, "result", "i", None, "r" * 1_000_000, None, 5, "z")], SCHEMA + ", level int, _key string")
+    a, b = link_tool_calls(d, TOOLS).orderBy("turn").collect()
+    assert a.level == 0 and a.errors == ["too long: mode", "not a choice: mode"] and len(b.json) > 1_000_000

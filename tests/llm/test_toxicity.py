@@ -1,4 +1,9 @@
+import math
 import random
+import re
+
+import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -68,3 +73,54 @@ def test_held_out_accuracy_on_the_tables(spark, sf_dir):
     out = toxicity(docs.select("doc_id", "text"), labels.filter(~held))
     rows = out.join(labels.filter(held).select("doc_id", F.col("toxic").alias("y")), "doc_id").collect()
     assert sum(r.toxic == (r.y == 1) for r in rows) / len(rows) > 0.95
+
+
+def features(text):
+    own = set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate({c: c + 32 for c in range(65, 91)})))
+    return own | {w[:k] + "*" for w in own for k in (4, 5, 6, 7) if len(w) > k}
+
+
+def g2(rows, y, f):
+    out = 0.0
+    for has in (0, 1):
+        for is_y in (0, 1):
+            n = sum((f in own) == has and label[y] == is_y for own, label in rows)
+            expected = sum((f in own) == has for own, _ in rows) * sum(label[y] == is_y for _, label in rows) / len(rows)
+            out += 2 * n * math.log(n / expected) if n else 0.0
+    return out
+
+
+def plain_regression(x, y, l2=1e-3):
+    """Newton's steps on the mean log loss and l2 / 2 times the squared weights, the intercept free."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w, ridge = np.zeros(x.shape[1]), np.diag([l2] * (x.shape[1] - 1) + [0])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T * (p * (1 - p)) @ x / len(x) + ridge + 1e-12 * np.eye(len(w)), x.T @ (p - y) / len(x) + ridge @ w)
+    return lambda z: 1 / (1 + np.exp(-np.hstack([z, np.ones((len(z), 1))]) @ w))
+
+
+def test_chain_equals_a_plain_one(spark):
+    docs, labels = corpus(500, 4)
+    pick = random.Random(5)
+    labels = [(i, q, t if pick.random() < 0.85 else 1 - t) for i, q, t in labels]
+    d = spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string")
+    got = {r.doc_id: r.probabilities for r in toxicity(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    fold = {r.doc_id: r.f for r in d.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(4)).alias("f")).collect()}
+    rows = [(features(t), (int(q == 0), x)) for (_, t, _), (_, q, x) in zip(docs, labels, strict=True)]
+    every = [f for f in sorted(set().union(*(own for own, _ in rows))) if sum(f in own for own, _ in rows) >= 3]
+    chosen = [f for f in every if any(g2(rows, y, f) >= 20 for y in (0, 1))]
+    x = np.array([[f in own for f in chosen] for own, _ in rows], float)
+    want, held = [], x
+    for y in (0, 1):
+        target = np.array([label[y] for _, label in rows], float)
+        inputs = x if y == 0 else np.hstack([x, np.array(want[:1]).T])
+        want.append(plain_regression(held, target)(inputs))
+        folds = np.array([fold[i] for i, *_ in docs])
+        out = np.zeros(len(rows))
+        for k in range(4):
+            out[folds == k] = plain_regression(held[folds != k], target[folds != k])(held[folds == k])
+        held = np.hstack([held, out[:, None]])
+    assert len(chosen) > 4 and 0.2 < want[1].std()
+    for j, (i, *_) in enumerate(docs):
+        assert got[i][0] == pytest.approx(want[0][j], abs=0.02) and got[i][1] == pytest.approx(want[1][j], abs=0.02)

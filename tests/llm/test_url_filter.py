@@ -64,3 +64,30 @@ def test_mined_rules_block_pages_without_a_label(spark):
         want = r.page_id is None or (r.host != "" and r.page_id % 3 == 0 and r.page_id % 2 == 1)
         assert (r.verdict == "block") == want, r
     assert url_filter(p.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"), F.col("quality") == 0, []).collect() == []
+
+
+def test_query_rules_come_from_the_ruled_pages(spark):
+    """The verdicts of the query's own rules label the pages that they fit; every other page is judged by what brute force finds there."""
+    from collections import Counter
+
+    from tallyforge.llm.registry import op4_url_filter
+
+    sf_dir = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    own = {r[0]: frozenset(r[1]) for r in pages.select("page_id", tokens(pages.url)).collect()}
+    out = op4_url_filter(spark, sf_dir).collect()
+    labelled = {r.page_id: r.verdict == "block" for r in out if r.rule is not None}
+    n, k = Counter(), Counter()
+    for i, block in labelled.items():
+        for size in (1, 2, 3):
+            for t in combinations(sorted(own[i]), size):
+                n[t] += 1
+                k[t] += block
+    rules = {t for t in n if k[t] >= max(8, 0.001 * len(labelled)) and k[t] / n[t] >= 0.8}
+    fits = lambda i: any(t in rules for size in (1, 2, 3) for t in combinations(sorted(own[i]), size))
+    unruled = [r for r in out if r.rule is None]
+    for r in unruled:
+        assert (r.verdict == "block") == fits(r.page_id) == (r.mined_tokens is not None), r
+        assert r.mined_tokens is None or set(r.mined_tokens.split(" ")) <= own[r.page_id]
+    assert len(out) == len(own) and sum(r.verdict == "block" for r in unruled) > 10
+    assert url_filter(pages.limit(0), None, None, URL_RULES).collect() == []
