@@ -239,16 +239,10 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "fp long, hashes array<long>")
 
 
-def _with_map(rows: DataFrame, name: str, maps: DataFrame, often: DataFrame | None = None) -> DataFrame:
-    """rows with the struct (n, bits) of the set that the column `name` holds, as _<name>."""
-    side = maps.select(F.col("fp").alias(name), F.struct("n", "bits").alias(f"_{name}"))
-    return look_up(rows, side, name, often if often is not None else frequent(rows.select(name), name, rows.count()))
-
-
-def _pairs(found: DataFrame, maps: DataFrame, least: float) -> DataFrame:
-    """(a, b), a < b, each once and stored, of rows (fp, other) whose bit maps allow the similarity."""
-    once = stored(found.filter("fp <> other").select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct())
-    return stored(_with_map(_with_map(once, "a", maps), "b", maps).filter(may_be_alike("_a", "_b", least)).select("a", "b"))
+def _pairs(found: DataFrame, other: str, own: str, others: str, least: float) -> DataFrame:
+    """(a, b), a < b, each once and stored, of rows (fp, other) whose bit maps `own` and `others` allow the similarity."""
+    near = found.filter((F.col("fp") != F.col(other)) & may_be_alike(own, others, least))
+    return stored(near.select(F.least("fp", other).alias("a"), F.greatest("fp", other).alias("b")).distinct())
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -270,32 +264,31 @@ def similar_links(docs: DataFrame, distinct: DataFrame, shingle: int, least: flo
     """
     keys = stored(distinct.select("fp", F.col("rank._row").alias("_row"), F.explode("keys").alias("key")))
     often = frequent(keys, "key", keys.count())
+    # No set is in more rows of these two joins than it has keys.
+    maps = lambda name, own: distinct.select(F.col("fp").alias(name), F.struct("n", "bits").alias(own))
     each = keys.groupBy("key").agg(F.count("*").alias("_m"), F.min(F.struct("_row", "fp")).alias("_first")).filter("_m > 1")
-    members = stored(look_up(keys, each, "key", often).filter("_first is not null"))
+    firsts = stored(each.select("key", F.col("_first.fp").alias("other")).join(maps("other", "_b"), "other"))
+    members = stored(look_up(keys, firsts, "key", often).filter("other is not null").join(maps("fp", "_a"), "fp"))
     wanted = stored(members.select("fp", F.col("_row").alias(ROW)).distinct())
-    maps = stored(distinct.select("fp", "n", "bits").join(wanted.select("fp"), "fp", "left_semi"))
-
-    tested = _pairs(members.select("fp", F.col("_first.fp").alias("other")), maps, least)
 
     def made(pairs: DataFrame) -> DataFrame:
         """The sets of pairs. Most sets are in none; the rows of those that are, two numbers each, go to the tasks by their size, or Spark joins by a shuffle."""
         rows = stored(wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"))
         return stored(_sets(docs.join(rows, ROW).select("fp", "_text"), shingle))
+    tested = _pairs(members, "other", "_a", "_b", least)
     found = _confirmed(tested, made(tested), least)
 
-    members = members.select("fp", "key")
+    members = members.select("fp", "key", "_a")
     degree = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("_d"))
-    best = members.join(stored(degree), "fp").groupBy("key").agg(F.max(F.struct("_d", "fp")).alias("_best"))
+    best = stored(members.join(stored(degree), "fp").groupBy("key").agg(F.max(F.struct("_d", "fp", "_a")).alias("_best")))
     near = look_up(members, best, "key", often).filter("_best is not null")
-    more = _pairs(near.select("fp", F.col("_best.fp").alias("other")), maps, least)
-    more = stored(more.join(tested, ["a", "b"], "left_anti"))
+    more = stored(_pairs(near.withColumn("other", F.col("_best.fp")), "other", "_a", "_best._a", least).join(tested, ["a", "b"], "left_anti"))
     tested, found = stored(tested.union(more)), stored(found.union(_confirmed(more, made(more), least)))
 
     roots = stored(components(distinct.select("fp", "rank"), found).select("fp", F.col("root._row").alias("root")))
     members = stored(members.join(roots, "fp"))
     main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("_main"), F.count("*").alias("_roots")).filter("_roots > 1")
-    open_ = look_up(members, main.drop("_roots"), "key", often).filter("_main is not null").withColumn("a", F.col("fp"))
-    open_ = stored(_with_map(open_, "a", maps, frequent(open_.select("a"), "a", members.count())))
+    open_ = stored(look_up(members, main.drop("_roots"), "key", often).filter("_main is not null"))
     left = open_.filter("root <> _main").select("key", "fp", "root", "_a")
     right = open_.select("key", F.col("fp").alias("other"), F.col("root").alias("_root"), "_main", F.col("_a").alias("_b"))
     apart = (F.col("root") != F.col("_root")) & ((F.col("_root") == F.col("_main")) | (F.col("fp") < F.col("other"))) & may_be_alike("_a", "_b", least)
