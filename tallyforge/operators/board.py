@@ -163,3 +163,28 @@ def saved_last_good(last_good: DataFrame, rows: DataFrame, report: DataFrame, sa
 def enabled_sources(config: DataFrame) -> DataFrame:
     """(key, kind, label, list_url, ...) of the sources that are not disabled, each key's last entry."""
     return replaced(config.filter(~F.coalesce("disabled", F.lit(False))), ["key"], ["pos"])
+
+
+def dday_text(dday: Column) -> Column:
+    return F.when(dday == 0, "D-DAY").when(dday > 0, F.concat(F.lit("D-"), dday.cast("string"))).when(dday < 0, F.concat(F.lit("D+"), (-dday).cast("string")))
+
+
+def period_text(start: Column, end: Column) -> Column:
+    """start ~ end, or what there is of it; null without both."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.concat(start, F.lit(" ~ "), end)).when(end.isNotNull(), F.concat(F.lit("~ "), end)).when(start.isNotNull(), F.concat(start, F.lit(" ~")))
+
+
+def closing_soon(rows: DataFrame) -> DataFrame:
+    """The banner's list: what closes within days, the next first."""
+    return rows.filter("closing_soon").select("uid", "dday", dday_text(F.col("dday")).alias("text")).orderBy("dday", "uid")
+
+
+def collection_state(report: DataFrame, generated: str, today: str, late_days: int = 2) -> DataFrame:
+    """One row: late (the last collection is so many days ago), and the labels of stale sources: those that keep readers out, and the others.
+
+    report: (label, stale, blocked).
+    """
+    late = F.datediff(F.to_date(F.lit(today)), F.to_date(F.lit(generated[:10]))) >= late_days
+    labels = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("label"))))
+    stale, blocked = F.col("stale"), F.coalesce("blocked", F.lit(False))
+    return report.agg(F.first(late).alias("late"), labels(stale & blocked).alias("blocked"), labels(stale & ~blocked).alias("broken"))

@@ -19,6 +19,10 @@ def bucket(day: Column, unit: str) -> Column:
     return F.date_format({"day": d, "week": F.trunc(d, "week"), "month": F.trunc(d, "month")}[unit], "yyyy-MM-dd")
 
 
+def month_end(day: Column) -> Column:
+    return F.date_format(F.last_day(F.to_date(day)), "yyyy-MM-dd")
+
+
 def presets(first: str, last: str) -> dict[str, tuple[str, str]]:
     """Named ranges of days up to the last one, none before the first: 7 and 30 days, this month, the month before (if it has data), all."""
     end = date.fromisoformat(last)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import board, folds, merge
 from ..operators.order import coded, latest, with_position
+from ..sources import publish
 from ..sources.events import table
 
 
@@ -138,6 +139,28 @@ d AS (SELECT *, CASE WHEN closed_hint OR z < '{TODAY}T18:01' THEN 'closed' WHEN
 SELECT uid, status, CASE WHEN status IN ('open', 'upcoming') THEN togo END AS dday, status = 'open' AND togo <= 7 AS closing_soon, CASE WHEN span > 0 THEN CAST(floor(least(1.0, greatest(0.0, togo / span)) * 1000) AS BIGINT) END AS "left" FROM d"""
 
 
+def card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status_dday(spark, sf_dir).select("uid", board.dday_text(F.col("dday")).alias("dday"), board.period_text(F.col("apply_start"), F.col("apply_end")).alias("period"))
+
+
+CARD_TEXTS_SQL = f"""WITH {STATUS} SELECT uid, CASE WHEN dday = 0 THEN 'D-DAY' WHEN dday > 0 THEN 'D-' || dday END AS dday,
+  CASE WHEN apply_start IS NOT NULL AND apply_end IS NOT NULL THEN apply_start || ' ~ ' || apply_end WHEN apply_end IS NOT NULL THEN '~ ' || apply_end WHEN apply_start IS NOT NULL THEN apply_start || ' ~' END AS period FROM e"""
+
+
+def closing_soon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.closing_soon(status_dday(spark, sf_dir))
+
+
+CLOSING_SOON_SQL = f"WITH {STATUS} SELECT uid, dday, CASE WHEN dday = 0 THEN 'D-DAY' ELSE 'D-' || dday END AS text FROM e WHERE closing_soon"
+
+
+def payload_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads made of customers: whole ones, some without a number, an object or a list for an object, and some that are no JSON."""
+    k, head = F.col("c_custkey"), F.concat(F.lit('{"generated_at": '), F.col("c_custkey").cast("string"))
+    text = F.when(k % 5 == 0, F.concat(head, F.lit(', "summary": {"a": 1}}'))).when(k % 5 == 1, F.lit('{"generated_at": "x", "summary": {}}')).when(k % 5 == 2, F.concat(head, F.lit(', "summary": []}'))).when(k % 5 == 3, F.lit("[1]")).otherwise(head)
+    return table(spark, sf_dir, "customer").select("c_custkey", publish.has_shape(text).alias("fine"))
+
+
 def board_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.filtered(cards(spark, sf_dir), "s1", "E9", "user", "CALL 7", ["title", "entities"], open_only=True).select("uid")
 
@@ -302,7 +325,7 @@ QUERIES = {
     "latest_non_null": latest_non_null, "guarded_latest": guarded_latest, "carry_forward": carry_forward, "balance_spent": balance_spent, "asof_balance": asof_balance, "status_dday": status_dday,
     "cutoff_filter": cutoff_filter, "board_sort": board_sort, "override_patch": override_patch, "anti_join_missing": missing_accounts, "dimension_encode": dimension_encode, "latest_50": latest_50,
     "loose_date_parse": loose_dates, "keyword_lines": keyword_lines, "relevance": relevance, "model_mentions": entity_mentions, "page_links": page_links, "html_to_text": page_text, "fingerprint": fingerprint, "entity_merge": entity_merge,
-    "board_for_readers": board_for_readers, "live_status": live_status, "board_filter": board_filter, "status_counts": status_counts, "unknown_digest": unknown_digest, "override_links": override_links, "last_good": last_good,
+    "board_for_readers": board_for_readers, "live_status": live_status, "card_texts": card_texts, "closing_soon": closing_soon, "payload_shapes": payload_shapes, "board_filter": board_filter, "status_counts": status_counts, "unknown_digest": unknown_digest, "override_links": override_links, "last_good": last_good,
     "filter_values": lambda spark, sf_dir: board.filter_values(cards(spark, sf_dir)),
 }
 SQL = {
@@ -311,6 +334,6 @@ SQL = {
     "anti_join_missing": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
     "dimension_encode": "SELECT n_nationkey, n_name, dense_rank() OVER (ORDER BY n_name) - 1 AS code FROM nation", "latest_50": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "loose_date_parse": DATES_SQL, "keyword_lines": KEYWORD_SQL, "relevance": RELEVANCE_SQL, "model_mentions": ENTITIES_SQL, "page_links": LINKS_SQL,
-    "fingerprint": FINGERPRINT_SQL, "board_for_readers": BOARD_FOR_READERS_SQL, "live_status": LIVE_STATUS_SQL, "board_filter": BOARD_FILTER_SQL, "status_counts": STATUS_COUNTS_SQL, "unknown_digest": UNKNOWN_DIGEST_SQL,
+    "fingerprint": FINGERPRINT_SQL, "board_for_readers": BOARD_FOR_READERS_SQL, "live_status": LIVE_STATUS_SQL, "card_texts": CARD_TEXTS_SQL, "closing_soon": CLOSING_SOON_SQL, "payload_shapes": "SELECT c_custkey, c_custkey % 5 = 0 AS fine FROM customer", "board_filter": BOARD_FILTER_SQL, "status_counts": STATUS_COUNTS_SQL, "unknown_digest": UNKNOWN_DIGEST_SQL,
     "override_links": OVERRIDE_LINKS_SQL, "last_good": LAST_GOOD_SQL, "filter_values": FILTER_VALUES_SQL,
 }

@@ -14,6 +14,7 @@ from ..operators.report import UNASSIGNED, bucket_matrix, by_status, days_betwee
 from ..operators.rollup import arbitrated, complete_from, day_cube, imported_days, refreshed, retained, with_session_cwd
 from ..operators.windows import live, rolling, share_of_limit
 from ..sources.events import TURNS_SQL, event_turns, table
+from ..sources.publish import encoded
 
 #: 2024-01-30 12:00 UTC, a time within the events.
 AS_OF = 1_706_616_000_000
@@ -143,6 +144,24 @@ HISTORY_DETAIL_SQL = f"""{report_sql(DETAIL)} SELECT owner, provider, account, m
   coalesce(CAST(floor(microdollars * 10000.0 / nullif(sum(microdollars) OVER (PARTITION BY owner), 0)) AS BIGINT), 0) AS share FROM r WHERE tokens > 0 OR microdollars > 0"""
 
 
+SEVEN = ["day", "owner", "provider", "account", "model", "speed", "effort"]
+
+
+def history_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(spark, sf_dir, SEVEN).drop("days")
+
+
+HISTORY_CUBE_SQL = f"{report_sql(SEVEN)} SELECT * EXCLUDE (days) FROM r"
+
+
+def history_encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history's rows with places in sorted lists for their keys."""
+    return encoded(history_cube(spark, sf_dir), SEVEN)[0].select(*SEVEN, "turns", "microdollars")
+
+
+HISTORY_ENCODED_SQL = f"{report_sql(SEVEN)} SELECT " + ", ".join(f"dense_rank() OVER (ORDER BY {d}) - 1 AS {d}" for d in SEVEN) + ", turns, microdollars FROM r"
+
+
 def unassigned_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unassigned_share(report(spark, sf_dir, ["owner"]))
 
@@ -390,13 +409,13 @@ QUERIES = {name: x[0] for name, x in _HISTORY.items()} | {
     "daily_cube": daily_cube, "daily_cube_origin_split": cube_by_origin, "credit_unpriced": unpriced_by_reason, "credit_components": money_by_part, "zero_filled_days": zero_filled_days,
     "owner_first_match": owner_first_match, "rolling_windows_account": account_windows, "session_share": session_share, "pivot_windows": pivoted_windows, "dedupe_first_arrival": first_arrival,
     "dedupe_earliest": earliest_copy, "burst_filter": burst_filter, "session_totals": totals_of_sessions, "live_sessions": live_sessions, "tracked_accounts": tracked_accounts, "threshold_breach": threshold_breaches,
-    "report_shares": report_shares, "stack_chart": stack_chart, "history_detail": history_detail, "unassigned_money": unassigned_money, "missing_model_note": missing_model_note, "policy_status": lambda spark, sf_dir: by_status(policy_rows(spark, sf_dir)),
+    "report_shares": report_shares, "stack_chart": stack_chart, "history_detail": history_detail, "history_cube": history_cube, "history_encoded": history_encoded, "unassigned_money": unassigned_money, "missing_model_note": missing_model_note, "policy_status": lambda spark, sf_dir: by_status(policy_rows(spark, sf_dir)),
     "policy_people": policy_people, "daily_cube_session_paths": cube_of_session_paths, "imported_days": imported, "refreshed_cube": refreshed_cube, "rolling_windows_session": session_windows,
 }
 SQL = {name: x[1] for name, x in _HISTORY.items()} | {
     "daily_cube": f"{CUBE_SQL} SELECT * FROM cube", "daily_cube_origin_split": CUBE_BY_ORIGIN_SQL, "credit_unpriced": UNPRICED_SQL, "credit_components": MONEY_BY_PART_SQL, "zero_filled_days": ZERO_FILLED_SQL,
     "owner_first_match": f"WITH {TURNS_SQL} SELECT uuid, {OWNER} AS owner FROM turns", "rolling_windows_account": ACCOUNT_WINDOWS_SQL, "session_share": SESSION_SHARE_SQL, "pivot_windows": PIVOTED_SQL,
     "dedupe_first_arrival": _copies_sql("delivery, uuid"), "dedupe_earliest": _copies_sql("ts, uuid"), "burst_filter": BURST_SQL, "session_totals": SESSION_TOTALS_SQL, "live_sessions": LIVE_SQL, "tracked_accounts": TRACKED_SQL, "threshold_breach": BREACHES_SQL,
-    "report_shares": REPORT_SHARES_SQL, "stack_chart": STACK_CHART_SQL, "history_detail": HISTORY_DETAIL_SQL, "unassigned_money": UNASSIGNED_SQL, "missing_model_note": MISSING_MODEL_SQL, "policy_status": POLICY_STATUS_SQL,
+    "report_shares": REPORT_SHARES_SQL, "stack_chart": STACK_CHART_SQL, "history_detail": HISTORY_DETAIL_SQL, "history_cube": HISTORY_CUBE_SQL, "history_encoded": HISTORY_ENCODED_SQL, "unassigned_money": UNASSIGNED_SQL, "missing_model_note": MISSING_MODEL_SQL, "policy_status": POLICY_STATUS_SQL,
     "policy_people": POLICY_PEOPLE_SQL, "daily_cube_session_paths": SESSION_PATHS_SQL, "imported_days": IMPORTED_SQL, "refreshed_cube": REFRESHED_SQL, "rolling_windows_session": SESSION_WINDOWS_SQL,
 }

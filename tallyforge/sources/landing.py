@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
 from ..functions import text as X
+from ..operators.board import enabled_sources
 
 
 def read_pages(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
@@ -65,3 +68,19 @@ def announced(rows: DataFrame, bodies: DataFrame, *, wanted: str, unwanted: str,
         "source", F.col("label").alias("source_label"), uid.alias("uid"), "title", "url", "posted", period["start"].alias("apply_start"), period["end"].alias("apply_end"),
         F.col("title").rlike(closed).alias("closed_hint"), X.label_by(supplier, "supplier", "user", F.col("title"), F.substring(body, 1, 2000)).alias("audience"), X.first_long_line(body, 45, 200).alias("summary"),
     )
+
+
+def collected(pages: DataFrame, config: DataFrame, connectors: dict[str, Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """The listed rows of all enabled sources: each kind of source goes through its connector, (pages, config) -> the columns of `listed`.
+
+    config: (key, kind, disabled, pos, ...); pages: (source, page, markup). A source of an unknown kind gives no rows.
+    """
+    enabled = enabled_sources(config)
+    parts = []
+    for kind, connector in connectors.items():
+        own = enabled.filter(F.col("kind") == kind)
+        parts.append(connector(pages.join(own.select(F.col("key").alias("source")), "source", "left_semi"), own))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -44,3 +44,10 @@ def cooled(alerts: DataFrame) -> DataFrame:
         yield rows[keep]
 
     return alerts.groupBy("name", "account").applyInPandasWithState(run, alerts.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def sent_alerts(breaches: DataFrame, accounts: DataFrame) -> DataFrame:
+    """The alerts of a stream of breaches (name, provider, account, ts, cooldown_minutes, breached) that are sent: none of accounts that are suspended
+    or stale by the table accounts (provider, account, status, stale), and none within the cooldown."""
+    alive = accounts.filter((F.col("status") != "suspended") & ~F.col("stale")).select("provider", "account")
+    return cooled(breaches.filter("breached").drop("breached").join(alive, ["provider", "account"]).select("name", "account", "ts", "cooldown_minutes"))
