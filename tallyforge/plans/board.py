@@ -295,6 +295,19 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
+#: The entities that the tables' pages use, in the order in which they may be put in.
+_ENTITIES = {"&copy;": "©", "&middot;": "·", "&quot;": '"', "&amp;": "&"}
+_text = "html"
+for _pattern, _new in ((r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "' '"), (rf"(?i)<br\b[^>]*>|</(?:{'|'.join(X.BLOCKS)})\s*>", "chr(10)"), (r"(?i)</t[dh]\s*>", "' '"), (r"(?s)<[^>]*>", "''")):
+    _text = f"regexp_replace({_text}, '{_pattern}', {_new}, 'g')"
+for _name, _new in _ENTITIES.items():
+    _text = f"replace({_text}, '{_name}', '{_new}')"
+HTML_TEXT_SQL = rf"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace({_text}, chr(160), ' '), '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), ' ') AS t FROM pages),
+l AS (SELECT page_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM t),
+q AS (SELECT page_id, i, CASE WHEN length(x) - length(replace(x, '?', '')) >= 2 THEN regexp_replace(regexp_replace(x, '\?(\S)', ' \1', 'g'), '\?(\S)', ' \1', 'g') ELSE x END AS x FROM l)
+SELECT page_id, string_agg(regexp_replace(regexp_replace(x, '(\S)\?([가-힣])', '\1 \2', 'g'), '[ \t]{{2,}}', ' ', 'g'), chr(10) ORDER BY i) AS text FROM q GROUP BY page_id"""
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.fingerprint(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
@@ -334,6 +347,6 @@ SQL = {
     "anti_join_missing": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
     "dimension_encode": "SELECT n_nationkey, n_name, dense_rank() OVER (ORDER BY n_name) - 1 AS code FROM nation", "latest_50": "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
     "loose_date_parse": DATES_SQL, "keyword_lines": KEYWORD_SQL, "relevance": RELEVANCE_SQL, "model_mentions": ENTITIES_SQL, "page_links": LINKS_SQL,
-    "fingerprint": FINGERPRINT_SQL, "board_for_readers": BOARD_FOR_READERS_SQL, "live_status": LIVE_STATUS_SQL, "card_texts": CARD_TEXTS_SQL, "closing_soon": CLOSING_SOON_SQL, "payload_shapes": "SELECT c_custkey, c_custkey % 5 = 0 AS fine FROM customer", "board_filter": BOARD_FILTER_SQL, "status_counts": STATUS_COUNTS_SQL, "unknown_digest": UNKNOWN_DIGEST_SQL,
+    "html_to_text": HTML_TEXT_SQL, "fingerprint": FINGERPRINT_SQL, "board_for_readers": BOARD_FOR_READERS_SQL, "live_status": LIVE_STATUS_SQL, "card_texts": CARD_TEXTS_SQL, "closing_soon": CLOSING_SOON_SQL, "payload_shapes": "SELECT c_custkey, c_custkey % 5 = 0 AS fine FROM customer", "board_filter": BOARD_FILTER_SQL, "status_counts": STATUS_COUNTS_SQL, "unknown_digest": UNKNOWN_DIGEST_SQL,
     "override_links": OVERRIDE_LINKS_SQL, "last_good": LAST_GOOD_SQL, "filter_values": FILTER_VALUES_SQL,
 }
