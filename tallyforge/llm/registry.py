@@ -130,6 +130,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP7_SQL = r"""
+WITH lowered AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM lowered),
+items AS (SELECT DISTINCT id, ws, least(10, len(ws)) AS m FROM w WHERE kind = 'i' AND len(ws) > 0),
+wanted AS (SELECT DISTINCT id AS item, m, array_to_string(ws[i:i + m - 1], ' ') AS window_words FROM items, LATERAL (SELECT unnest(range(1, len(ws) - m + 2)) AS i)),
+asked AS (SELECT id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS window_words FROM w, (SELECT DISTINCT m FROM items) s, LATERAL (SELECT unnest(range(1, len(ws) - m + 2)) AS i) WHERE kind = 'd'),
+found AS (SELECT id, item, i, asked.m FROM asked JOIN wanted USING (m, window_words)),
+hits AS (SELECT id, count(DISTINCT p) AS n FROM found, LATERAL (SELECT unnest(range(i, i + m)) AS p) GROUP BY id),
+named AS (SELECT id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY id)
+SELECT CAST(w.id AS BIGINT) AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.n, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits h ON h.id = w.id LEFT JOIN named n ON n.id = w.id WHERE w.kind = 'd'
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -143,6 +157,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i)),
+f AS (SELECT h, min(doc_id) AS lo FROM s GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, p FROM s JOIN f USING (h), LATERAL (SELECT unnest(range(i, i + 50)) AS p) WHERE lo < doc_id),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM u ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -160,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_tool_calls": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_tool_calls": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_substring_dedup": OP10_SQL}
