@@ -89,6 +89,13 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TAGS_SQL = r"""WITH t AS (SELECT p_partkey AS k, p_brand, '24-' || p_partkey % 5 || 'th round [' || p_brand || '] ' || p_type || CASE WHEN p_partkey % 4 = 0 THEN ' closed' ELSE '' END AS x FROM part),
+w AS (SELECT *, list_transform(regexp_extract_all(x, '(?i)\b([a-z]+)\b', 1), lambda y: CASE WHEN lower(y) IN ('brass', 'copper', 'nickel', 'tin', 'steel') THEN 'Metal' WHEN lower(y) IN ('round', 'th', 'brand') THEN 'Any' ELSE upper(y) END) AS n FROM t),
+d AS (SELECT *, list_filter(n, lambda e, i: list_position(n, e) = i AND NOT (e = 'Any' AND list_contains(n, 'Metal'))) AS e FROM w)
+SELECT k, CASE WHEN regexp_matches(x, '(?i)steel') THEN 'steel' WHEN regexp_matches(x, '(?i)brass|copper|nickel|tin') THEN 'metal' END AS tag, '24-' || k % 5 AS nth, p_brand AS name, k % 4 = 0 AS closed_hint,
+  CASE WHEN regexp_matches(x, '(?i)economy') THEN 'low' ELSE 'high' END AS class, array_to_string(e, ',') AS entities FROM d"""
+
+
 def containment_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three lines of a document, one of them twice, in capitals and with a mark."""
     own = F.slice(X.lines(F.col("text")), 1, 3)
@@ -96,6 +103,13 @@ def containment_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(board.distinct_lines(doubled), "\n").alias("lines"))
 
 
+CONTAINMENT_SQL = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')), lambda x: x <> '')[1:3] AS x FROM documents),
+d AS (SELECT doc_id, list_concat(x, CASE WHEN len(x) > 1 THEN ['- ' || x[2] || '!'] ELSE [] END) AS x FROM l),
+p AS (SELECT doc_id, list_filter(list_transform(x, lambda y: {'line': y, 'plain': regexp_replace(y, '[^\p{L}\p{N}_]', '', 'g')}), lambda y: y.plain <> '') AS x FROM d)
+SELECT doc_id, CASE WHEN len(x) = 0 THEN '' ELSE array_to_string(list_transform(list_reduce(list_transform(x, lambda y: [y]), lambda acc, y:
+  CASE WHEN len(list_filter(acc, lambda z: contains(z.plain, y[1].plain) OR contains(y[1].plain, z.plain))) > 0 THEN acc ELSE list_concat(acc, y) END), lambda z: z.line), chr(10)) END AS lines FROM p"""
+
+
 def first_long_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.first_long_line(F.col("text"), 45, 200).alias("line"))
 
@@ -167,5 +181,5 @@ QUERIES = {
 }
 SQL = {
     "periods": PERIODS_SQL, "topk_per_key": TOPK_SQL, "cost_lines": COSTS_SQL, "scale_and_unknown_tokens": SCALE_SQL, "first_long_line": FIRST_LONG_SQL, "local_minutes": LOCAL_MINUTES_SQL, "readable_errors": ERRORS_SQL, "page_title": TITLES_SQL,
-    "page_addresses": ADDRESSES_SQL, "page_rows": PAGE_ROWS_SQL,
+    "page_addresses": ADDRESSES_SQL, "page_rows": PAGE_ROWS_SQL, "title_tags": TAGS_SQL, "containment_dedupe": CONTAINMENT_SQL,
 }
