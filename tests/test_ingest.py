@@ -3,13 +3,16 @@
 import gzip
 import json
 import random
+from types import SimpleNamespace
+
+import pytest
 
 from pyspark.sql import functions as F
 from tallyforge.functions import pricing
 from tallyforge.operators import alerts, folds, ingest, order, report, views
 from tallyforge.operators.attribution import ON_ROWS, first_match
 from tallyforge.sources import inbox
-from tallyforge.sources.scratch import drop_stored, stored, tables_stored
+from tallyforge.sources.scratch import drop_stored, scratch_dir, stored, tables_stored
 from tallyforge.streaming import ledger as stream
 
 
@@ -174,3 +177,12 @@ def test_stored_tables_are_dropped(spark, tmp_path):
     from pathlib import Path
 
     assert not Path(new[0]).exists() and Path(new[1]).exists() and a is not None
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://there:7077"}.get(key, default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(SimpleNamespace(conf=Conf()))
