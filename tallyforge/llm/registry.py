@@ -8,10 +8,13 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode, encode
 from .chat_format import Parameter, link_tool_calls
 from .common import table, vocabulary
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fill_in_middle, restored
+from .manifest import folded, leaf_digest, manifest, proof_digest
 from .near_dedup import hex_digits, near_dedup
 from .packing import pack
 from .substring_dedup import substring_dedup
@@ -168,6 +171,88 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, len(ws) - coalesce(k.n, 0)
 """
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n",
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+r AS (SELECT *, len(units) AS n, [CAST('0x' || h[8 * i + 1:8 * i + 8] AS BIGINT) FOR i IN range(4)] AS hs FROM d),
+c AS (SELECT *, least(hs[1] % (n + 1), hs[2] % (n + 1)) AS a, greatest(hs[1] % (n + 1), hs[2] % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR hs[3] % 100 >= 50 THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    altered = leaf_digest(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns))
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 0
+    out = manifest(table(spark, sf_dir, "documents"), columns, "lang", more={"tampered": F.when(tampered, altered)})
+    out = out.withColumn("folded_root", folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS raw,
+    [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] AS changed,
+    xor(4294967295, list_reduce(flatten([[(ord(c) >> k) & 1 FOR k IN range(8)] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+      lambda held, bit: CASE WHEN xor(held, bit) & 1 = 1 THEN xor(held >> 1, 3988292384) ELSE held >> 1 END, 4294967295)) % 7 = 0 AS tampered
+  FROM documents),
+leaves AS (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i,
+    sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN raw], '')) AS leaf,
+    sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN CASE WHEN tampered THEN changed ELSE raw END], '')) AS given FROM fields),
+node AS (
+  SELECT lang, 0 AS level, i, count(*) OVER (PARTITION BY lang) AS n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY lang, level, n, i // 2),
+sub AS (SELECT lang, level AS height, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1),
+top AS (
+  SELECT 0 AS level, i, n, digest FROM sub
+  UNION ALL
+  SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, n, i // 2),
+steps AS (
+  SELECT l.doc_id, n.level, CASE WHEN (l.i >> n.level) % 2 = 1 THEN '<' ELSE '>' END AS side, s.digest
+  FROM leaves l JOIN node n ON n.lang IS NOT DISTINCT FROM l.lang AND n.n > 1 AND n.i = l.i >> n.level
+  LEFT JOIN node s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = n.level AND s.i = xor(n.i, 1)
+  UNION ALL
+  SELECT l.doc_id, 1000 + t.level, CASE WHEN (b.i >> t.level) % 2 = 1 THEN '<' ELSE '>' END, s.digest
+  FROM leaves l JOIN sub b ON b.lang IS NOT DISTINCT FROM l.lang JOIN top t ON t.n > 1 AND t.i = b.i >> t.level
+  LEFT JOIN top s ON s.level = t.level AND s.i = xor(t.i, 1)),
+proof AS (SELECT doc_id, list(side || coalesce(digest, '') ORDER BY level) AS path FROM steps GROUP BY doc_id),
+done AS (
+  SELECT l.doc_id, l.leaf, b.digest AS subroot, (SELECT digest FROM top WHERE n = 1) AS root, sha256(array_to_string([x[2:] FOR x IN coalesce(path, [])], '')) AS proof_sha256,
+    list_reduce(coalesce(path, []), lambda held, x: CASE WHEN x[1] = '<' THEN sha256(x[2:] || held) ELSE sha256(held || x[2:]) END, given) AS folded_root
+  FROM leaves l JOIN sub b ON b.lang IS NOT DISTINCT FROM l.lang LEFT JOIN proof p ON p.doc_id = l.doc_id)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    out = decode(encode(table(spark, sf_dir, "documents"), path, PATTERN), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": corpus_pipeline.run,
@@ -181,8 +266,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_packing": op9_packing,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op5_tool_calls": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op5_tool_calls": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
