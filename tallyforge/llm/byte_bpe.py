@@ -202,9 +202,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         table = token_bytes(path)
         for b in batches:
             out = []
-            for blob in b.column(ids_col):
-                tokens = None if blob.as_py() is None else table.take(pa.array(np.frombuffer(blob.as_py(), "<u4")))
-                if tokens is not None and tokens.null_count:
+            for blob in b.column(ids_col).to_pylist():
+                ids = None if blob is None else np.frombuffer(blob, "<u4")
+                tokens = None if blob is None else table.take(pa.array(np.minimum(ids, len(table) - 1)))
+                if tokens is not None and (tokens.null_count or (ids >= len(table)).any()):
                     raise ValueError(f"{path} has no token for some id")
                 out.append(None if tokens is None else joined(tokens))
             yield b.append_column("decoded", pa.array(out, pa.binary()))
