@@ -21,8 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     return where
 
 
-#: The paths of the tables that were stored and not dropped yet, with the session that can drop them.
+#: The paths of the tables that were stored and not dropped yet, with the session that can drop them, and the names that some of them have.
 _made: dict[str, SparkSession] = {}
+_names: dict[str, str] = {}
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -38,6 +39,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """Like `stored`, in as many buckets of a column as a shuffle has partitions: grouping and joining by it then shuffle the other side only."""
+    spark = df.sparkSession
+    key = uuid.uuid4().hex
+    path, name = f"{scratch_dir(spark)}/tallyforge-{key}", f"spark_catalog.default.tallyforge_{key}"
+    _made[path], _names[path] = spark, name
+    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    return spark.table(name)
+
+
 def tables_stored() -> list[str]:
     """The stored tables that are there, the latest last."""
     return list(_made)
@@ -48,6 +59,9 @@ def drop_stored(keep: list[str] = ()) -> None:
     """Delete the stored tables but those of keep: what was made of them must have been written by then."""
     for path in [p for p in _made if p not in keep]:
         spark = _made.pop(path)
+        name = _names.pop(path, None)
         if spark.sparkContext._jsc is not None:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             there = spark._jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
