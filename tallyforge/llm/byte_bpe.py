@@ -3,7 +3,7 @@
 Texts are cut into pre-tokens in slices of some MB. A slice keeps, for each document, the numbers of its pre-tokens in
 their positions, and its distinct pre-tokens go to the shuffle by word, already without their repeats, so that a very
 frequent word has one row for each slice. Equal words meet in one task, in order, and are encoded once there; the ids
-go back to the slices, where each document is put together by position.
+go back to the slices, which lie in buckets, and each document is put together by position there.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..sources.scratch import bucketed
 
 #: A slice ends with the document that brings it to so many characters, or to so many different words.
-SLICE_CHARS, SLICE_WORDS = 1 << 24, 1 << 19
-#: Documents whose numbers are packed together; words in one row on their way to the shuffle.
+SLICE_CHARS, SLICE_WORDS = 1 << 25, 1 << 19
+#: Documents whose numbers are packed together; words in one row.
 SHEET_DOCS, ROW_WORDS = 512, 4096
 #: Words of all slices that a task gathers before it sends ids back.
 SENT_WORDS = 1 << 20
@@ -77,44 +77,41 @@ class Numbers(dict):
         return n
 
 
-#: A sheet has ids, counts (words of each document) and numbers; a word row has words, the first of them numbered `first`.
-_SLICES = "slice long, ids array<long>, counts array<int>, numbers binary, first int, words array<string>"
+#: A sheet has ids, counts (words of each document) and numbers; a word row has words in their order, each with its number.
+_SLICES = "slice long, ids array<long>, counts array<int>, numbers binary, words array<string>, places array<int>"
+_ROW = pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("numbers", pa.binary()), ("words", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], source: str, task: int) -> Iterator[pa.RecordBatch]:
-    """Sheets and word rows of the documents (doc_id, text) of one task."""
-    words, schema = pattern(source).findall, pa.schema([("slice", pa.int64()), ("ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("numbers", pa.binary()), ("first", pa.int32()), ("words", pa.list_(pa.string()))])
-    at, chars = task << 32, 0
-    number, ids, codes = Numbers(), [], []
-
-    def row(**values) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{"slice": at} | values], schema)
+def _slice_rows(at: int, words: list[str], ids: list, codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sheets and word rows of a slice. The most frequent word becomes number 0, so that most numbers are small."""
+    row = lambda **values: pa.RecordBatch.from_pylist([{"slice": at} | values], _ROW)
+    number = np.empty(len(words), np.uint32)
+    number[np.argsort(-np.bincount(np.concatenate(codes), minlength=len(words)), kind="stable")] = np.arange(len(words))
+    for i in range(0, len(ids), SHEET_DOCS):
+        part = codes[i : i + SHEET_DOCS]
+        yield row(ids=ids[i : i + SHEET_DOCS], counts=[len(c) for c in part], numbers=packed(number[np.concatenate(part)]))
+    order = sorted(range(len(words)), key=words.__getitem__)
+    for i in range(0, len(order), ROW_WORDS):
+        part = order[i : i + ROW_WORDS]
+        yield row(words=[words[k] for k in part], places=number[part].astype(np.int32))
 
-    def sheet() -> pa.RecordBatch:
-        out = row(ids=ids, counts=[len(c) for c in codes], numbers=packed(np.concatenate(codes)))
-        ids.clear(), codes.clear()
-        return out
-
-    def last() -> Iterator[pa.RecordBatch]:
-        if ids:
-            yield sheet()
-        known = list(number)
-        for i in range(0, len(known), ROW_WORDS):
-            yield row(first=i, words=known[i : i + ROW_WORDS])
 
+def _cut(batches: Iterator[pa.RecordBatch], source: str, task: int) -> Iterator[pa.RecordBatch]:
+    """Sheets and word rows of the documents (doc_id, text) of one task."""
+    find = pattern(source).findall
+    at, chars, known, ids, codes = task << 32, 0, Numbers(), [], []
     for b in batches:
         for doc_id, each in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             text = each.as_py()
-            found = words(text)
+            found = find(text)
             ids.append(doc_id)
-            codes.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
+            codes.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
             chars += len(text)
-            if len(ids) == SHEET_DOCS:
-                yield sheet()
-            if chars >= SLICE_CHARS or len(number) >= SLICE_WORDS:
-                yield from last()
-                at, chars, number = at + 1, 0, Numbers()
-    yield from last()
+            if chars >= SLICE_CHARS or len(known) >= SLICE_WORDS:
+                yield from _slice_rows(at, list(known), ids, codes)
+                at, chars, known, ids, codes = at + 1, 0, Numbers(), [], []
+    if ids:
+        yield from _slice_rows(at, list(known), ids, codes)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -182,9 +179,9 @@ def encode(docs: DataFrame, path: str, source: str, id_col: str = "doc_id", text
     of its own: a task holds one document, or SLICE_CHARS characters of several, at a time.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    cut = stored(base.mapInArrow(lambda batches: _cut(batches, source, TaskContext.get().partitionId()), _SLICES))
-    words = cut.filter("words is not null").select("slice", "first", F.posexplode("words").alias("_i", "word"))
-    by_word = words.select("slice", (F.col("first") + F.col("_i")).alias("place"), "word").repartition("word").sortWithinPartitions("word")
+    cut = bucketed(base.mapInArrow(lambda batches: _cut(batches, source, TaskContext.get().partitionId()), _SLICES), "slice")
+    words = cut.filter("words is not null").select("slice", F.explode(F.arrays_zip("places", "words")).alias("w"))
+    by_word = words.select("slice", F.col("w.places").alias("place"), F.col("w.words").alias("word")).repartition("word").sortWithinPartitions("word")
     sent = by_word.mapInArrow(lambda batches: _encoded(batches, path), "slice long, n int, places binary, lengths binary, n_ids int, ids binary")
     sheets = cut.filter("ids is not null").select("slice", "ids", "counts", "numbers")
     out = sheets.groupBy("slice").cogroup(sent.groupBy("slice")).applyInArrow(_by_position, "doc_id long, ids binary")

@@ -54,7 +54,7 @@ def _local(cut):
     import pyarrow as pa
 
     rows = [r for b in cut for r in b.to_pylist()]
-    words = sorted(((r["slice"], r["first"] + k, w) for r in rows if r["words"] is not None for k, w in enumerate(r["words"])), key=lambda x: x[2].encode())
+    words = sorted(((r["slice"], k, w) for r in rows if r["words"] is not None for k, w in zip(r["places"], r["words"], strict=True)), key=lambda x: x[2].encode())
     parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*words[i : i + 7], strict=True)], ["slice", "place", "word"]) for i in range(0, len(words), 7)]
     sent = [r for b in byte_bpe._encoded(iter(parts), PATH) for r in b.to_pylist()]
     out = []
