@@ -157,17 +157,18 @@ def _by_position(sheets: pa.Table, sent: pa.Table) -> pa.Table:
         flat.append(unpacked(r["ids"], r["n_ids"]))
         before += r["n_ids"]
     flat = np.concatenate(flat) if flat else np.empty(0, "<u4")
-    ids, out = [], []
-    for s in sheets.to_pylist():
+    out = []
+    for k in range(sheets.num_rows):  # a sheet is a batch of the result: neither side holds a slice's ids as a whole
+        s = sheets.slice(k, 1).to_pylist()[0]
         counts = np.array(s["counts"], np.int64)
         numbers = unpacked(s["numbers"], int(counts.sum()))
         each = length[numbers]
         ends = np.concatenate(([0], np.cumsum(each)))
         tokens = flat[np.repeat(first[numbers] - ends[:-1], each) + np.arange(ends[-1])]
-        ids += s["ids"]
         cuts = ends[np.concatenate(([0], np.cumsum(counts)))]
-        out += [tokens[a:b].tobytes() for a, b in pairwise(cuts.tolist())]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(out, pa.binary())})
+        ids = [tokens[a:b].tobytes() for a, b in pairwise(cuts.tolist())]
+        out.append(pa.RecordBatch.from_arrays([pa.array(s["ids"], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"]))
+    return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
 
 
 def encode(docs: DataFrame, path: str, source: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +198,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = token_bytes(path)
-        for b in batches:
+        for b in (b.slice(i, SHEET_DOCS) for b in batches for i in range(0, b.num_rows, SHEET_DOCS)):
             out = []
             for blob in b.column(ids_col).to_pylist():
                 ids = None if blob is None else np.frombuffer(blob, "<u4")
