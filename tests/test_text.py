@@ -7,6 +7,9 @@ import re
 import zipfile
 from difflib import SequenceMatcher
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from tallyforge.functions import pages as P
 from tallyforge.functions import text as X
@@ -154,24 +157,82 @@ def test_candidate_pairs_miss_none(spark):
     assert want and want <= got and len(got) < len(own) ** 2 / 4
 
 
-def test_groups_are_those_of_the_greedy_rule(spark):
-    pick = random.Random(9)
-    own = names(pick, 40)
-    day = lambda: pick.choice([None, "2024-01-05", "2024-01-20", "2024-06-01T09:00"])
-    rows = [(i, f"s{pick.randrange(4)}", pick.choice([*own, None, ""]), pick.randrange(9), day(), day(), pick.choice([None, None, "24-1", "24-2"]), pick.choice([None, None, "t", "u"])) for i in range(160)]
+@pytest.mark.parametrize("least", [0.75, 0.9, 0.95])
+def test_candidate_pairs_of_long_and_short_names(spark, least):
+    pick = random.Random(int(least * 100))
+    bases = ["".join(pick.choice("abcdefghijkl ") for _ in range(pick.choice([1, 2, 3, 5, 20, 45, 60, 250]))) for _ in range(16)]
+    own = sorted({"".join(pick.choice("abx") if pick.random() < 0.06 else c for c in pick.choice(bases)) + pick.choice(["", "", "z", "q" * 4]) for _ in range(140)})
+    want = {(a, b) for a, b in itertools.combinations(own, 2) if SequenceMatcher(None, a, b).ratio() >= least or SequenceMatcher(None, b, a).ratio() >= least}
+    got = {tuple(r) for r in merge.candidate_pairs(spark.createDataFrame([(x,) for x in own], "core string"), least).collect()}
+    assert len(want) > 15 and want <= got
+
+
+KEYS = ("uid", "source", "core", "richness", "apply_start", "apply_end", "nth", "tag")
+POSTS = "uid int, source string, core string, richness int, apply_start string, apply_end string, nth string, tag string"
+
+
+def records(pick, own, n, sources=4):
+    day = lambda: pick.choice([None, "", "2024-01-05", "2024-01-20", "2024-06-01T09:00"])
+    return [(i, f"s{pick.randrange(sources)}", pick.choice(own), pick.randrange(9), day(), day(), pick.choice([None, None, "24-1", "24-2"]), pick.choice([None, "", "t", "u"])) for i in range(n)]
+
+
+def greedy(rows):
+    """The rule, one record after the other."""
     groups, want = [], {}
-    keys = ("uid", "source", "core", "richness", "apply_start", "apply_end", "nth", "tag")
-    for r in sorted((dict(zip(keys, x, strict=True)) for x in rows), key=lambda x: (-x["richness"], x["uid"])):
+    for r in sorted((dict(zip(KEYS, x, strict=True)) for x in rows), key=lambda x: (-x["richness"], x["uid"])):
         home = next((g for g in groups if all(merge.same_announcement(r, x, ["tag"]) for x in g)), None)
         if home is None:
             groups.append(home := [])
         home.append(r)
         want[r["uid"]] = home[0]["uid"]
-    d = spark.createDataFrame(rows, "uid int, source string, core string, richness int, apply_start string, apply_end string, nth string, tag string")
-    got = {r.uid: r.group for r in merge.grouped(d, ["tag"]).collect()}
+    return want
+
+
+@pytest.mark.parametrize("chunk", [merge.CHUNK, 7])
+def test_groups_are_those_of_the_greedy_rule(spark, chunk):
+    pick = random.Random(9)
+    rows = records(pick, [*names(pick, 40), None, ""], 160)
+    want = greedy(rows)
+    got = {r.uid: r.group for r in merge.grouped(spark.createDataFrame(rows, POSTS), ["tag"], chunk=chunk).collect()}
     assert got == want and len(set(want.values())) < 155
 
 
+def test_settling_equals_the_rule_on_random_graphs():
+    """500 sets of records whose names are alike or not as it falls; half of them settled in two steps."""
+    pick = random.Random(10)
+    for k in range(500):
+        own = names(pick, pick.choice([5, 10, 30]))
+        rows = records(pick, own, pick.randrange(2, 60), pick.randrange(2, 6))
+        want = greedy(rows)
+        d = pd.DataFrame(rows, columns=KEYS).sort_values(["richness", "uid"], ascending=[False, True]).reset_index(drop=True)
+        d["place"], d["group"] = d.index, np.nan
+        links = pd.DataFrame([(a, b) for a, b in itertools.permutations(own, 2) if SequenceMatcher(None, a, b).ratio() >= 0.9], columns=["core", "other"])
+        cut = len(d) // 2 if k % 2 else len(d)
+        d.loc[: cut - 1, "group"] = merge.settled(d[:cut], links, ["tag"])
+        if cut < len(d):
+            d.loc[cut:, "group"] = merge.settled(d, links, ["tag"])
+        assert {r.uid: d["uid"][int(r.group)] for r in d.itertuples()} == want
+
+
+def test_one_name_with_most_records(spark):
+    pick = random.Random(11)
+    rows = records(pick, ["one name of all"] * 9 + ["one name of al", "something else"], 300, 3)
+    got = {r.uid: r.group for r in merge.grouped(spark.createDataFrame(rows, POSTS), ["tag"], chunk=40).collect()}
+    assert got == greedy(rows)
+
+
+def test_no_announcements(spark):
+    assert merge.grouped(spark.createDataFrame([], POSTS), ["tag"]).collect() == []
+
+
+def test_candidates_are_few(spark):
+    """Names as those of the query's table: nearly every candidate that is compared is alike."""
+    own = spark.read.parquet("/root/testdata/sf0.01/part.parquet").select(F.lower(F.regexp_replace(F.concat_ws("", "p_name", "p_brand", "p_type"), r"\W", "")).alias("core")).distinct()
+    pairs = merge.candidate_pairs(own).cache()
+    real = merge.alike(pairs).select(F.least("core", "other"), F.greatest("core", "other")).distinct().count()
+    assert 4000 < real <= pairs.count() < 2 * real
+
+
 def test_merged_fields(spark):
     rows = [(1, "a", "A", "u1", 5, None, ["x"], False, True, "2024"), (2, "b", "B", "u2", 3, "sum", ["y", "x"], True, False, ""), (3, "c", "C", "u3", 1, "other", [], None, True, "2023"), (4, "a", "A", "u4", 0, "", ["z"], False, True, "2022")]
     d = spark.createDataFrame(rows, "uid int, source string, source_label string, url string, richness int, summary string, entities array<string>, closed_hint boolean, stale boolean, stale_since string")
