@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .scan import AT, SEGMENT, earlier, local, previous, segmented, with_carried
+
 
 def last_values(rows: DataFrame, keys: list[str], order: list[str], always: list[str], known: list[str], largest: list[str] = ()) -> DataFrame:
     """Of each key: the last value of `always`, nulls too, the last value that is known of `known`, and the largest of `largest`."""
@@ -17,58 +20,119 @@ def last_values(rows: DataFrame, keys: list[str], order: list[str], always: list
     )
 
 
+def _last_record(rows: DataFrame, keys: list[str], order: list[str], ok: Column, stamp: str, what: Column) -> DataFrame:
+    """(keys, _what, _most): `what` of the last row that is ok and whose stamp is none earlier than all stamps before it, and the latest stamp.
+
+    Within a segment, such rows have rising stamps. So if the last of them is behind a stamp of the segments before, all are: of each segment
+    that row and the latest stamp say enough.
+    """
+    cut = segmented(rows.select(*keys, *order, F.col(stamp).alias("_stamp"), ok.alias("_ok"), what.alias("_what")), keys, order)
+    highest = F.max("_stamp").over(local(keys).rowsBetween(Window.unboundedPreceding, -1))
+    held = cut.withColumn("_ok", F.col("_ok") & (F.col("_stamp") >= F.coalesce(highest, F.col("_stamp"))))
+    last = F.max_by(F.struct("_stamp", "_what"), F.when(F.col("_ok"), F.col(AT)))
+    parts = stored(held.groupBy(*keys, SEGMENT).agg(last.alias("_last"), F.max("_stamp").alias("_most")))
+    accepted = F.col("_last._stamp") >= F.coalesce(F.max("_most").over(earlier(keys)), F.col("_last._stamp"))
+    parts = parts.withColumn("_in", accepted)
+    return parts.groupBy(*keys).agg(F.max_by("_last", F.when(F.col("_in"), F.col(SEGMENT))).alias("_last"), F.max("_most").alias("_most"))
+
+
 def guarded_latest(rows: DataFrame, keys: list[str], order: list[str], value: str, stamp: str) -> DataFrame:
     """(keys, value, stamp): a known value replaces the held one if its stamp is none earlier than all stamps before it.
 
     The stamp of a null value counts too, so this is not the value with the largest stamp.
     """
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    accepted = F.col(value).isNotNull() & (F.col(stamp) >= F.coalesce(F.max(stamp).over(before), F.col(stamp)))
-    return rows.withColumn("_ok", accepted).groupBy(*keys).agg(F.max_by(value, F.when(F.col("_ok"), F.struct(*order))).alias(value), F.max(stamp).alias(stamp))
+    out = _last_record(rows, keys, order, F.col(value).isNotNull(), stamp, F.col(value))
+    return out.select(*keys, F.col("_last._what").alias(value), F.col("_most").alias(stamp))
 
 
 def carried_forward(rows: DataFrame, keys: list[str], order: list[str], stamp: str, present: Column, part: str) -> DataFrame:
     """(keys, part, part_at): the part of the last accepted row that has it, an explicit null too, with that row's stamp."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    ok = present & (F.col(stamp) >= F.coalesce(F.max(stamp).over(before), F.col(stamp)))
-    held = F.max_by(F.struct(part, stamp), F.when(F.col("_ok"), F.struct(*order)))
-    return rows.withColumn("_ok", ok).groupBy(*keys).agg(held.alias("_h")).select(*keys, F.col(f"_h.{part}").alias(part), F.col(f"_h.{stamp}").alias("part_at"))
+    out = _last_record(rows, keys, order, present, stamp, F.col(part))
+    return out.select(*keys, F.col("_last._what").alias(part), F.col("_last._stamp").alias("part_at"))
 
 
 def changes(rows: DataFrame, keys: list[str], order: list[str], value: str, least: float = 0) -> DataFrame:
     """The rows that are stored: first ones, and those whose value differs from that of the last stored row by more than `least`.
 
-    Rows that repeat the row before are never stored and are dropped first. The rest of a key, its changes, is gone through in order.
+    Rows without a value are never stored. With a `least`, what a segment stores depends on the value held before it: each segment starts from
+    a guess, the last value before it, and those whose guess was not what the segment before ends with are gone through again, until none is
+    left. Two walks meet at the first jump beyond the spread of their held values, so few rounds are needed.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    moved = rows.withColumn("_p", F.lag(value).over(w)).filter(F.col("_p").isNull() | (F.col(value) != F.col("_p"))).drop("_p")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, keep, held = pdf.sort_values(order), [], None
+    cut = segmented(rows.filter(F.col(value).isNotNull()), keys, order)
+    ends = stored(cut.groupBy(*keys, SEGMENT).agg(F.max_by(value, AT).alias("_end")))
+    guess = stored(ends.select(*keys, SEGMENT, F.lag("_end").over(previous(keys)).alias("_held")))
+    if not least:
+        before = F.coalesce(F.lag(value).over(local(keys)), F.col("_held"))
+        kept = with_carried(cut, keys, guess).withColumn("_before", before)
+        return kept.filter(F.col("_before").isNull() | (F.col(value) != F.col("_before"))).select(*rows.columns)
+
+    def walked(pdf: pd.DataFrame) -> tuple[list[bool], float]:
+        held, keep = pdf["_held"].iloc[0], []
+        held = None if pd.isna(held) else held
         for x in pdf[value]:
-            new = held is None or abs(x - held) > least
-            held = x if new else held
-            keep.append(new)
-        return pdf[keep]
-
-    return moved.groupBy(*keys).applyInPandas(run, moved.schema)
+            keep.append(held is None or abs(x - held) > least)
+            held = x if keep[-1] else held
+        return keep, held
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(AT)
+        return pdf[[*keys, SEGMENT]].head(1).assign(_last=walked(pdf)[1])
+
+    def stored_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(AT)
+        return pdf[walked(pdf)[0]].drop(columns=[SEGMENT, AT, "_held"])
+
+    types = {f.name: f.dataType.simpleString() for f in cut.schema}
+    shape = ", ".join(f"`{c}` {types[c]}" for c in [*keys, SEGMENT]) + f", _last {types[value]}"
+    todo, known = guess, None
+    while True:
+        lasts = with_carried(cut.select(*keys, SEGMENT, AT, value), keys, todo).groupBy(*keys, SEGMENT).applyInPandas(last, shape)
+        again = todo.select(*keys, SEGMENT)
+        known = stored(lasts if known is None else lasts.unionByName(known.join(again.withColumn("_again", F.lit(True)), _same(known, again, keys), "left_anti")))
+        real = stored(known.select(*keys, SEGMENT, F.lag("_last").over(previous(keys)).alias("_real")))
+        both = with_carried(guess, keys, real)
+        todo = stored(both.filter(~F.col("_held").eqNullSafe(F.col("_real"))).select(*keys, SEGMENT, F.col("_real").alias("_held")))
+        if todo.isEmpty():
+            break
+        guess = stored(both.select(*keys, SEGMENT, F.col("_real").alias("_held")))
+    return with_carried(cut, keys, guess).groupBy(*keys, SEGMENT).applyInPandas(stored_rows, rows.schema)
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    out = left[SEGMENT] == right[SEGMENT]
+    for k in keys:
+        out = out & left[k].eqNullSafe(right[k])
+    return out
 
 
 def spent_since(rows: DataFrame, keys: list[str], order: list[str], value: str, at: str, since: Column, initial: Column | None = None) -> DataFrame:
     """(keys, spent, anchor, since): decreases of a balance since a time; rises do not count.
 
     They count from the anchor: the last observation before that time, else the initial value, if one is given, else the first observation;
-    with the latter, `since` is its own time. A key without observations has no row.
+    with the latter, `since` is its own time. A key without observations has no row. Of a segment, the falls within it, its first and its last
+    observation are kept; the fall into its first one comes from the segment before.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    at_first = F.coalesce(F.lag(value).over(w), initial) if initial is not None else F.lag(value).over(w)
-    fall = F.greatest(F.lit(0), at_first - F.col(value))
-    before = F.max_by(value, F.when(F.col(at) < since, F.struct(*order)))
-    first = F.min_by(value, F.struct(*order))
-    out = rows.withColumn("_fall", fall).groupBy(*keys)
-    anchor = F.coalesce(before, initial if initial is not None else first, first)
-    known = before.isNotNull() | (F.lit(initial is not None))
-    return out.agg(F.coalesce(F.sum(F.when(F.col(at) >= since, F.col("_fall"))), F.lit(0)).alias("spent"), anchor.alias("anchor"), F.when(known, since).otherwise(F.min(at)).alias("since"))
+    cut = segmented(rows.withColumn("_since", since).withColumn("_initial", initial if initial is not None else F.lit(None).cast(rows.schema[value].dataType)), keys, order)
+    fall = lambda before, now: F.greatest(F.lit(0), before - now)
+    here = F.lag(AT).over(local(keys)).isNotNull() & (F.col(at) >= F.col("_since"))
+    cut = cut.withColumn("_fall", F.when(here, fall(F.coalesce(F.lag(value).over(local(keys)), F.col("_initial")), F.col(value))))
+    now = F.struct(F.col(value).alias("v"), F.col(at).alias("at"), F.col("_since").alias("since"), F.col("_initial").alias("initial"))
+    parts = stored(
+        cut.groupBy(*keys, SEGMENT).agg(
+            F.sum("_fall").alias("_falls"), F.min_by(now, AT).alias("_first"), F.max_by(value, AT).alias("_last"),
+            F.max_by(F.struct(F.col(value).alias("v")), F.when(F.col(at) < F.col("_since"), F.col(AT))).alias("_before"), F.min(at).alias("_least"),
+        )
+    )
+    entry = fall(F.coalesce(F.lag("_last").over(previous(keys)), F.col("_first.initial")), F.col("_first.v"))
+    parts = parts.withColumn("_entry", F.when(F.col("_first.at") >= F.col("_first.since"), entry))
+    first, before = F.min_by("_first", SEGMENT), F.max_by("_before", F.when(F.col("_before").isNotNull(), F.col(SEGMENT)))
+    start = F.coalesce(first["initial"], first["v"]) if initial is not None else first["v"]
+    known = before.isNotNull() | F.lit(initial is not None)
+    return parts.groupBy(*keys).agg(
+        (F.coalesce(F.sum("_falls"), F.lit(0)) + F.coalesce(F.sum("_entry"), F.lit(0))).alias("spent"),
+        F.coalesce(before["v"], start).alias("anchor"),
+        F.when(known, first["since"]).otherwise(F.min("_least")).alias("since"),
+    )
 
 
 def credit_view(accounts: DataFrame, keys: list[str], balances: DataFrame, order: list[str], value: str, at: str, since: Column, initial: Column, limit: Column, today: str, limit_until: str | None) -> DataFrame:
@@ -86,11 +150,16 @@ def as_of(rows: DataFrame, keys: list[str], order: list[str], value: str, at: st
 def as_of_many(times: DataFrame, rows: DataFrame, keys: list[str], value: str, at: str, order: list[str]) -> DataFrame:
     """times (keys, at, ...) with the last value of rows before each time; null where there is none.
 
-    Both are put into one sequence of each key, an observation after the times equal to its own, and carried forward.
+    Both are put into one sequence of each key, an observation after the times equal to its own, and carried forward: within a segment, and
+    where it has none before a time, from the segments before.
     """
     more = [c for c in times.columns if c not in [*keys, at]]
-    asked = times.select(*keys, at, F.lit(0).alias("_seen"), *(F.lit(None).cast(rows.schema[c].dataType).alias(f"_o{i}") for i, c in enumerate(order)), F.lit(None).cast(rows.schema[value].dataType).alias(value), F.struct(*(more or [F.lit(1).alias("_none")])).alias("_more"))
-    held = rows.select(*keys, at, F.lit(1).alias("_seen"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), value, F.lit(None).cast(asked.schema["_more"].dataType).alias("_more"))
-    w = Window.partitionBy(*keys).orderBy(at, "_seen", *(f"_o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, -1)
-    out = asked.unionByName(held).withColumn("_last", F.last(value, ignorenulls=True).over(w)).filter("_seen = 0")
-    return out.select(*keys, at, *(F.col(f"_more.{c}").alias(c) for c in more), F.col("_last").alias(value))
+    own = [f"_o{i}" for i in range(len(order))]
+    asked = times.select(*keys, at, F.lit(0).alias("_seen"), *(F.lit(None).cast(rows.schema[c].dataType).alias(o) for c, o in zip(order, own, strict=True)), F.lit(None).cast(rows.schema[value].dataType).alias(value), F.struct(*(more or [F.lit(1).alias("_none")])).alias("_more"))
+    held = rows.select(*keys, at, F.lit(1).alias("_seen"), *(F.col(c).alias(o) for c, o in zip(order, own, strict=True)), value, F.lit(None).cast(asked.schema["_more"].dataType).alias("_more"))
+    cut = segmented(asked.unionByName(held), keys, [at, "_seen", *own])
+    ends = stored(cut.groupBy(*keys, SEGMENT).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(AT))).alias("_end")))
+    carried = stored(ends.select(*keys, SEGMENT, F.last("_end", ignorenulls=True).over(earlier(keys)).alias("_carried")))
+    here = F.last(value, ignorenulls=True).over(local(keys).rowsBetween(Window.unboundedPreceding, -1))
+    out = with_carried(cut.withColumn("_here", here).filter("_seen = 0"), keys, carried)
+    return out.select(*keys, at, *(F.col(f"_more.{c}").alias(c) for c in more), F.coalesce("_here", "_carried").alias(value))
