@@ -45,7 +45,7 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     key = uuid.uuid4().hex
     path, name = f"{scratch_dir(spark)}/tallyforge-{key}", f"spark_catalog.default.tallyforge_{key}"
     _made[path], _names[path] = spark, name
-    df.write.format("parquet").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(name)
     return spark.table(name)
 
 
