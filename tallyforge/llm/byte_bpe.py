@@ -9,6 +9,7 @@ go back to the slices, which lie in buckets, and each document is put together b
 from __future__ import annotations
 
 import base64
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -69,6 +70,14 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system: its worker process stays, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 class Numbers(dict):
     """Each word's number, in the order of their first uses."""
 
@@ -110,8 +119,11 @@ def _cut(batches: Iterator[pa.RecordBatch], source: str, task: int) -> Iterator[
             if chars >= SLICE_CHARS or len(known) >= SLICE_WORDS:
                 yield from _slice_rows(at, list(known), ids, codes)
                 at, chars, known, ids, codes = at + 1, 0, Numbers(), [], []
+                give_back()
     if ids:
         yield from _slice_rows(at, list(known), ids, codes)
+    del known, ids, codes
+    give_back()
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -139,6 +151,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             n = 0
     if sent:
         yield flush()
+    give_back()
 
 
 _SENT = pa.schema([("slice", pa.int64()), ("n", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("n_ids", pa.int32()), ("ids", pa.binary())])
@@ -207,6 +220,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                     raise ValueError(f"{path} has no token for some id")
                 out.append(None if tokens is None else joined(tokens))
             yield b.append_column("decoded", pa.array(out, pa.binary()))
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
