@@ -33,7 +33,9 @@ def body(k: Column, d: Column) -> Column:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), body(F.col("o_orderkey"), F.col("o_orderdate")).alias("text"))
+    """Announcements made of orders: a small file, but much work for each row, so keys and dates are dealt over the tasks."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return orders.select(F.col("o_orderkey").alias("k"), body(F.col("o_orderkey"), F.col("o_orderdate")).alias("text"))
 
 
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:

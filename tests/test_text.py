@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tallyforge.functions import pages as P
 from tallyforge.functions import text as X
-from tallyforge.functions.extract import Patterns, costs_of, near, specs_of
+from tallyforge.functions.extract import Patterns, costs_of, near, specs_of, tidy
 from tallyforge.operators import board, merge
 from tallyforge.plans import text as plan
 from tallyforge.sources import landing
@@ -32,6 +32,64 @@ def test_quantities():
     assert len(specs_of("\n".join(f"AB100 {i} cards" for i in range(9)), p)) == 2
 
 
+NAMES = ["AB100", "CD200", "EF300", "GH400"]
+SHOWN = {"AB100": "Ab-100"}
+
+
+def allocation(pick, kind):
+    """A text of one kind that names some entities with quantities, and what is to be found in it."""
+    chosen = pick.sample(NAMES, 3)
+    cards = lambda: f"{pick.randint(2, 99)} cards"
+    want, own = {}, ["3. Allocation of this call 12", "AB100 and CD200 are known for " + "much " * 100 + "1 card"]
+    if kind == "list":  # A(2 cards), B/C(1 card, 2 cards)
+        one, two = cards(), f"{cards()}, {cards()}"
+        own.append(f"for each {chosen[0]}({one}), {chosen[1]}/{chosen[2]} ( {two} )")
+        want = {chosen[0]: one, chosen[1]: two, chosen[2]: two}
+    elif kind == "cells":  # a cell each: the entity, then its quantity
+        for name in chosen:
+            q = f"{cards()} a year"
+            own += [name, "  per team" if pick.random() < 0.5 else "", q, "no more"]
+            want[name] = q
+    else:  # prose
+        for name in chosen:
+            q = cards()
+            own.append(pick.choice([f"Teams get of {name} up to {q} at most", f"{name}: {q} - for teams", f"we have {name} with {q}"]))
+            want[name] = q if ": " in own[-1] else f"{'up to' if 'up to' in own[-1] else 'with'} {q}"
+    return "\n".join(own), {SHOWN.get(k, k): v for k, v in want.items()}
+
+
+@pytest.mark.parametrize("kind", ["list", "cells", "prose"])
+def test_quantities_of_three_kinds_of_text(spark, kind):
+    pick = random.Random(kind)
+    texts, want = zip(*(allocation(pick, kind) for _ in range(120)), strict=True)
+    plain = [{r["entity"]: r["quantity"] for r in specs_of(t, plan.PATTERNS)} for t in texts]
+    assert plain == list(want)
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", X.specs(F.col("text"), plan.PATTERNS).alias("s"))
+    assert [{x.entity: x.quantity for x in r.s} for r in frame.orderBy("k").collect()] == list(want)
+
+
+def test_filtered_lines_say_as_much_as_whole_documents(spark):
+    """Over documents with entities, quantities and costs put in at random: the column, which reads some lines only, against whole texts."""
+    pick = random.Random(3)
+    put = ["AB100", "CD200/EF300(3 cards)", "4 cards", "", "1. GH400 7", "(Universities) fee 3 won", "10 won", "fee free", "Companies pay no fee: free", "12 won fee", "x" * 500 + " AB100 2 cards"]
+    rows = []
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        own = (r.text or "").split("\n")
+        for _ in range(pick.randrange(9)):
+            own.insert(pick.randrange(len(own) + 1), pick.choice(put))
+        rows.append((r.doc_id, "\n".join(own)))
+    rows += [(-1, None), (-2, "")]
+    out = spark.createDataFrame(rows, "k long, text string").repartition(8).select("k", X.specs(F.col("text"), plan.PATTERNS).alias("s"), X.costs(F.col("text"), plan.PATTERNS).alias("c"))
+    got = {r.k: ([x.asDict() for x in r.s], [x.asDict() for x in r.c]) for r in out.collect()}
+    assert got == {k: (specs_of(t or "", plan.PATTERNS), costs_of(t or "", plan.PATTERNS)) for k, t in rows}
+    assert sum(bool(s) for s, _ in got.values()) > 20 < sum(bool(c) for _, c in got.values())
+
+
+def test_brackets():
+    for text, want in (("(2 cards)", "2 cards"), ("((2 cards))", "2 cards"), ("(2) (3)", "(2) (3)"), ("(2 cards, (3", "2 cards, (3)"), (") 2 cards", "2 cards"), (": 2 cards ,", "2 cards"), ("", ""), ("()", ""), ("2 (a) b)", "2 (a) b)")):
+        assert tidy(text) == want, text
+
+
 def test_costs():
     p = Patterns(entity="x", quantity="x", cost="fee|won", bare=r"^\d+ won$", cost_weights=(("won", 4), ("late", -9)), audiences=(("a", "Uni"), ("b", "Com")), exempt=("fee", "none"))
     assert costs_of("Small firms\n30 won\n40 won\nfee late 3 won", p) == [{"audience": "", "text": "Small firms — 30 won"}, {"audience": "", "text": "Small firms — 40 won"}]
