@@ -9,7 +9,6 @@ go back to the slices, which lie in buckets, and each document is put together b
 from __future__ import annotations
 
 import base64
-import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import bucketed
+from .common import give_back
 
 #: A slice ends with the document that brings it to so many characters, or to so many different words.
 SLICE_CHARS, SLICE_WORDS = 1 << 25, 1 << 19
@@ -70,14 +70,6 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def give_back() -> None:
-    """What a task has freed goes back to the system: its worker process stays, beside those of other stages."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
 class Numbers(dict):
     """Each word's number, in the order of their first uses."""
 

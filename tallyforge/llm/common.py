@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,14 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(stored(dropped.select(ROW)), ROW, "left_anti").drop(ROW)
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system: its worker process stays, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 #: Parts into which the rows of a frequent key are dealt.
 SALTS = 64
 
