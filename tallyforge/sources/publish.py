@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from urllib.parse import parse_qs
+from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,10 @@ from .scratch import stored
 UNITS, METRICS, GROUPS = ("day", "week", "month"), ("credits", "tokens"), ("owner", "model", "owner_model", "account")
 
 
+#: Versions of a document that stay, for readers that have begun; minutes after which an unchanged one is published again.
+KEPT, HEARTBEAT = 3, 20
+
+
 def has_shape(payload: Column) -> Column:
     """Whether a text is a JSON object with a number as generated_at and an object as summary."""
     doc = F.try_parse_json(payload)
@@ -25,30 +32,102 @@ def has_shape(payload: Column) -> Column:
     return F.coalesce(tests[0] & tests[1] & tests[2], F.lit(False))
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a document that are there, the newest last."""
+    at, fs = _folder(spark, path)
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def document(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a document, one row: value; None where there is none."""
+    there = versions(spark, path)
+    return spark.read.schema("value string").text(f"{path}/{there[-1]:020}", wholetext=True) if there else None
+
+
 def published_at(spark: SparkSession, path: str) -> int | None:
-    """The generated_at of the document at a path; None where there is none, or none that can be read."""
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
-        return None
-    row = spark.read.text(path, wholetext=True).select(F.try_variant_get(F.try_parse_json("value"), "$.generated_at", "bigint").alias("at")).first()
-    return row.at if row else None
+    """The generated_at of a document; None where there is none."""
+    there = versions(spark, path)
+    return there[-1] if there else None
+
+
+def _put(value: DataFrame, path: str, version: int) -> bool:
+    """Write a version beside the others and give it its name by one rename. The newest name is the document, so no reader finds none, and a
+    writer that is late cannot bring an older one back."""
+    spark = value.sparkSession
+    new = f"{path}/_new-{uuid4().hex}"
+    value.select("value").coalesce(1).write.text(new)
+    (source, fs), (target, _) = _folder(spark, new), _folder(spark, f"{path}/{version:020}")
+    done = not fs.exists(target) and fs.rename(source, target)
+    if not done:
+        fs.delete(source, True)
+    for old in versions(spark, path)[:-KEPT]:
+        fs.delete(_folder(spark, f"{path}/{old:020}")[0], True)
+    return done
+
+
+def _generated_at() -> Column:
+    return F.try_variant_get(F.try_parse_json("value"), "$.generated_at", "bigint")
+
+
+def publish(value: DataFrame, path: str) -> bool:
+    """Publish a document (one row: value, JSON text with generated_at) unless the one at the path is as new or newer, or it has not the shape."""
+    row = value.select(has_shape(F.col("value")).alias("fine"), _generated_at().alias("at")).first()
+    held = published_at(value.sparkSession, path)
+    return bool(row and row.fine and (held is None or row.at > held)) and _put(value, path, row.at)
+
+
+def _told(parts: list[str] | None) -> Column:
+    """A hash of what a document says, whatever its time: of its summary, or of some parts of that."""
+    doc = F.try_parse_json("value")
+    each = [F.to_json(F.try_variant_get(doc, path, "variant")) for path in ([f"$.summary.{p}" for p in parts] if parts else ["$.summary"])]
+    return F.sha2(F.concat_ws("|", *(F.coalesce(x, F.lit("-")) for x in each)), 256)
+
+
+def publish_if_changed(value: DataFrame, path: str, parts: list[str] | None = None, heartbeat: int = HEARTBEAT) -> bool:
+    """Like publish, but a document that says the same as the one at the path is published only `heartbeat` minutes after that: readers take an old one for a stopped service."""
+    held = document(value.sparkSession, path)
+    if held is not None:
+        now, then = (d.select(_told(parts).alias("told"), _generated_at().alias("at")).first() for d in (value, held))
+        if now is None or (now.told == then.told and (now.at or 0) - then.at < heartbeat * 60_000):
+            return False
+    return publish(value, path)
+
+
+def update_status(spark: SparkSession, path: str, **fields) -> dict:
+    """Merge fields into a small status document; what they do not name stays, so a failed run does not hide when the last one succeeded."""
+    held = document(spark, path)
+    status = (json.loads(held.first().value) if held is not None else {}) | fields
+    _put(spark.createDataFrame([(json.dumps(status, sort_keys=True),)], "value string"), path, (published_at(spark, path) or 0) + 1)
+    return status
 
 
-def publish(document: DataFrame, path: str) -> bool:
-    """Write a document (one row: value, JSON text with generated_at) unless the one at the path is as new or newer, or it has not the shape.
+def synchronised(spark: SparkSession, sources: list[str], path: str, status: str, now: int) -> bool:
+    """Copy the snapshot of the first source that can be read and has the shape, unless it is older than the copy; True if the copy is new.
 
-    It is written beside and then put in place by a rename, so that readers see the old one or the new one.
+    sources: paths that Spark reads. Each is tried once in their order; the status tells which one served, or why none did.
     """
-    spark = document.sparkSession
-    row = document.select(has_shape(F.col("value")).alias("fine"), F.try_variant_get(F.try_parse_json("value"), "$.generated_at", "bigint").alias("at")).first()
-    held = published_at(spark, path)
-    if row is None or not row.fine or (held is not None and row.at <= held):
-        return False
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    document.select("value").coalesce(1).write.mode("overwrite").text(f"{path}.new")
-    fs.delete(old, True)
-    return fs.rename(new, old)
+    errors = []
+    for source in sources:
+        try:
+            value = spark.read.schema("value string").text(source, wholetext=True)
+            row = value.select("value", has_shape(F.col("value")).alias("fine")).first()
+        except AnalysisException as e:
+            errors.append(f"{source}: {e.getCondition()}")
+            continue
+        if row is None or not row.fine:
+            errors.append(f"{source}: no snapshot")
+            continue
+        new = publish(value, path)
+        update_status(spark, status, checked_at=now, ok=True, source=source, error=None, **({"synced_at": now} if new else {}))
+        return new
+    update_status(spark, status, checked_at=now, ok=False, source=sources[0] if sources else None, error=" / ".join(errors)[:500])
+    return False
 
 
 def as_document(parts: dict[str, DataFrame], generated_at: int) -> DataFrame:

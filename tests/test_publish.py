@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import threading
 
 from pyspark.sql import functions as F
 from tallyforge.operators import board, rollup
@@ -19,6 +20,58 @@ def test_publishing_never_goes_back(spark, tmp_path):
     assert not publish.publish(spark.createDataFrame([('{"generated_at": 9}',)], "value string"), path) and publish.published_at(spark, path) == 6
 
 
+def snapshot(spark, at, n=1):
+    return spark.createDataFrame([(json.dumps({"generated_at": at, "summary": {"n": n, "at": at}}),)], "value string")
+
+
+def test_a_reader_always_finds_a_document_and_writers_cannot_go_back(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "doc")
+    assert publish.document(spark, path) is None
+    assert publish.publish(snapshot(spark, 1), path)
+    stop, seen, failed = threading.Event(), [], []
+
+    def read():
+        while not stop.is_set():
+            try:
+                seen.append(json.loads(publish.document(spark, path).first().value)["generated_at"])
+            except Exception as e:  # noqa: BLE001
+                failed.append(e)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for at in (2, 3, 4, 5):
+        assert publish.publish(snapshot(spark, at), path)
+    stop.set()
+    reader.join()
+    assert not failed and seen == sorted(seen) and set(seen) <= {1, 2, 3, 4, 5}
+    assert publish.versions(spark, path) == [3, 4, 5]
+    # A writer that looked before the other had written.
+    monkeypatch.setattr(publish, "published_at", lambda *_: 0)
+    publish.publish(snapshot(spark, 2), path)
+    monkeypatch.undo()
+    assert publish.published_at(spark, path) == 5
+
+
+def test_unchanged_documents_wait_for_the_heartbeat(spark, tmp_path):
+    path, minute = str(tmp_path / "doc"), 60_000
+    send = lambda at, n=1: publish.publish_if_changed(snapshot(spark, at * minute, n), path, ["n"])
+    assert [send(1), send(2), send(3, 2), send(4, 2), send(22, 2), send(23, 2), send(24, 2), send(5, 9)] == [True, False, True, False, False, True, False, False]
+
+
+def test_the_first_source_that_parses(spark, tmp_path):
+    path, status = str(tmp_path / "copy"), str(tmp_path / "status")
+    (tmp_path / "odd.json").write_text('{"generated_at": "soon"}')
+    (tmp_path / "good.json").write_text(json.dumps({"generated_at": 7, "summary": {}}))
+    (tmp_path / "old.json").write_text(json.dumps({"generated_at": 6, "summary": {}}))
+    at = lambda *names: [str(tmp_path / f"{n}.json") for n in names]
+    told = lambda: json.loads(publish.document(spark, status).first().value)
+    assert publish.synchronised(spark, at("none", "odd", "good", "old"), path, status, 100) and publish.published_at(spark, path) == 7
+    assert told() == {"checked_at": 100, "ok": True, "source": at("good")[0], "error": None, "synced_at": 100}
+    assert not publish.synchronised(spark, at("old"), path, status, 200) and publish.published_at(spark, path) == 7
+    assert not publish.synchronised(spark, at("none", "odd"), path, status, 300)
+    assert told()["synced_at"] == 100 and not told()["ok"] and "no snapshot" in told()["error"] and "none.json" in told()["error"]
+
+
 def test_parameters_and_configuration(spark, tmp_path):
     p = publish.report_parameters
     assert p("", "2024-01-05", "2024-03-07") == publish.Parameters("2024-03-01", "2024-03-07")
