@@ -40,6 +40,22 @@ def within(cube: DataFrame, first: str | None, last: str | None) -> DataFrame:
     return cube.filter(F.col("day").between(*sorted((first, last)))) if first and last else cube
 
 
+def _priced_grain(cube: DataFrame, keys: list[str], card: DataFrame, speeds: DataFrame, long_context: DataFrame, split_ttl: Column) -> DataFrame:
+    """The cube's rows with use, summed up by keys, day and what decides on their price, then priced part by part."""
+    known = cube.filter("n > 0 or i + o + cw + cr > 0").withColumn("_split", split_ttl)
+    measures = ["n", "i", "o", "cw", "cr", "cw1h", "cwu"]
+    grain = known.groupBy(*dict.fromkeys([*keys, "day", "model", "speed", "lc", "_split"])).agg(*(F.sum(m).alias(m) for m in measures))
+    return priced(grain, card, speeds, long_context, F.col("_split"), whole=True)
+
+
+def _report_sums() -> list[Column]:
+    """Turns and tokens are counted at a row's WHOLE part, money at the others."""
+    whole = F.col("part") == WHOLE
+    once = {"turns": F.col("n"), "tokens": F.col("tokens"), "i": F.col("i"), "o": F.col("o"), "cw": F.col("cw"), "cr": F.col("cr")}
+    sums = [F.coalesce(F.sum(F.when(whole, x)), F.lit(0)).cast("bigint").alias(c) for c, x in once.items()]
+    return [*sums, F.countDistinct(F.when(whole, F.col("day"))).alias("days"), *(x.alias(c) for c, x in priced_sums().items())]
+
+
 def history(cube: DataFrame, by: list[str], card: DataFrame, speeds: DataFrame, long_context: DataFrame, split_ttl: Column, first: str | None = None, last: str | None = None, unit: str | None = None) -> DataFrame:
     """(by..., bucket with a unit): turns, tokens, i, o, cw, cr, days, microdollars, unpriced. Bounds in the wrong order are put right.
 
@@ -49,17 +65,26 @@ def history(cube: DataFrame, by: list[str], card: DataFrame, speeds: DataFrame,
     cube = within(cube, first, last)
     if unit:
         cube, by = cube.withColumn("bucket", bucket(F.col("day"), unit)), [*by, "bucket"]
-    known = cube.filter("n > 0 or i + o + cw + cr > 0").withColumn("_split", split_ttl)
-    measures = ["n", "i", "o", "cw", "cr", "cw1h", "cwu"]
-    grain = known.groupBy(*dict.fromkeys([*by, "day", "model", "speed", "lc", "_split"])).agg(*(F.sum(m).alias(m) for m in measures))
-    rows = priced(grain, card, speeds, long_context, F.col("_split"), whole=True)
-    whole = F.col("part") == WHOLE
-    once = {"turns": F.col("n"), "tokens": F.col("tokens"), "i": F.col("i"), "o": F.col("o"), "cw": F.col("cw"), "cr": F.col("cr")}
-    return rows.groupBy(*by).agg(
-        *(F.coalesce(F.sum(F.when(whole, x)), F.lit(0)).cast("bigint").alias(c) for c, x in once.items()),
-        F.countDistinct(F.when(whole, F.col("day"))).alias("days"),
-        *(x.alias(c) for c, x in priced_sums().items()),
-    )
+    return _priced_grain(cube, by, card, speeds, long_context, split_ttl).groupBy(*by).agg(*_report_sums())
+
+
+def histories(cube: DataFrame, groupings: dict[str, list[str]], card: DataFrame, speeds: DataFrame, long_context: DataFrame, split_ttl: Column, first: str | None = None, last: str | None = None, unit: str | None = None) -> DataFrame:
+    """Several reports like `history` in one pass over the cube: (grouping, the keys of all of them, bucket with a unit) and history's sums.
+
+    groupings: the keys of each report by its name; [] is the grand total. Keys that a report does not have are null in its rows. The cube is
+    read, summed up and priced once, and the priced rows go into all reports as grouping sets.
+    """
+    cube = within(cube, first, last)
+    keys = list(dict.fromkeys(k for by in groupings.values() for k in by))
+    more = ["bucket"] if unit else []
+    cube = cube.withColumn("bucket", bucket(F.col("day"), unit)) if unit else cube
+    rows = _priced_grain(cube, [*keys, *more], card, speeds, long_context, split_ttl)
+    sets = [[*by, *more] for by in groupings.values()]
+    out = rows.groupingSets(sets, *keys, *more).agg(F.grouping_id().alias("_set"), *_report_sums())
+    every = [*keys, *more]
+    number = {name: sum(1 << (len(every) - 1 - i) for i, k in enumerate(every) if k not in by and k not in more) for name, by in groupings.items()}
+    name = F.coalesce(*(F.when(F.col("_set") == n, F.lit(x)) for x, n in number.items()))
+    return out.select(name.alias("grouping"), *(c for c in out.columns if c != "_set"))
 
 
 def with_shares(report: DataFrame, total: DataFrame, metric: str, n_days: int) -> DataFrame:

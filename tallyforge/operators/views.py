@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import WHOLE, priced
@@ -108,15 +108,21 @@ def account_pivot(breakdown: DataFrame, windows: list[str], metric: str) -> Data
     return breakdown.filter(some).select("owner", "provider", "account", *(f"{metric}_{w}" for w in windows)).orderBy("owner", F.desc(f"{metric}_{windows[-1]}"), "provider", "account")
 
 
-def window_costs(turns: DataFrame, sessions: DataFrame, since: int, long_context_over: int, long_context: Column, card: DataFrame, speeds: DataFrame, lc_rates: DataFrame, split_ttl: Column) -> DataFrame:
-    """The turns since a time, priced: (owner, provider, account, model, speed, effort, lc, n, part, tokens, rate, reason).
+def window_costs(turns: DataFrame, sessions: DataFrame, now: int, windows: dict[str, int], long_context_over: int, long_context: Column, card: DataFrame, speeds: DataFrame, lc_rates: DataFrame, split_ttl: Column) -> DataFrame:
+    """The turns of each window (its name, its hours up to now), priced: (window, owner, provider, account, model, speed, effort, lc, n, part, tokens, rate, reason).
 
-    Turns are summed up by session and price first; long contexts are told turn by turn. Groups without tokens are left out.
+    One pass for all windows: a turn is summed up under the shortest window that holds it, by session and price, and the sums are repeated for the
+    longer ones. Long contexts are told turn by turn. Groups without tokens are left out.
     """
     keys = ["provider", "account", "session_id", "model", "speed", "effort", "lc"]
-    grain = priceable(turns.filter(F.col("ts") >= since), long_context_over, long_context).groupBy(*keys).agg(*measure_sums()).filter("i + o + cw + cr > 0")
-    own = owned(grain, sessions).withColumn("_split", split_ttl)
-    own = own.groupBy("owner", *(k for k in keys if k != "session_id"), "_split").agg(*(F.sum(c).alias(c) for c in ("n", "i", "o", "cw", "cr", "cw1h", "cwu")))
+    ordered = sorted(windows, key=windows.get)
+    since = {w: now - windows[w] * 3_600_000 for w in ordered}
+    shortest = F.coalesce(*(F.when(F.col("ts") >= since[w], F.lit(k)) for k, w in enumerate(ordered)))
+    rows = turns.filter(F.col("ts") >= since[ordered[-1]]).withColumn("_w", shortest)
+    grain = priceable(rows, long_context_over, long_context).groupBy("_w", *keys).agg(*measure_sums()).filter("i + o + cw + cr > 0")
+    names = F.array(*map(F.lit, ordered))
+    own = owned(grain, sessions).withColumn("_split", split_ttl).withColumn("window", F.explode(F.slice(names, F.col("_w") + 1, len(ordered))))
+    own = own.groupBy("window", "owner", *(k for k in keys if k != "session_id"), "_split").agg(*(F.sum(c).alias(c) for c in ("n", "i", "o", "cw", "cr", "cw1h", "cwu")))
     return priced(own, card, speeds, lc_rates, F.col("_split"), whole=True).drop("i", "o", "cw", "cr", "cw1h", "cwu", "_split")
 
 
@@ -124,38 +130,44 @@ def _money() -> Column:
     return F.coalesce(F.sum(F.col("tokens").cast("decimal(20,0)") * F.col("rate")), F.lit(0)).cast("decimal(38,6)")
 
 
-def _with_pct(rows: DataFrame, total: DataFrame) -> DataFrame:
-    """pct: 1/100 percent of the owner's money, 0 where there is none."""
-    pct = F.coalesce(F.round(F.col("microdollars") * 10_000 / F.nullif("_all", F.lit(0))), F.lit(0)).cast("bigint")
-    return rows.join(total.select("owner", F.col("microdollars").alias("_all")), "owner").withColumn("pct", pct).drop("_all")
+def _with_pct(rows: DataFrame) -> DataFrame:
+    """pct: 1/100 percent of the owner's money in a window, 0 where there is none."""
+    everything = F.sum("microdollars").over(Window.partitionBy("window", "owner"))
+    return rows.withColumn("pct", F.coalesce(F.round(F.col("microdollars") * 10_000 / F.nullif(everything, F.lit(0))), F.lit(0)).cast("bigint"))
 
 
 def owner_costs(costs: DataFrame) -> DataFrame:
-    """(owner, microdollars) of window_costs, those who cost most first."""
-    return costs.filter(F.col("part") != WHOLE).groupBy("owner").agg(_money().alias("microdollars")).orderBy(F.desc("microdollars"), "owner")
+    """(window, owner, microdollars) of window_costs, those who cost most first."""
+    return costs.filter(F.col("part") != WHOLE).groupBy("window", "owner").agg(_money().alias("microdollars")).orderBy("window", F.desc("microdollars"), "owner")
+
+
+GROUP = ["provider", "account", "model", "speed", "effort", "lc"]
 
 
 def cost_groups(costs: DataFrame) -> DataFrame:
-    """Of window_costs: (owner, provider, account, model, speed, effort, lc): turns, priced tokens, microdollars and pct; groups without any rate are in `unpriced`."""
-    keys = ["owner", "provider", "account", "model", "speed", "effort", "lc"]
+    """Of window_costs: (window, owner, provider, account, model, speed, effort, lc): turns, priced tokens, microdollars, pct, and `parts`, what each part
+    with a rate has and costs; groups without any rate are in `unpriced`."""
     part = F.col("part") != WHOLE
-    groups = costs.filter((F.col("part") != WHOLE) | F.col("reason").isNull()).groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(~part, F.col("n"))), F.lit(0)).alias("turns"), F.coalesce(F.sum(F.when(part & F.col("rate").isNotNull(), F.col("tokens"))), F.lit(0)).alias("tokens"), _money().alias("microdollars"), F.count_if(~part).alias("_known"),
+    rated = part & F.col("rate").isNotNull()
+    cost = (F.col("tokens").cast("decimal(20,0)") * F.col("rate")).cast("decimal(38,6)")
+    each = F.array_sort(F.collect_list(F.when(rated, F.struct("part", "tokens", cost.alias("microdollars")))))
+    groups = costs.filter(part | F.col("reason").isNull()).groupBy("window", "owner", *GROUP).agg(
+        F.coalesce(F.sum(F.when(~part, F.col("n"))), F.lit(0)).alias("turns"), F.coalesce(F.sum(F.when(rated, F.col("tokens"))), F.lit(0)).alias("tokens"), _money().alias("microdollars"), each.alias("parts"), F.count_if(~part).alias("_known"),
     )
-    return _with_pct(groups.filter("_known > 0").drop("_known"), owner_costs(costs))
+    return _with_pct(groups.filter("_known > 0").drop("_known"))
 
 
 def cost_parts(costs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Of window_costs: (owner, part): tokens, microdollars and pct over all groups, or those of each group of `keys`; parts that cost nothing only within their group."""
+    """Of window_costs: (window, owner, part): tokens, microdollars and pct over all groups, or those of each group of `keys`; parts that cost nothing only within their group."""
     rows = costs.filter((F.col("part") != WHOLE) & F.col("rate").isNotNull())
     rows = rows if keys else rows.filter("rate > 0")
-    return _with_pct(rows.groupBy("owner", *(keys or []), "part").agg(F.sum("tokens").alias("tokens"), _money().alias("microdollars")), owner_costs(costs))
+    return _with_pct(rows.groupBy("window", "owner", *(keys or []), "part").agg(F.sum("tokens").alias("tokens"), _money().alias("microdollars")))
 
 
 def unpriced(costs: DataFrame) -> DataFrame:
-    """Of window_costs: (owner, provider, model, speed, reason): the tokens that have no price, most first."""
+    """Of window_costs: (window, owner, provider, model, speed, reason): the tokens that have no price, most first."""
     rows = costs.filter((F.col("part") != WHOLE) & F.col("rate").isNull())
-    return rows.groupBy("owner", "provider", "model", "speed", "reason").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "owner", "provider", "model", "speed")
+    return rows.groupBy("window", "owner", "provider", "model", "speed", "reason").agg(F.sum("tokens").alias("tokens")).orderBy("window", F.desc("tokens"), "owner", "provider", "model", "speed")
 
 
 def totals_of(accounts: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions.pricing import priced
 from ..operators.alerts import breaches
 from ..operators.attribution import first_match, tracked
 from ..operators.ledger import one_per_key, session_totals, without_bursts
-from ..operators.report import UNASSIGNED, bucket_matrix, by_status, days_between, drill_down, history, missing_model, overlapping, unassigned_share, violations, with_shares, zero_filled
+from ..operators.report import UNASSIGNED, bucket_matrix, by_status, days_between, drill_down, histories, history, missing_model, overlapping, unassigned_share, violations, with_shares, zero_filled
 from ..operators.rollup import arbitrated, complete_from, day_cube, imported_days, refreshed, retained, with_session_cwd
 from ..operators.windows import live, rolling, share_of_limit
 from ..sources.events import TURNS_SQL, event_turns, table
@@ -113,6 +113,28 @@ def _history(by: list[str], unit: str | None = None):
     return lambda spark, sf_dir: report(spark, sf_dir, by, unit), f"{report_sql(by, unit)} SELECT * FROM r"
 
 
+GROUPINGS = {"owner": ["owner"], "model": ["model"], "owner_model": ["owner", "model"], "account": ["provider", "account"], "total": []}
+
+
+def history_groupings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All groupings of the report by week, in one pass over the cube."""
+    own = owned_cube(spark, sf_dir, FIRST_DAY, LAST_DAY)
+    out = histories(own, GROUPINGS, *rate_card(spark), F.col("provider") != "beta", LAST_DAY, FIRST_DAY, "week")
+    return out.withColumn("microdollars", F.col("microdollars").cast("bigint"))
+
+
+def groupings_sql(groupings: dict[str, list[str]], unit: str) -> str:
+    keys = list(dict.fromkeys(k for by in groupings.values() for k in by))
+    sets = ", ".join(f"({', '.join([*by, 'bucket'])})" for by in groupings.values())
+    name = "CASE " + " ".join(f"WHEN {' AND '.join(f'grouping({k}) = {int(k not in by)}' for k in keys)} THEN '{n}'" for n, by in groupings.items()) + " END AS grouping"
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("i", "o", "cw", "cr"))
+    same = " AND ".join(f"u.{k} IS NOT DISTINCT FROM m.{k}" for k in ["grouping", *keys, "bucket"])
+    return f"""{PRICED_SQL}, ob AS (SELECT *, {_BUCKETS[unit]} AS bucket FROM owned {_WITHIN}), pb AS (SELECT *, {_BUCKETS[unit]} AS bucket FROM priced {_WITHIN}),
+u AS (SELECT {name}, {", ".join(keys)}, bucket, CAST(sum(n) AS BIGINT) AS turns, CAST(sum(i + o + cw + cr) AS BIGINT) AS tokens, {sums}, count(DISTINCT day) AS days FROM ob GROUP BY GROUPING SETS ({sets})),
+m AS (SELECT {name}, {", ".join(keys)}, bucket, {DOLLARS} FROM pb GROUP BY GROUPING SETS ({sets}))
+SELECT u.*, coalesce(microdollars, 0) AS microdollars, coalesce(unpriced, 0) AS unpriced FROM u LEFT JOIN m ON {same}"""
+
+
 def report_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners with their share of all money and their money a day."""
     out = with_shares(report(spark, sf_dir, ["owner"]), report(spark, sf_dir, []), "microdollars", days_between(FIRST_DAY, LAST_DAY))
@@ -410,12 +432,12 @@ QUERIES = {name: x[0] for name, x in _HISTORY.items()} | {
     "owner_first_match": owner_first_match, "rolling_windows_account": account_windows, "session_share": session_share, "pivot_windows": pivoted_windows, "dedupe_first_arrival": first_arrival,
     "dedupe_earliest": earliest_copy, "burst_filter": burst_filter, "session_totals": totals_of_sessions, "live_sessions": live_sessions, "tracked_accounts": tracked_accounts, "threshold_breach": threshold_breaches,
     "report_shares": report_shares, "stack_chart": stack_chart, "history_detail": history_detail, "history_cube": history_cube, "history_encoded": history_encoded, "unassigned_money": unassigned_money, "missing_model_note": missing_model_note, "policy_status": lambda spark, sf_dir: by_status(policy_rows(spark, sf_dir)),
-    "policy_people": policy_people, "daily_cube_session_paths": cube_of_session_paths, "imported_days": imported, "refreshed_cube": refreshed_cube, "rolling_windows_session": session_windows,
+    "policy_people": policy_people, "history_groupings": history_groupings, "daily_cube_session_paths": cube_of_session_paths, "imported_days": imported, "refreshed_cube": refreshed_cube, "rolling_windows_session": session_windows,
 }
 SQL = {name: x[1] for name, x in _HISTORY.items()} | {
     "daily_cube": f"{CUBE_SQL} SELECT * FROM cube", "daily_cube_origin_split": CUBE_BY_ORIGIN_SQL, "credit_unpriced": UNPRICED_SQL, "credit_components": MONEY_BY_PART_SQL, "zero_filled_days": ZERO_FILLED_SQL,
     "owner_first_match": f"WITH {TURNS_SQL} SELECT uuid, {OWNER} AS owner FROM turns", "rolling_windows_account": ACCOUNT_WINDOWS_SQL, "session_share": SESSION_SHARE_SQL, "pivot_windows": PIVOTED_SQL,
     "dedupe_first_arrival": _copies_sql("delivery, uuid"), "dedupe_earliest": _copies_sql("ts, uuid"), "burst_filter": BURST_SQL, "session_totals": SESSION_TOTALS_SQL, "live_sessions": LIVE_SQL, "tracked_accounts": TRACKED_SQL, "threshold_breach": BREACHES_SQL,
     "report_shares": REPORT_SHARES_SQL, "stack_chart": STACK_CHART_SQL, "history_detail": HISTORY_DETAIL_SQL, "history_cube": HISTORY_CUBE_SQL, "history_encoded": HISTORY_ENCODED_SQL, "unassigned_money": UNASSIGNED_SQL, "missing_model_note": MISSING_MODEL_SQL, "policy_status": POLICY_STATUS_SQL,
-    "policy_people": POLICY_PEOPLE_SQL, "daily_cube_session_paths": SESSION_PATHS_SQL, "imported_days": IMPORTED_SQL, "refreshed_cube": REFRESHED_SQL, "rolling_windows_session": SESSION_WINDOWS_SQL,
+    "policy_people": POLICY_PEOPLE_SQL, "history_groupings": groupings_sql(GROUPINGS, "week"), "daily_cube_session_paths": SESSION_PATHS_SQL, "imported_days": IMPORTED_SQL, "refreshed_cube": REFRESHED_SQL, "rolling_windows_session": SESSION_WINDOWS_SQL,
 }

@@ -113,8 +113,9 @@ PERSON_BREAKDOWN_SQL = f"{SESSIONS}, b AS (SELECT s.owner, provider, t.account,
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    since = AS_OF - WINDOWS["long"] * HOUR
-    return views.window_costs(turns(spark, sf_dir, since), sessions(spark, sf_dir), since, LONG_CONTEXT, F.col("provider") == "beta", *rate_card(spark), F.col("provider") != "beta")
+    """What each owner's turns cost in both windows."""
+    since = AS_OF - max(WINDOWS.values()) * HOUR
+    return views.window_costs(turns(spark, sf_dir, since), sessions(spark, sf_dir), AS_OF, WINDOWS, LONG_CONTEXT, F.col("provider") == "beta", *rate_card(spark), F.col("provider") != "beta")
 
 
 def _whole(df: DataFrame) -> DataFrame:
@@ -122,53 +123,55 @@ def _whole(df: DataFrame) -> DataFrame:
 
 
 #: The pricing of the cube's SQL over groups of the window, with the owner of each session.
-_GROUPS = f"""{SESSIONS}, owned AS (SELECT s.owner, provider, t.account, t.model, coalesce(t.speed, 'standard') AS speed, coalesce(t.effort, '') AS effort,
+_GROUPS = f"""{SESSIONS}, w AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {h})" for k, h in WINDOWS.items())}) v("window", hours)), owned AS (SELECT "window", s.owner, provider, t.account, t.model, coalesce(t.speed, 'standard') AS speed, coalesce(t.effort, '') AS effort,
   CASE WHEN provider = 'beta' AND t.i + t.cr + t.cw > {LONG_CONTEXT} THEN 1 ELSE 0 END AS lc, count(*) AS n, CAST(sum(t.i) AS BIGINT) AS i, CAST(sum(t.o) AS BIGINT) AS o, CAST(sum(t.cw) AS BIGINT) AS cw, CAST(sum(t.cr) AS BIGINT) AS cr,
-  CAST(sum(coalesce(t.cw1h, 0)) AS BIGINT) AS cw1h, CAST(sum(CASE WHEN t.cw1h IS NULL THEN t.cw ELSE 0 END) AS BIGINT) AS cwu FROM turns t JOIN sessions s USING (provider, session_id) WHERE t.ts >= {AS_OF - 168 * HOUR} GROUP BY ALL)"""
+  CAST(sum(coalesce(t.cw1h, 0)) AS BIGINT) AS cw1h, CAST(sum(CASE WHEN t.cw1h IS NULL THEN t.cw ELSE 0 END) AS BIGINT) AS cwu FROM turns t JOIN sessions s USING (provider, session_id) JOIN w ON t.ts >= {AS_OF} - w.hours * {HOUR} GROUP BY ALL)"""
 COSTS = _GROUPS + PRICED_SQL[PRICED_SQL.index(", parts AS") :]
 _MONEY = "CAST(coalesce(sum(tokens * usd_rate) FILTER (reason IS NULL), 0) AS BIGINT)"
-_OWNERS = f"oc AS (SELECT owner, {_MONEY} AS everything FROM priced GROUP BY owner)"
+_OWNERS = f"""oc AS (SELECT "window", owner, {_MONEY} AS everything FROM priced GROUP BY ALL)"""
 _PCT = "coalesce(CAST(round(microdollars * 10000.0 / nullif(everything, 0)) AS BIGINT), 0) AS pct"
 
 
 def credit_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole(views.cost_groups(costs(spark, sf_dir)))
+    """Groups with what each of their parts has and costs."""
+    parts = F.array_join(F.transform("parts", lambda x: F.concat(x["part"], F.lit("="), x["tokens"].cast("string"), F.lit(":"), x["microdollars"].cast("bigint").cast("string"))), ";")
+    return _whole(views.cost_groups(costs(spark, sf_dir)).withColumn("parts", parts))
 
 
-CREDIT_GROUPS_SQL = f"""{COSTS}, {_OWNERS}, g AS (SELECT owner, provider, account, model, speed, effort, lc, any_value(n) AS turns, CAST(coalesce(sum(tokens) FILTER (reason IS NULL), 0) AS BIGINT) AS tokens, {_MONEY} AS microdollars
-  FROM priced WHERE reason IS NULL OR reason = 'no rate of this part' GROUP BY ALL)
-SELECT g.*, {_PCT} FROM g JOIN oc USING (owner)"""
+CREDIT_GROUPS_SQL = f"""{COSTS}, {_OWNERS}, g AS (SELECT "window", owner, provider, account, model, speed, effort, lc, any_value(n) AS turns, CAST(coalesce(sum(tokens) FILTER (reason IS NULL), 0) AS BIGINT) AS tokens, {_MONEY} AS microdollars,
+    coalesce(string_agg(part || '=' || tokens || ':' || CAST(floor(tokens * usd_rate) AS BIGINT), ';' ORDER BY part) FILTER (reason IS NULL), '') AS parts FROM priced WHERE reason IS NULL OR reason = 'no rate of this part' GROUP BY ALL)
+SELECT g.*, {_PCT} FROM g JOIN oc USING ("window", owner)"""
 
 
 def credit_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(views.cost_parts(costs(spark, sf_dir)))
 
 
-CREDIT_PCT_SQL = f"""{COSTS}, {_OWNERS}, g AS (SELECT owner, part, CAST(sum(tokens) AS BIGINT) AS tokens, {_MONEY} AS microdollars FROM priced WHERE reason IS NULL AND usd_rate > 0 GROUP BY ALL)
-SELECT g.*, {_PCT} FROM g JOIN oc USING (owner)"""
+CREDIT_PCT_SQL = f"""{COSTS}, {_OWNERS}, g AS (SELECT "window", owner, part, CAST(sum(tokens) AS BIGINT) AS tokens, {_MONEY} AS microdollars FROM priced WHERE reason IS NULL AND usd_rate > 0 GROUP BY ALL)
+SELECT g.*, {_PCT} FROM g JOIN oc USING ("window", owner)"""
 
 
 def credit_group_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(views.cost_parts(costs(spark, sf_dir), ["model", "speed"]))
 
 
-CREDIT_GROUP_PARTS_SQL = f"""{COSTS}, {_OWNERS}, g AS (SELECT owner, model, speed, part, CAST(sum(tokens) AS BIGINT) AS tokens, {_MONEY} AS microdollars FROM priced WHERE reason IS NULL GROUP BY ALL)
-SELECT g.*, {_PCT} FROM g JOIN oc USING (owner)"""
+CREDIT_GROUP_PARTS_SQL = f"""{COSTS}, {_OWNERS}, g AS (SELECT "window", owner, model, speed, part, CAST(sum(tokens) AS BIGINT) AS tokens, {_MONEY} AS microdollars FROM priced WHERE reason IS NULL GROUP BY ALL)
+SELECT g.*, {_PCT} FROM g JOIN oc USING ("window", owner)"""
 
 
 def owner_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.unpriced(costs(spark, sf_dir))
 
 
-OWNER_UNPRICED_SQL = f"{COSTS} SELECT owner, provider, model, speed, reason, CAST(sum(tokens) AS BIGINT) AS tokens FROM priced WHERE reason IS NOT NULL GROUP BY ALL"
+OWNER_UNPRICED_SQL = f"""{COSTS} SELECT "window", owner, provider, model, speed, reason, CAST(sum(tokens) AS BIGINT) AS tokens FROM priced WHERE reason IS NOT NULL GROUP BY ALL"""
 
 
 def people_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credits in units of 1/10000."""
-    return views.owner_costs(costs(spark, sf_dir)).select("owner", (credits(F.col("microdollars")) * 10_000).cast("bigint").alias("credits"))
+    return views.owner_costs(costs(spark, sf_dir)).select("window", "owner", (credits(F.col("microdollars")) * 10_000).cast("bigint").alias("credits"))
 
 
-PEOPLE_BY_COST_SQL = f"{COSTS} SELECT owner, CAST(round({_MONEY} / 1000.0) AS BIGINT) AS credits FROM priced GROUP BY owner"
+PEOPLE_BY_COST_SQL = f"""{COSTS} SELECT "window", owner, CAST(round({_MONEY} / 1000.0) AS BIGINT) AS credits FROM priced GROUP BY ALL"""
 
 
 def account_state(spark: SparkSession, sf_dir: str) -> DataFrame:
