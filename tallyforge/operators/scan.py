@@ -16,8 +16,12 @@ SEGMENT, AT = "_segment", "_at"
 
 
 def segmented(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """rows, stored, with their segment and, rising within a key, their place. A key's segments are numbered in order; none spans two tasks."""
-    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    """rows, stored, with their segment and, rising within a key, their place. A key's segments are numbered in order; none spans two tasks.
+
+    There are as many ranges as a shuffle has partitions: small ones are not put together, for folds are work for each row.
+    """
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(ranges, *keys, *order).sortWithinPartitions(*keys, *order)
     return stored(ranged.withColumn(AT, F.monotonically_increasing_id()).withColumn(SEGMENT, F.shiftright(AT, 33)))
 
 

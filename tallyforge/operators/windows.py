@@ -40,6 +40,22 @@ def share_of_limit(utilization: Column, own: Column, total: Column) -> Column:
     return F.nullif(utilization, F.lit(0)) * own / F.nullif(total, F.lit(0))
 
 
+def limits_of(accounts: DataFrame) -> DataFrame:
+    """(provider, account, window, utilization) of folded accounts: what each limit that an account reports is used by; a key without a utilization is no limit."""
+    each = accounts.select("provider", F.col("email").alias("account"), F.explode("rate_limits").alias("window", "_limit"))
+    return each.select("provider", "account", "window", F.col("_limit.utilization").alias("utilization")).filter("utilization is not null")
+
+
+def shares_of_limits(sessions: DataFrame, windows: list[str], limits: DataFrame, metric: str = "total") -> DataFrame:
+    """(provider, account, session_id, window, <metric>, share): of session windows (`rolling` by session), the part of the account's limit in each window
+    that is a session's, by its part of the account's use in that window; null without a limit."""
+    each = F.array(*(F.struct(F.lit(w).alias("window"), F.col(f"{metric}_{w}").alias(metric)) for w in windows))
+    rows = sessions.select("provider", "account", "session_id", F.explode(each).alias("_w")).select("provider", "account", "session_id", "_w.*")
+    every = rows.groupBy("provider", "account", "window").agg(F.sum(metric).alias("_all")).join(limits, ["provider", "account", "window"], "left")
+    share = share_of_limit(F.col("utilization"), F.col(metric), F.col("_all"))
+    return rows.join(every, ["provider", "account", "window"]).select("provider", "account", "session_id", "window", metric, share.alias("share"))
+
+
 def live(now: int, updated: Column, reported: Column, pid_alive: Column, stale_s: int = NODE_STALE, alive_s: int = ALIVE_IDLE, unknown_s: int = UNKNOWN_IDLE) -> Column:
     """Its node has reported, and it was busy lately: within an hour if its process is known to be alive, else within minutes."""
     idle = F.lit(now) - updated

@@ -12,7 +12,7 @@ from ..operators.attribution import first_match, tracked
 from ..operators.ledger import one_per_key, session_totals, without_bursts
 from ..operators.report import UNASSIGNED, bucket_matrix, by_status, days_between, drill_down, histories, history, missing_model, overlapping, unassigned_share, violations, with_shares, zero_filled
 from ..operators.rollup import arbitrated, complete_from, day_cube, imported_days, refreshed, retained, with_session_cwd
-from ..operators.windows import live, rolling, share_of_limit
+from ..operators.windows import limits_of, live, rolling, shares_of_limits
 from ..sources.events import TURNS_SQL, event_turns, table
 from ..sources.publish import encoded
 
@@ -336,15 +336,18 @@ SESSION_WINDOWS_SQL = f"""WITH {TURNS_SQL} SELECT provider, account, session_id,
 
 
 def session_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = session_windows(spark, sf_dir)
-    every = own.groupBy("provider", "account").agg(F.sum("total_long").alias("_all"))
-    joined = own.join(every, ["provider", "account"])
-    return joined.select("provider", "account", "session_id", "total_long", F.floor(share_of_limit(F.lit(8000), F.col("total_long"), F.col("_all"))).alias("share"))
-
-
-SESSION_SHARE_SQL = f"""WITH {TURNS_SQL}, s AS (SELECT provider, account, session_id, CAST(sum(i + o + cw + cr) AS BIGINT) AS total_long FROM turns WHERE ts >= {AS_OF} - 168 * 3600000 GROUP BY ALL),
-a AS (SELECT *, nullif(sum(total_long) OVER (PARTITION BY provider, account), 0) AS t FROM s)
-SELECT provider, account, session_id, total_long, CAST(floor(8000 * total_long / t) AS BIGINT) AS share FROM a"""
+    """Sessions' parts of their accounts' limits in both windows: by account and window, and none for the short one of half of the accounts."""
+    number = F.regexp_extract("account", r"(\d+)", 1).cast("int")
+    limit = lambda x: F.struct(x.cast("double").alias("utilization"), F.lit("soon").alias("resets_at"))
+    known = accounts(spark, sf_dir).select("provider", F.col("account").alias("email"), F.create_map(F.lit("long"), limit(1000 * (number + 1)), F.lit("short"), limit(F.when(number % 2 == 0, 8000))).alias("rate_limits"))
+    out = shares_of_limits(session_windows(spark, sf_dir), list(WINDOWS), limits_of(known))
+    return out.withColumn("share", F.floor("share"))
+
+
+SESSION_SHARE_SQL = f"""WITH {TURNS_SQL}, s AS (SELECT provider, account, session_id, CAST(coalesce(sum(i + o + cw + cr), 0) AS BIGINT) AS long, CAST(coalesce(sum(i + o + cw + cr) FILTER (ts >= {AS_OF} - 5 * 3600000), 0) AS BIGINT) AS short FROM turns WHERE ts >= {AS_OF} - 168 * 3600000 GROUP BY ALL),
+e AS (SELECT provider, account, session_id, 'long' AS "window", long AS total FROM s UNION ALL SELECT provider, account, session_id, 'short', short FROM s),
+a AS (SELECT *, nullif(sum(total) OVER (PARTITION BY provider, account, "window"), 0) AS t, CAST(regexp_extract(account, '(\\d+)', 1) AS INT) AS n FROM e)
+SELECT provider, account, session_id, "window", total, CAST(floor(CAST(CASE WHEN "window" = 'long' THEN 1000 * (n + 1) WHEN n % 2 = 0 THEN 8000 END AS DOUBLE) * total / t) AS BIGINT) AS share FROM a"""
 
 
 def pivoted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,20 @@ def write_turns(turns: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return by_day.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day").trigger(availableNow=True).start()
 
 
-def cooled(alerts: DataFrame) -> DataFrame:
-    """Alerts of a stream (name, account, ts, cooldown_minutes) that are sent, with the time of the last one sent as state."""
+#: Minutes that the time of the last alert is kept, no fewer than any cooldown; alerts may come so much late.
+KEPT_MINUTES, LATE = 7 * 1440, "1 hour"
+
+
+def cooled(alerts: DataFrame, kept_minutes: int = KEPT_MINUTES, late: str = LATE) -> DataFrame:
+    """Alerts of a stream (name, account, ts, cooldown_minutes) that are sent, with the time of the last one sent as state.
+
+    The state of a name and account goes when all alerts to come are later than it by `kept_minutes`, beyond any cooldown: it changes nothing then.
+    """
 
     def run(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(chunks)).sort_values("ts")
         keep = []
@@ -41,9 +51,12 @@ def cooled(alerts: DataFrame) -> DataFrame:
             last = ts if sent else last
             keep.append(sent)
         state.update((int(last),))
-        yield rows[keep]
+        state.setTimeoutTimestamp(max(int(last) + kept_minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        yield rows[keep].drop(columns="_at")
 
-    return alerts.groupBy("name", "account").applyInPandasWithState(run, alerts.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    # Rows at the first watermark, which is 1970, would be late: a millisecond later none is.
+    timed = alerts.withColumn("_at", F.timestamp_millis(F.col("ts") + 1)).withWatermark("_at", late)
+    return timed.groupBy("name", "account").applyInPandasWithState(run, alerts.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sent_alerts(breaches: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -112,3 +112,17 @@ def test_merge_is_greedy_and_complete(spark):
     rows = [(1, "x", "gpu support round 1", 3), (2, "y", "gpu support round 1.", 2), (3, "x", "gpu support round 1", 1), (4, "z", "other", 9)]
     d = spark.createDataFrame([(*r, None, None, None) for r in rows], "uid int, source string, core string, richness int, apply_start string, apply_end string, nth string")
     assert {r.uid: r.group for r in merge.grouped(d, []).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_state_of_old_alerts_goes(spark, tmp_path):
+    """Three micro-batches: the state of the first alert times out, and later alerts are sent as before."""
+    kind = "name string, account string, ts long, cooldown_minutes int"
+    hour = 3_600_000
+    for n, rows in enumerate([[("t", "a", 0, 10), ("t", "a", 60_000, 10)], [("t", "b", 5 * hour, 10)], [("t", "b", 6 * hour, 10)], [("t", "a", 9 * hour, 10), ("t", "a", 9 * hour + 1, 10)]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = stream.cooled(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), kept_minutes=30)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert left <= 2 and (n != 2 or left == 1)
+    assert sorted((r.account, r.ts) for r in spark.read.schema(kind).parquet(str(tmp_path / "out")).collect()) == [("a", 0), ("a", 9 * hour), ("b", 5 * hour), ("b", 6 * hour)]
