@@ -62,6 +62,13 @@ def millis_of(iso: Column) -> Column:
 
 
 def glob(pattern: Column) -> Column:
-    """A regular expression for a glob with * and ?, over all characters."""
-    quoted = F.regexp_replace(pattern, r"([\\.\[\]{}()+^$|])", r"\\$1")
-    return F.concat(F.lit("(?s)^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """A regular expression for a glob with *, ?, [characters and ranges] and [!...], over all characters; a bracket that is not closed stands for itself."""
+    parts = F.regexp_extract_all(pattern, F.lit(r"(?s)\[!?+\]?+[^\]]*+\]|."), F.lit(0))
+
+    def one(x: Column) -> Column:
+        own = F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"([\\\[\]^&])", r"\\$1")
+        chosen = F.when(own.startswith("!"), F.concat(F.lit("[^"), F.substring(own, 2, 2**31 - 1), F.lit("]"))).otherwise(F.concat(F.lit("["), own, F.lit("]")))
+        quoted = F.regexp_replace(x, r"([\\.\[\]{}()+^$|])", r"\\$1")
+        return F.when(x == "*", ".*").when(x == "?", ".").when(F.length(x) > 1, chosen).otherwise(quoted)
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(parts, one), ""), F.lit(r"\z"))

@@ -291,14 +291,14 @@ IMPORTED_SQL = f"""{CUBE_SQL} SELECT day, CASE WHEN day < '2024-01-15' THEN 'cen
 
 
 def refreshed_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube after its turns of the first days were pruned: those days stay, later ones are summed up again."""
+    """The cube after its turns of the first days were pruned and all others were corrected: those days stay, later ones are summed up again."""
     first = complete_from(AS_OF, 15, None)
-    kept = retained(turns(spark, sf_dir), AS_OF, 15)
+    kept = retained(turns(spark, sf_dir), AS_OF, 15).withColumn("i", F.col("i") * 2)
     out = refreshed(cube(spark, sf_dir), day_cube(kept, LONG_CONTEXT, F.col("provider") == "beta"), first)
     return out.groupBy("day").agg(F.sum("n").alias("n"), F.sum("i").alias("i"), F.max(F.col("day") >= first).alias("again"))
 
 
-REFRESHED_SQL = f"{CUBE_SQL} SELECT day, CAST(sum(n) AS BIGINT) AS n, CAST(sum(i) AS BIGINT) AS i, day >= '2024-01-16' AS again FROM cube GROUP BY day"
+REFRESHED_SQL = f"{CUBE_SQL} SELECT day, CAST(sum(n) AS BIGINT) AS n, CAST(sum(i) * CASE WHEN day >= '2024-01-16' THEN 2 ELSE 1 END AS BIGINT) AS i, day >= '2024-01-16' AS again FROM cube GROUP BY day"
 
 
 def owner_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,13 +99,13 @@ SELECT k, CASE WHEN regexp_matches(x, '(?i)steel') THEN 'steel' WHEN regexp_matc
 
 
 def containment_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three lines of a document, one of them twice, in capitals and with a mark."""
-    own = F.slice(X.lines(F.col("text")), 1, 3)
+    """The lines of a document, the second of them once more with marks."""
+    own = X.lines(F.col("text"))
     doubled = F.concat(own, F.transform(F.slice(own, 2, 1), lambda x: F.concat(F.lit("- "), x, F.lit("!"))))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(board.distinct_lines(doubled), "\n").alias("lines"))
 
 
-CONTAINMENT_SQL = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')), lambda x: x <> '')[1:3] AS x FROM documents),
+CONTAINMENT_SQL = r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ')), lambda x: x <> '') AS x FROM documents),
 d AS (SELECT doc_id, list_concat(x, CASE WHEN len(x) > 1 THEN ['- ' || x[2] || '!'] ELSE [] END) AS x FROM l),
 p AS (SELECT doc_id, list_filter(list_transform(x, lambda y: {'line': y, 'plain': regexp_replace(y, '[^\p{L}\p{N}_]', '', 'g')}), lambda y: y.plain <> '') AS x FROM d)
 SELECT doc_id, CASE WHEN len(x) = 0 THEN '' ELSE array_to_string(list_transform(list_reduce(list_transform(x, lambda y: [y]), lambda acc, y:

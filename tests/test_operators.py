@@ -1,5 +1,6 @@
 """Operators against plain versions on small rows."""
 
+import fnmatch
 import gzip
 import json
 import random
@@ -84,6 +85,17 @@ def test_pins_then_rules_then_launch_path(spark):
     assert {r.session_id: r.owner for r in owners(s, rules, pins).collect()} == {"1": "PIN", "2": "A", "3": "H", "4": "A", "5": None}
 
 
+def test_globs_are_those_of_shells(spark):
+    pick = random.Random(12)
+    globs = ["[!]", "[]", "[", "a[", "[a-c]*", "[!a-c]", "[]a]", "[!]a]", "[&&b]", "[^a]", "[a^]", "[[]", "[\\\\]", "*.b", "?", "", "a+b", "(a|b)", "{a}", "a\n?"]
+    globs += ["".join(pick.choice(["*", "?", "[ab]", "[!ab]", "[a-c", "]", "a", "b", ".", "-"]) for _ in range(pick.randrange(1, 6))) for _ in range(60)]
+    names = ["", "a", "b", "c", "-", "]", "[", "!", "^", "&", "ab", "a.b", "a+b", "(a|b)", "{a}", "a\nb", "a\n", "\\\\", "abc", "b]", "[]", "[!]", "a["]
+    names += ["".join(pick.choice("abc.-][") for _ in range(pick.randrange(1, 5))) for _ in range(60)]
+    d = spark.createDataFrame([(g, n) for g in globs for n in names], "g string, n string")
+    wrong = [(r.g, r.n) for r in d.withColumn("fits", F.regexp_like("n", I.glob(F.col("g")))).collect() if r.fits != fnmatch.fnmatchcase(r.n, r.g)]
+    assert wrong == []
+
+
 def test_cooldown(spark):
     rows = [("t", "a", m * 60_000, c) for m, c in ((0, 10), (5, 10), (10, 10), (19, 10), (20, 10))] + [("u", "a", 0, 0), ("u", "a", 29 * 60_000, 0), ("u", "a", 30 * 60_000, 0)]
     d = spark.createDataFrame(rows, "name string, account string, ts long, cooldown_minutes int")
