@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_id, number, session_scoped_id, surface, written_for_an_hour
-from .folds import guarded_latest, last_values
+from .folds import carried_forward, changes, guarded_latest, last_values
 from .ledger import one_per_key, provable, without_bursts
 
 #: The order in which records arrive.
@@ -103,8 +103,9 @@ def accepted(raw: DataFrame, senders: Senders, seed_until: int | None = None, be
 
 def folded_nodes(batches: DataFrame) -> DataFrame:
     """One row per node: what it said last, the machine it last named, and its latest report."""
-    rows = batches.filter(F.col("_corrupt").isNull()).withColumnRenamed("generated_at", "last_report")
-    return last_values(rows, ["node"], ["file_path"], ["os_user", "ip"], ["machine_id"], ["last_report"])
+    rows = batches.filter(F.col("_corrupt").isNull()).withColumnRenamed("generated_at", "last_report").withColumn("diagnostics", F.to_json("diagnostics"))
+    rows = rows.withColumn("diagnostics", F.when(~F.col("diagnostics").isin("null", "{}", "[]", '""'), F.col("diagnostics")))
+    return last_values(rows, ["node"], ["file_path"], ["os_user", "sender_root", "fqdn", "ip", "home"], ["machine_id", "diagnostics"], ["last_report"])
 
 
 def folded_accounts(observations: DataFrame, senders: Senders) -> DataFrame:
@@ -113,17 +114,48 @@ def folded_accounts(observations: DataFrame, senders: Senders) -> DataFrame:
     keys = ["provider", "email"]
     for value, at in (("rate_limits", "rate_limits_updated_at"), ("usage_status", "usage_status_at")):
         rows = rows.withColumn(at, F.coalesce(at, F.lit(0)))
-    out = last_values(rows, keys, ARRIVAL, [], ["account_id", "org_type", "display_name"], ["last_seen"])
+    names = [c for c in ("account_id", "org_type", "rate_limit_tier", "display_name", "org_name") if c in rows.columns]
+    out = last_values(rows, keys, ARRIVAL, [], names, ["last_seen"])
     for value, at in (("rate_limits", "rate_limits_updated_at"), ("usage_status", "usage_status_at")):
         out = out.join(guarded_latest(rows.select(*keys, *ARRIVAL, value, at), keys, ARRIVAL, value, at), keys)
     return out
 
 
+def credit_observations(observations: DataFrame, senders: Senders) -> DataFrame:
+    """(provider, email, arrival, at, credits as JSON text, balance, told, resets) of the observations whose credits are an object.
+
+    told: whether they have limit_resets at all. An absent key, which older senders leave out, and an explicit null, which takes the resets away, differ.
+    """
+    own = observations.withColumn("provider", provider_of(F.col("provider"), senders)).filter(F.schema_of_variant("credits").startswith("OBJECT"))
+    of = lambda path, kind: F.try_variant_get("credits", path, kind)
+    numeric = F.schema_of_variant(of("$.balance", "variant")).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    resets = of("$.limit_resets", "variant")
+    return own.select(
+        "provider", "email", *ARRIVAL, F.coalesce(of("$.observed_at", "bigint"), F.lit(0)).alias("at"), F.to_json("credits").alias("credits"),
+        F.when(numeric, of("$.balance", "double")).alias("balance"), resets.isNotNull().alias("told"), F.when(~F.is_variant_null(resets), F.to_json(resets)).alias("resets"),
+    )
+
+
+def folded_credits(observed: DataFrame) -> DataFrame:
+    """One row per (provider, email) of credit_observations: the credits observed last, with resets carried forward from the last that told them."""
+    keys = ["provider", "email"]
+    last = guarded_latest(observed, keys, ARRIVAL, "credits", "at").withColumnRenamed("at", "credits_at")
+    told = carried_forward(observed, keys, ARRIVAL, "at", F.col("told"), "resets").withColumnRenamed("part_at", "resets_at")
+    return last.join(told, keys, "left").select(*keys, "credits", "credits_at", "resets", F.when(F.col("resets").isNotNull(), F.col("resets_at")).alias("resets_at"))
+
+
+def balance_series(observed: DataFrame, senders: Senders, least: float = 1e-6) -> DataFrame:
+    """(provider, email, at, balance): the balances of senders that have one, in the order of their times, each change once; of one time the first to arrive."""
+    own = observed.filter((F.col("provider") == senders.scoped) & F.col("balance").isNotNull() & (F.col("at") != 0))
+    first = own.groupBy("provider", "email", "at").agg(F.min_by("balance", F.struct(*ARRIVAL)).alias("balance"))
+    return changes(first, ["provider", "email"], ["at"], "balance", least)
+
+
 def folded_sessions(observations: DataFrame, senders: Senders) -> DataFrame:
     """One row per (provider, session_id): state as last told, what is known of it, and its latest use."""
     rows = observations.withColumn("provider", provider_of(F.col("provider"), senders)).withColumn("surface", surface(F.col("surface"), senders.surfaces))
     rows = rows.withColumnRenamed("node", "host").withColumnRenamed("account_email", "account").withColumnRenamed("generated_at", "reported_at")
-    known = ["account", "cwd", "project", "version", "kind", "surface", "started_at"]
+    known = ["account", "cwd", "project", "version", "kind", "entrypoint", "surface", "started_at"]
     return last_values(rows, ["provider", "session_id"], ARRIVAL, ["host", "status", "pid", "pid_alive", "reported_at"], known, ["updated_at"])
 
 

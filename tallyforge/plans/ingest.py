@@ -11,8 +11,9 @@ from ..functions.identity import millis_of, number, surface, token_measures
 from ..operators import folds, ingest
 from ..operators.ledger import session_totals
 from ..operators.rollup import KEYS, MEASURES
-from ..sources.events import TURNS_SQL
-from ..sources.scratch import scratch_dir
+from ..sources import inbox
+from ..sources.events import TURNS_SQL, table
+from ..sources.scratch import scratch_dir, stored
 from ..sources.versions import advance, current
 from ..streaming import cube as kept
 from .board import ANCHOR, OBS, balances
@@ -103,6 +104,85 @@ UPSERTS_SQL = f"""WITH {TURNS_SQL}, h AS (SELECT session_id, min(i) AS i FROM tu
 SELECT session_id, i, NULL AS uuid, NULL AS ts FROM h UNION ALL SELECT session_id, arg_max(i, (ts, uuid)), arg_max(uuid, (ts, uuid)), max(ts) FROM turns WHERE session_id NOT IN (SELECT session_id FROM h) GROUP BY session_id"""
 
 
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches, as JSON text read by the schema of an inbox: a node, an account with limits and credits, and a session in each, with parts left out or null."""
+    k, who, ms = F.col("o_orderkey"), F.col("o_custkey"), F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    t = lambda x: x.cast("string")
+    key = lambda name, value, there=F.lit(True): F.when(there, F.concat(F.lit(f'"{name}":'), value))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    obj = lambda *parts: F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    resets = F.when(k % 4 == 0, obj(key("eligible", F.lit("true")), key("n", t(k % 10)))).otherwise("null")
+    credits = obj(key("observed_at", t(ms)), key("balance", F.when(k % 5 == 0, "null").when(k % 5 == 1, '"none"').otherwise(t(F.round(F.col("o_totalprice") * 100).cast("bigint")))), key("limit_resets", resets, k % 4 < 2))
+    account = obj(
+        key("provider", F.lit('"beta"'), who % 2 == 0), key("email", quoted(F.concat(F.lit("c"), t(who)))), key("account_id", quoted(F.concat(F.lit("i"), t(k))), k % 3 == 0), key("org_name", F.lit("null")), key("rate_limit_tier", quoted(t(k % 6)), k % 2 == 0),
+        key("usage_status", F.when(k % 3 == 1, "null").otherwise(quoted(t(k)))), key("usage_status_at", t(ms)), key("credits", credits, k % 7 != 0),
+    )
+    session = obj(
+        key("session_id", quoted(F.concat(F.lit("s"), t(k % 900)))), key("cwd", quoted(F.concat(F.lit("/w/"), t(k))), k % 3 != 0), key("entrypoint", quoted(t(k % 5)), k % 4 == 0), key("surface", F.lit('"other:My-CLI_2"'), k % 5 == 0),
+        key("status", F.when(k % 2 == 0, '"busy"').otherwise("null")), key("pid_alive", t(k % 2), k % 3 == 0), key("started_at", t(ms), k % 8 == 0), key("updated_at", t(ms - 1000)),
+    )
+    batch = obj(
+        key("host", quoted(F.concat(F.lit("h"), t(k % 40)))), key("os_user", quoted(t(k % 3)), k % 3 != 0), key("fqdn", quoted(t(k))), key("machine_id", quoted(t(k % 7)), k % 4 == 1), key("diagnostics", obj(key("k", t(k))), k % 6 == 0),
+        key("generated_at", t(ms)), key("accounts", F.concat(F.lit("["), account, F.lit("]"))), key("sessions", F.concat(F.lit("["), session, F.lit("]"))),
+    )
+    text = table(spark, sf_dir, "orders").select(F.lpad(t(k), 12, "0").alias("file_path"), F.from_json(batch, inbox.BATCH).alias("b"))
+    return text.select("b.*", "file_path", F.col("b.host").alias("node"))
+
+
+_REPORTS = """r AS (SELECT o_orderkey AS k, o_custkey AS who, 'c' || o_custkey AS email, CASE WHEN o_custkey % 2 = 0 THEN 'beta' ELSE 'alpha' END AS provider, epoch_ms(o_orderdate) AS ms, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_orderkey AS pos FROM orders)"""
+
+
+def folded_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.folded_nodes(reports(spark, sf_dir)).select("node", "os_user", "fqdn", "home", "machine_id", "diagnostics", "last_report")
+
+
+FOLDED_NODES_SQL = f"""WITH {_REPORTS} SELECT 'h' || k % 40 AS node, arg_max(CASE WHEN k % 3 <> 0 THEN CAST(k % 3 AS VARCHAR) ELSE '-' END, k) AS u, CASE WHEN u <> '-' THEN u END AS os_user, CAST(max(k) AS VARCHAR) AS fqdn, NULL AS home,
+  CAST(arg_max(k % 7, k) FILTER (k % 4 = 1) AS VARCHAR) AS machine_id, '{{"k":' || max(k) FILTER (k % 6 = 0) || '}}' AS diagnostics, max(ms) AS last_report FROM r GROUP BY k % 40"""
+FOLDED_NODES_SQL = f"SELECT * EXCLUDE (u) FROM ({FOLDED_NODES_SQL})"
+
+
+def folded_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.folded_accounts(inbox.account_observations(reports(spark, sf_dir)), SENDERS)
+    return out.select("provider", "email", "account_id", "rate_limit_tier", "org_name", "usage_status", "usage_status_at", "last_seen")
+
+
+FOLDED_ACCOUNTS_SQL = f"""WITH {_REPORTS}, g AS (SELECT *, ms >= coalesce(max(ms) OVER (PARTITION BY who ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ms) AS late_enough FROM r)
+SELECT provider, email, 'i' || max(k) FILTER (k % 3 = 0) AS account_id, CAST(arg_max(k % 6, k) FILTER (k % 2 = 0) AS VARCHAR) AS rate_limit_tier, NULL AS org_name, CAST(max(k) FILTER (k % 3 <> 1 AND late_enough) AS VARCHAR) AS usage_status,
+  max(ms) AS usage_status_at, max(ms) AS last_seen FROM g GROUP BY provider, email"""
+
+
+def folded_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ingest.folded_sessions(inbox.session_observations(reports(spark, sf_dir)), SENDERS)
+    return out.select("provider", "session_id", "host", "cwd", "entrypoint", "surface", "status", "pid_alive", "started_at", "updated_at", "reported_at")
+
+
+FOLDED_SESSIONS_SQL = f"""WITH {_REPORTS}, l AS (SELECT 'alpha' AS provider, 's' || k % 900 AS session_id, max(k) AS k, '/w/' || max(k) FILTER (k % 3 <> 0) AS cwd, CAST(arg_max(k % 5, k) FILTER (k % 4 = 0) AS VARCHAR) AS entrypoint,
+  CASE WHEN count(*) FILTER (k % 5 = 0) > 0 THEN 'terminal' END AS surface, arg_max(ms, k) FILTER (k % 8 = 0) AS started_at, max(ms) - 1000 AS updated_at, arg_max(ms, k) AS reported_at FROM r GROUP BY k % 900)
+SELECT provider, session_id, 'h' || k % 40 AS host, cwd, entrypoint, surface, CASE WHEN k % 2 = 0 THEN 'busy' END AS status, CASE WHEN k % 3 = 0 THEN k % 2 END AS pid_alive, started_at, updated_at, reported_at FROM l"""
+
+
+def account_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the text of batches to the resets that an account has, its balance, and what it spent since a day."""
+    observed = stored(ingest.credit_observations(inbox.account_observations(reports(spark, sf_dir)), SENDERS))
+    series = stored(ingest.balance_series(observed, SENDERS))
+    keys = ["provider", "email"]
+    spent = folds.spent_since(series, keys, ["at"], "balance", "at", F.lit(SPENT_FROM)).select(*keys, F.col("spent").cast("bigint").alias("spent"), "since")
+    now = series.groupBy(*keys).agg(F.max_by("balance", "at").cast("bigint").alias("balance"))
+    return ingest.folded_credits(observed).drop("credits").join(now, keys, "left").join(spent, keys, "left")
+
+
+#: 1998-04-01.
+SPENT_FROM = 891_388_800_000
+ACCOUNT_CREDITS_SQL = f"""WITH {_REPORTS}, c AS (SELECT * FROM r WHERE k % 7 <> 0),
+g AS (SELECT *, ms >= coalesce(max(ms) OVER (PARTITION BY who ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ms) AS late_enough FROM c),
+f AS (SELECT provider, email, max(ms) AS credits_at, max(k) FILTER (late_enough AND k % 4 < 2) AS told FROM g GROUP BY provider, email),
+s AS (SELECT provider, email, ms, arg_min(cents, k) AS cents FROM c WHERE provider = 'beta' AND k % 5 > 1 GROUP BY ALL),
+b AS (SELECT *, greatest(0, lag(cents) OVER (PARTITION BY email ORDER BY ms) - cents) AS fall FROM s),
+p AS (SELECT provider, email, arg_max(cents, ms) AS balance, CAST(coalesce(sum(fall) FILTER (ms >= {SPENT_FROM}), 0) AS BIGINT) AS spent, CASE WHEN min(ms) < {SPENT_FROM} THEN {SPENT_FROM} ELSE min(ms) END AS since FROM b GROUP BY ALL)
+SELECT f.provider, f.email, credits_at, CASE WHEN told % 4 = 0 THEN '{{"eligible":true,"n":' || told % 10 || '}}' END AS resets, CASE WHEN told % 4 = 0 THEN c.ms END AS resets_at, balance, spent, since
+FROM f LEFT JOIN c ON c.k = f.told LEFT JOIN p ON p.email = f.email"""
+
+
 def in_runs(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table after the turns came in three runs, out of order; some of the second are dated forty days too late and are taken back by the third, so
     that days become empty; the second comes again with other turns, which do not count."""
@@ -180,9 +260,9 @@ ASOF_MANY_SQL = f"WITH {OBS}, b AS (SELECT who, seen, arg_max(cents, pos) AS cen
 
 QUERIES = {
     "ingest_turns": ingest_turns, "session_sets": session_sets, "seeded_totals": seeded_totals, "retracted_totals": retracted_totals, "upserts": upserts, "turn_values": turn_values,
-    "balance_changes": balance_changes, "credit_view": credit_view, "asof_many": asof_many, "incremental_cube": incremental_cube, "incremental_sessions": incremental_sessions,
+    "balance_changes": balance_changes, "credit_view": credit_view, "asof_many": asof_many, "folded_nodes": folded_nodes, "folded_accounts": folded_accounts, "folded_sessions": folded_sessions, "account_credits": account_credits, "incremental_cube": incremental_cube, "incremental_sessions": incremental_sessions,
 }
 SQL = {
     "ingest_turns": f"WITH {USAGE} SELECT {', '.join(TURN_COLUMNS)} FROM accepted", "session_sets": SESSION_SETS_SQL, "seeded_totals": SEEDED_SQL, "retracted_totals": RETRACTED_SQL, "upserts": UPSERTS_SQL, "turn_values": TURN_VALUES_SQL,
-    "balance_changes": BALANCE_CHANGES_SQL, "credit_view": CREDIT_VIEW_SQL, "asof_many": ASOF_MANY_SQL, "incremental_cube": f"{CUBE_SQL} SELECT * FROM cube", "incremental_sessions": INCREMENTAL_SESSIONS_SQL,
+    "balance_changes": BALANCE_CHANGES_SQL, "credit_view": CREDIT_VIEW_SQL, "asof_many": ASOF_MANY_SQL, "folded_nodes": FOLDED_NODES_SQL, "folded_accounts": FOLDED_ACCOUNTS_SQL, "folded_sessions": FOLDED_SESSIONS_SQL, "account_credits": ACCOUNT_CREDITS_SQL, "incremental_cube": f"{CUBE_SQL} SELECT * FROM cube", "incremental_sessions": INCREMENTAL_SESSIONS_SQL,
 }

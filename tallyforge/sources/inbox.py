@@ -13,11 +13,11 @@ from pyspark.sql import types as T
 USAGE = """struct<uuid string, ts bigint, provider string, account_email string, session_id string, model string, surface string, cwd string,
 project string, assumed boolean, input_tokens string, output_tokens string, cache_creation_tokens string, cache_read_tokens string,
 cache_creation_1h_tokens string, cache_creation_5m_tokens string, speed string, effort string>"""
-ACCOUNT = """struct<provider string, email string, account_id string, org_type string, display_name string, rate_limits_updated_at bigint,
-rate_limits map<string, struct<utilization double, resets_at string>>, usage_status string, usage_status_at bigint>"""
+ACCOUNT = """struct<provider string, email string, account_id string, org_type string, rate_limit_tier string, display_name string, org_name string, rate_limits_updated_at bigint,
+rate_limits map<string, struct<utilization double, resets_at string>>, usage_status string, usage_status_at bigint, credits variant>"""
 SESSION = """struct<provider string, session_id string, account_email string, cwd string, project string, version string, kind string,
-surface string, status string, pid bigint, pid_alive int, started_at bigint, updated_at bigint>"""
-BATCH = f"host string, os_user string, ip string, machine_id string, generated_at bigint, accounts array<{ACCOUNT}>, sessions array<{SESSION}>, usage array<{USAGE}>, _corrupt string".replace("\n", " ")
+entrypoint string, surface string, status string, pid bigint, pid_alive int, started_at bigint, updated_at bigint>"""
+BATCH = f"host string, os_user string, sender_root string, fqdn string, ip string, machine_id string, home string, diagnostics variant, generated_at bigint, accounts array<{ACCOUNT}>, sessions array<{SESSION}>, usage array<{USAGE}>, _corrupt string".replace("\n", " ")
 
 
 def _options(reader, pattern: str):

@@ -186,3 +186,23 @@ def test_a_cluster_must_name_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_dir(SimpleNamespace(conf=Conf()))
+
+
+def test_credits_are_carried_forward(spark, tmp_path):
+    """An absent key leaves the resets, an explicit null takes them away, and an older report never wins; balances keep each change once, of one sender only."""
+    seen = [(10, {"balance": 5, "limit_resets": {"n": 1}}), (20, {"balance": 5.0}), (15, {"balance": 9, "limit_resets": {"n": 9}}), (30, {"balance": "none"}), (None, {"balance": 3}), (30, {"balance": 2, "limit_resets": None}), (30, {"balance": 8}), (40, None)]
+    (tmp_path / "n").mkdir()
+    for k, (at, credits) in enumerate(seen):
+        account = {"email": "a", "provider": "beta"} | ({} if credits is None else {"credits": credits | ({"observed_at": at} if at else {})})
+        (tmp_path / "n" / f"batch-{k}.json").write_text(json.dumps({"host": "h", "generated_at": k, "accounts": [account, {"email": "b", "credits": 5}, {"email": "c", "credits": {"observed_at": 7, "balance": 1}}]}))
+    senders = ingest.Senders()
+    for last, want in ((3, ('{"n":1}', 10, 30)), (4, ('{"n":1}', 10, 30)), (5, (None, None, 30)), (7, (None, None, 30))):
+        b = inbox.read_batches(spark, str(tmp_path), pattern=f"batch-[0-{last}].json")
+        observed = ingest.credit_observations(inbox.account_observations(b), senders)
+        got = {r.email: (r.resets, r.resets_at, r.credits_at) for r in ingest.folded_credits(observed).collect()}
+        if last == 3:
+            assert got == {"a": ('{"n":1}', 10, 30), "c": (None, None, 7)}
+        else:
+            assert got["a"] == want
+    series = ingest.balance_series(observed, senders).collect()
+    assert sorted((r.email, r.at, r.balance) for r in series) == [("a", 10, 5.0), ("a", 15, 9.0), ("a", 20, 5.0), ("a", 30, 2.0)]
