@@ -222,7 +222,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] |
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that `toxicity` does not call toxic, with their own columns only."""
+    """The documents that `toxicity` does not call toxic, with their own columns only.
+
+    A null text is an empty one; null ids, repeated rows and further columns, whatever their names, stay as they are; a very long text is read
+    whole; without documents nothing is left, and without usable labels nothing goes.
+    """
     chain = fit(docs, labels, categories or default_categories(), id_col, text_col)
     return docs.filter(chain.probabilities(F.col(text_col).cast("string"))[len(chain.links) - 1] < threshold)
 

@@ -87,3 +87,27 @@ def test_empty_documents(spark, sf_dir, planted):
     none = planted[0].limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, none, sf_dir).collect() == []
+
+
+@pytest.fixture(scope="module")
+def no_tables(spark, sf_dir, tmp_path_factory):
+    """A folder whose labels and benchmark have no rows."""
+    where = str(tmp_path_factory.mktemp("none"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{where}/{name}.parquet")
+    return where
+
+
+def test_odd_documents_pass_all_stages(spark, no_tables):
+    """Nulls in every column, very long texts, repeated rows, columns with names that the stages use themselves, and neither labels nor a benchmark."""
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, "a b c", "en", "x", 5, "own", 7), (2, None, None, None, None, None, None), (None, "", "en", "x", 0, "own", 7), (3, long, "en", "x", 9, None, 7), (4, long + " end", "en", "x", 9, "own", None), (5, "x" * 400_000, "en", "x", 9, "own", 7), (1, "a b c", "en", "x", 5, "own", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _text string, fp long")
+    left = {"toxicity": [1, 1, 2, 3, 4, 5, None], "exact_dedup": [1, 2, 3, 4, 5], "simhash_near_dedup": [1, 2, 3, 5], "benchmark_decontamination": [1, 2, 3, 5]}
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, no_tables)
+        assert docs.columns == [*COLUMNS, "_text", "fp"]
+        assert sorted((r.doc_id for r in docs.collect()), key=lambda x: (x is None, x)) == left[name], name
+    packed = P.STAGES[-1][1](spark, docs, no_tables)
+    sums = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t"))
+    assert sums.filter("n <> t").isEmpty() and sorted(r.doc_id for r in sums.collect()) == [1, 2, 3, 5]

@@ -1,6 +1,10 @@
 """The pipeline's near-dedup stage against brute-force Jaccard similarity of five-word shingles."""
 
+import itertools
 import random
+from collections import Counter
+
+import numpy as np
 
 import corpus_pipeline as P
 from tallyforge.llm.near_dedup import shingle_set
@@ -68,3 +72,31 @@ def test_chain_and_large_group(spark, sf_dir):
 def test_documents(spark, sf_dir):
     rows = [tuple(x) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert stage(spark, rows, sf_dir) == kept(rows)
+
+
+def test_every_similar_pair_of_a_larger_table_meets(spark):
+    """All pairs of different sets with a similarity of 0.8 or more, by brute force over shared shingles: each has a segment from which its chain holds."""
+    from tallyforge.llm.near_dedup import BUDGET, PARTS, minima, parts_of, ring_of
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    sets = list({x.tobytes(): set(x.tolist()) for x in (shingle_set(t, 5) for t in texts)}.values())
+    pick = random.Random(8)
+    for n in range(90, 390):  # planted pairs of 0.8 to 0.84
+        own = [pick.getrandbits(64) for _ in range(n)]
+        same = -(-n * 8 // 9)
+        sets += [set(own), set(own[:same] + [pick.getrandbits(64) for _ in range(n - same)])]
+    where, shared = {}, Counter()
+    for k, own in enumerate(sets):
+        for h in own:
+            where.setdefault(h, []).append(k)
+    for own in where.values():
+        shared.update(itertools.combinations(own, 2))
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(pairs) >= 303
+    met = 0
+    for a, b in pairs:
+        x, y = (minima(np.array(sorted(sets[k]), np.uint64)) for k in (a, b))
+        apart = [(int(i) ^ int(j)).bit_count() for i, j in zip(*(np.array(ring_of(m), np.int64).view(np.uint16) for m in (x, y)), strict=True)]
+        starts = [i for i, (p, q) in enumerate(zip(parts_of(x), parts_of(y), strict=True)) if p == q]
+        met += any(all(sum(apart[(i + j) % PARTS] for j in range(n)) <= n * BUDGET / PARTS for n in range(1, PARTS + 1)) for i in starts)
+    assert met >= 0.99 * len(pairs)
