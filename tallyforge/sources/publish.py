@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.order import coded
+from ..operators.order import coded, placed_within
 from .scratch import stored
 
 #: What a report may be asked for.
@@ -142,11 +142,24 @@ def as_document(parts: dict[str, DataFrame], generated_at: int) -> DataFrame:
 
 
 def encoded(rows: DataFrame, dims: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with each dimension's value as its place among the sorted ones, from 0; (dim, code, value) of all values)."""
-    out, lists = stored(rows), []
+    """(rows with each dimension's value as its place among the sorted ones, from 0; (dim, code, value) of all values).
+
+    The values of all dimensions are sorted together, by dimension and value, once; numbers, whose order is not that of their texts, each by themselves.
+    """
+    rows = stored(rows)
+    texts = [d for d in dims if dict(rows.dtypes)[d] == "string"]
+    held = None
+    if texts:
+        each = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in texts))).alias("_v")
+        held = stored(placed_within(rows.select(each).select("_v.dim", "_v.value").distinct(), "dim", [F.col("value").asc_nulls_first()], "code").select("dim", "code", "value"))
+    out, lists = rows, [held] if texts else []
     for d in dims:
-        out = coded(out, d, f"_{d}")
-        lists.append(out.select(F.lit(d).alias("dim"), F.col(f"_{d}").alias("code"), F.col(d).cast("string").alias("value")).distinct())
+        if d in texts:
+            own = held.filter(F.col("dim") == d).select(F.col("code").alias(f"_{d}"), F.col("value").alias(f"_value_{d}"))
+            out = out.join(own, F.col(d).eqNullSafe(F.col(f"_value_{d}"))).drop(f"_value_{d}")
+        else:
+            out = coded(out, d, f"_{d}")
+            lists.append(out.select(F.lit(d).alias("dim"), F.col(f"_{d}").alias("code"), F.col(d).cast("string").alias("value")).distinct())
     every = lists[0]
     for x in lists[1:]:
         every = every.unionByName(x)

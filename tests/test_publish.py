@@ -96,6 +96,13 @@ def test_encoding(spark):
     assert sorted((r.dim, r.code, r.value or "") for r in values.collect()) == [("k", 0, ""), ("k", 1, "a"), ("k", 2, "b"), ("m", 0, "x"), ("m", 1, "y")]
 
 
+def test_encoding_of_numbers_and_texts(spark):
+    d = spark.createDataFrame([("b", 10, 1), ("a", 9, 2), ("b", None, 3)], "k string, m int, n int")
+    rows, values = publish.encoded(d, ["k", "m"])
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, 1, 2), (1, 0, 3), (1, 2, 1)]
+    assert sorted((r.dim, r.code, r.value or "") for r in values.collect()) == [("k", 0, "a"), ("k", 1, "b"), ("m", 0, ""), ("m", 1, "9"), ("m", 2, "10")]
+
+
 def test_connectors_by_kind(spark):
     pages = spark.createDataFrame([("one", 1, "<p>1</p>"), ("two", 1, "<p>2</p>"), ("off", 1, ""), ("odd", 1, "")], "source string, page int, markup string")
     config = spark.createDataFrame([("one", "a", False, 0), ("two", "b", None, 1), ("off", "a", True, 2), ("odd", "z", False, 3), ("one", "b", False, 4)], "key string, kind string, disabled boolean, pos int")
