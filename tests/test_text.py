@@ -15,6 +15,7 @@ from tallyforge.functions import pages as P
 from tallyforge.functions import text as X
 from tallyforge.functions.extract import Patterns, costs_of, near, specs_of, tidy
 from tallyforge.operators import board, merge
+from tallyforge.plans import board as board_plan
 from tallyforge.plans import text as plan
 from tallyforge.sources import landing
 
@@ -34,6 +35,13 @@ def test_keyword_lines_keep_digits_at_their_ends(spark):
     assert one(spark, X.keyword_lines(F.lit(text), "[0-9]|the"))[0] == ["of 4980", "the 555-8971"]
 
 
+def test_relevance_has_whole_titles(spark, tmp_path):
+    rows = [(1, "password in an error: 5000000000"), (2, "short\nthis is a line of 25 or more, 11"), (3, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.title, r.relevant) for r in board_plan.QUERIES["relevance"](spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], True), 2: ("this is a line of 25 or more, 11", False), 3: (None, False)}
+
+
 def test_quantities():
     p = plan.PATTERNS
     rows = specs_of("5. AB100 cards 7\nfor each AB100(2 cards), CD200 ( 1 card )\nAB100 won 3 cards\nEF300\n\n 4 cards\nGH400\nCD200 5 cards", p)
