@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,46 +58,47 @@ def changes(rows: DataFrame, keys: list[str], order: list[str], value: str, leas
 
     Rows without a value are never stored. With a `least`, what a segment stores depends on the value held before it: each segment starts from
     a guess, the last value before it, and those whose guess was not what the segment before ends with are gone through again, until none is
-    left. Two walks meet at the first jump beyond the spread of their held values, so few rounds are needed.
+    left. Two walks meet at the first jump beyond the spread of their held values, so few rounds are needed. Most keys lie in one segment and
+    need no guess: only those in several, of which there are no more than ranges, are gone through before the rows are stored.
     """
     cut = segmented(rows.filter(F.col(value).isNotNull()), keys, order)
     ends = stored(cut.groupBy(*keys, SEGMENT).agg(F.max_by(value, AT).alias("_end")))
-    guess = stored(ends.select(*keys, SEGMENT, F.lag("_end").over(previous(keys)).alias("_held")))
+    guess = ends.select(*keys, SEGMENT, F.lag("_end").over(previous(keys)).alias("_held"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    guess = stored(guess.filter("_n > 1").drop("_n"))
     if not least:
         before = F.coalesce(F.lag(value).over(local(keys)), F.col("_held"))
-        kept = with_carried(cut, keys, guess).withColumn("_before", before)
+        kept = with_carried(cut, keys, guess, "left").withColumn("_before", before)
         return kept.filter(F.col("_before").isNull() | (F.col(value) != F.col("_before"))).select(*rows.columns)
 
-    def walked(pdf: pd.DataFrame) -> tuple[list[bool], float]:
-        held, keep = pdf["_held"].iloc[0], []
-        held = None if pd.isna(held) else held
-        for x in pdf[value]:
-            keep.append(held is None or abs(x - held) > least)
-            held = x if keep[-1] else held
-        return keep, held
+    names = cut.columns
 
-    def last(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(AT)
-        return pdf[[*keys, SEGMENT]].head(1).assign(_last=walked(pdf)[1])
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            keep = []
+            for first, told, start, x in zip(*(pdf[c].tolist() for c in ("_first", "_told", "_start", value)), strict=True):
+                if first:
+                    held = start if told else None
+                keep.append(held is None or abs(x - held) > least)
+                held = x if keep[-1] else held
+            yield pdf.loc[keep, names]
 
-    def stored_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(AT)
-        return pdf[walked(pdf)[0]].drop(columns=[SEGMENT, AT, "_held"])
+    def kept_of(begun: DataFrame) -> DataFrame:
+        """The rows of cut that are stored, by the held value that each segment begins with; a window leaves segments whole and in order."""
+        marked = begun.withColumn("_told", F.col("_held").isNotNull()).withColumn("_start", F.coalesce("_held", value)).drop("_held")
+        return marked.withColumn("_first", F.lag(AT).over(local(keys)).isNull()).mapInPandas(walked, cut.schema)
 
-    types = {f.name: f.dataType.simpleString() for f in cut.schema}
-    shape = ", ".join(f"`{c}` {types[c]}" for c in [*keys, SEGMENT]) + f", _last {types[value]}"
     todo, known = guess, None
-    while True:
-        lasts = with_carried(cut.select(*keys, SEGMENT, AT, value), keys, todo).groupBy(*keys, SEGMENT).applyInPandas(last, shape)
+    while not todo.isEmpty():
+        shut = kept_of(with_carried(cut, keys, todo)).groupBy(*keys, SEGMENT).agg(F.max_by(value, AT).alias("_shut"))
+        lasts = with_carried(todo, keys, shut, "left").select(*keys, SEGMENT, F.coalesce("_shut", "_held").alias("_last"))
         again = todo.select(*keys, SEGMENT)
         known = stored(lasts if known is None else lasts.unionByName(known.join(again.withColumn("_again", F.lit(True)), _same(known, again, keys), "left_anti")))
         real = stored(known.select(*keys, SEGMENT, F.lag("_last").over(previous(keys)).alias("_real")))
         both = with_carried(guess, keys, real)
         todo = stored(both.filter(~F.col("_held").eqNullSafe(F.col("_real"))).select(*keys, SEGMENT, F.col("_real").alias("_held")))
-        if todo.isEmpty():
-            break
         guess = stored(both.select(*keys, SEGMENT, F.col("_real").alias("_held")))
-    return with_carried(cut, keys, guess).groupBy(*keys, SEGMENT).applyInPandas(stored_rows, rows.schema)
+    return kept_of(with_carried(cut, keys, guess, "left")).select(*rows.columns)
 
 
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

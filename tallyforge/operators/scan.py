@@ -39,11 +39,11 @@ def previous(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(SEGMENT)
 
 
-def with_carried(parts: DataFrame, keys: list[str], states: DataFrame) -> DataFrame:
-    """parts with the other columns of states, of which each segment has one row; by its size the table is sent or joined."""
+def with_carried(parts: DataFrame, keys: list[str], states: DataFrame, how: str = "inner") -> DataFrame:
+    """parts with the other columns of states, of which each segment has one row at most; by its size the table is sent or joined."""
     more = [c for c in states.columns if c not in [*keys, SEGMENT]]
     renamed = states.select(*(F.col(c).alias(f"_{c}_of_state") for c in [*keys, SEGMENT]), *more)
     same = F.col(SEGMENT) == F.col(f"_{SEGMENT}_of_state")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}_of_state"))
-    return parts.join(renamed, same).drop(*(f"_{c}_of_state" for c in [*keys, SEGMENT]))
+    return parts.join(renamed, same, how).drop(*(f"_{c}_of_state" for c in [*keys, SEGMENT]))

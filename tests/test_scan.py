@@ -37,6 +37,11 @@ def by_key(rows):
     return out
 
 
+def test_changes_walk_over_partitions_and_not_over_single_keys(frame):
+    plan = folds.changes(frame, ["k"], ["pos"], "v", 5)._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_a_hot_key_lies_in_many_segments(frame):
     cut = segmented(frame, ["k"], ["pos"])
     sizes = sorted(r["count"] for r in cut.groupBy(SEGMENT).count().collect())
