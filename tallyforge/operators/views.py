@@ -112,17 +112,18 @@ def window_costs(turns: DataFrame, sessions: DataFrame, now: int, windows: dict[
     """The turns of each window (its name, its hours up to now), priced: (window, owner, provider, account, model, speed, effort, lc, n, part, tokens, rate, reason).
 
     One pass for all windows: a turn is summed up under the shortest window that holds it, by session and price, and the sums are repeated for the
-    longer ones. Long contexts are told turn by turn. Groups without tokens are left out.
+    longer ones. Long contexts are told turn by turn. Groups without tokens are left out; turns without
+    tokens count where their group has others with some.
     """
     keys = ["provider", "account", "session_id", "model", "speed", "effort", "lc"]
     ordered = sorted(windows, key=windows.get)
     since = {w: now - windows[w] * 3_600_000 for w in ordered}
     shortest = F.coalesce(*(F.when(F.col("ts") >= since[w], F.lit(k)) for k, w in enumerate(ordered)))
     rows = turns.filter(F.col("ts") >= since[ordered[-1]]).withColumn("_w", shortest)
-    grain = priceable(rows, long_context_over, long_context).groupBy("_w", *keys).agg(*measure_sums()).filter("i + o + cw + cr > 0")
+    grain = priceable(rows, long_context_over, long_context).groupBy("_w", *keys).agg(*measure_sums())
     names = F.array(*map(F.lit, ordered))
     own = owned(grain, sessions).withColumn("_split", split_ttl).withColumn("window", F.explode(F.slice(names, F.col("_w") + 1, len(ordered))))
-    own = own.groupBy("window", "owner", *(k for k in keys if k != "session_id"), "_split").agg(*(F.sum(c).alias(c) for c in ("n", "i", "o", "cw", "cr", "cw1h", "cwu")))
+    own = own.groupBy("window", "owner", *(k for k in keys if k != "session_id"), "_split").agg(*(F.sum(c).alias(c) for c in ("n", "i", "o", "cw", "cr", "cw1h", "cwu"))).filter("i + o + cw + cr > 0")
     return priced(own, card, speeds, lc_rates, F.col("_split"), whole=True).drop("i", "o", "cw", "cr", "cw1h", "cwu", "_split")
 
 
@@ -133,7 +134,9 @@ def _money() -> Column:
 def _with_pct(rows: DataFrame) -> DataFrame:
     """pct: 1/100 percent of the owner's money in a window, 0 where there is none."""
     everything = F.sum("microdollars").over(Window.partitionBy("window", "owner"))
-    return rows.withColumn("pct", F.coalesce(F.round(F.col("microdollars") * 10_000 / F.nullif(everything, F.lit(0))), F.lit(0)).cast("bigint"))
+    # A quotient of decimals would be rounded to six places first, and from there up.
+    share = F.col("microdollars").cast("double") * 10_000 / F.nullif(everything, F.lit(0)).cast("double")
+    return rows.withColumn("pct", F.coalesce(F.round(share), F.lit(0)).cast("bigint"))
 
 
 def owner_costs(costs: DataFrame) -> DataFrame:

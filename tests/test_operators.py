@@ -8,9 +8,10 @@ import random
 from pyspark.sql import functions as F
 from tallyforge.functions import identity as I
 from tallyforge.functions import text as X
-from tallyforge.operators import alerts, board, folds, merge
+from tallyforge.operators import alerts, board, folds, merge, views
 from tallyforge.operators.attribution import owners
 from tallyforge.operators.ledger import one_per_key, provable
+from tallyforge.plans import views as views_plan
 from tallyforge.sources.inbox import account_observations, changed_files, raw_turns, read_batches, session_observations, stream_batches
 from tallyforge.streaming import ledger as stream
 
@@ -138,3 +139,13 @@ def test_state_of_old_alerts_goes(spark, tmp_path):
         left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
         assert left <= 2 and (n != 2 or left == 1)
     assert sorted((r.account, r.ts) for r in spark.read.schema(kind).parquet(str(tmp_path / "out")).collect()) == [("a", 0), ("a", 9 * hour), ("b", 5 * hour), ("b", 6 * hour)]
+
+
+def test_percent_is_rounded_once_and_turns_without_tokens_count(spark, tmp_path):
+    money = spark.createDataFrame([("w", "a", 4_999_996), ("w", "a", 100_000_000_000 - 4_999_996)], "window string, owner string, microdollars bigint")
+    got = views._with_pct(money.withColumn("microdollars", F.col("microdollars").cast("decimal(38,6)"))).collect()
+    assert sorted(r.pct for r in got) == [0, 10_000]
+    rows = [(140, "2024-01-28 10:00:00", 7, "purchase", 0.0, '{"k": 0}'), (280, "2024-01-29 10:00:00", 7, "purchase", 1.5, '{"k": 3}')]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.turns for r in views_plan.QUERIES["credit_groups"](spark, str(tmp_path)).collect()] == [2]
