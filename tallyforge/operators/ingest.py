@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import content_id, number, session_scoped_id, surface, written_for_an_hour
+from ..sources.scratch import stored
 from .folds import carried_forward, changes, guarded_latest, last_values
 from .ledger import one_per_key, provable, without_bursts
 
@@ -115,6 +116,8 @@ def folded_accounts(observations: DataFrame, senders: Senders) -> DataFrame:
     for value, at in (("rate_limits", "rate_limits_updated_at"), ("usage_status", "usage_status_at")):
         rows = rows.withColumn(at, F.coalesce(at, F.lit(0)))
     names = [c for c in ("account_id", "org_type", "rate_limit_tier", "display_name", "org_name") if c in rows.columns]
+    # Read three times, and twice more to find ranges: batches are parsed once.
+    rows = stored(rows.select(*keys, *ARRIVAL, *names, "last_seen", "rate_limits", "rate_limits_updated_at", "usage_status", "usage_status_at"))
     out = last_values(rows, keys, ARRIVAL, [], names, ["last_seen"])
     for value, at in (("rate_limits", "rate_limits_updated_at"), ("usage_status", "usage_status_at")):
         out = out.join(guarded_latest(rows.select(*keys, *ARRIVAL, value, at), keys, ARRIVAL, value, at), keys)

@@ -11,6 +11,7 @@ from tallyforge.functions import text as X
 from tallyforge.operators import alerts, board, folds, merge, views
 from tallyforge.operators.attribution import owners
 from tallyforge.operators.ledger import one_per_key, provable
+from tallyforge.plans import ingest as ingest_plan
 from tallyforge.plans import views as views_plan
 from tallyforge.sources.inbox import account_observations, changed_files, raw_turns, read_batches, session_observations, stream_batches
 from tallyforge.streaming import ledger as stream
@@ -149,3 +150,9 @@ def test_percent_is_rounded_once_and_turns_without_tokens_count(spark, tmp_path)
     events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
     events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     assert [r.turns for r in views_plan.QUERIES["credit_groups"](spark, str(tmp_path)).collect()] == [2]
+
+
+def test_account_observations_are_parsed_once(spark, sf_dir):
+    """What is folded several times is read from the stored observations, not from the batches again."""
+    read = ingest_plan.folded_accounts(spark, sf_dir).inputFiles()
+    assert read and not [f for f in read if "orders.parquet" in f]
