@@ -22,20 +22,22 @@ def last_values(rows: DataFrame, keys: list[str], order: list[str], always: list
     )
 
 
-def _last_record(rows: DataFrame, keys: list[str], order: list[str], ok: Column, stamp: str, what: Column) -> DataFrame:
-    """(keys, _what, _most): `what` of the last row that is ok and whose stamp is none earlier than all stamps before it, and the latest stamp.
+def last_records(rows: DataFrame, keys: list[str], order: list[str], stamp: str, wanted: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(keys, a struct _stamp and _what of each name, _most): of each (ok, what), `what` of the last row that is ok and whose stamp is none
+    earlier than all stamps before it, with that stamp; and the latest stamp. All are found in one walk.
 
     Within a segment, such rows have rising stamps. So if the last of them is behind a stamp of the segments before, all are: of each segment
     that row and the latest stamp say enough.
     """
-    cut = segmented(rows.select(*keys, *order, F.col(stamp).alias("_stamp"), ok.alias("_ok"), what.alias("_what")), keys, order)
+    own = [x.alias(f"_{kind}_{name}") for name, pair in wanted.items() for kind, x in zip(("ok", "what"), pair, strict=True)]
+    cut = segmented(rows.select(*keys, *order, F.col(stamp).alias("_stamp"), *own), keys, order)
     highest = F.max("_stamp").over(local(keys).rowsBetween(Window.unboundedPreceding, -1))
-    held = cut.withColumn("_ok", F.col("_ok") & (F.col("_stamp") >= F.coalesce(highest, F.col("_stamp"))))
-    last = F.max_by(F.struct("_stamp", "_what"), F.when(F.col("_ok"), F.col(AT)))
-    parts = stored(held.groupBy(*keys, SEGMENT).agg(last.alias("_last"), F.max("_stamp").alias("_most")))
-    accepted = F.col("_last._stamp") >= F.coalesce(F.max("_most").over(earlier(keys)), F.col("_last._stamp"))
-    parts = parts.withColumn("_in", accepted)
-    return parts.groupBy(*keys).agg(F.max_by("_last", F.when(F.col("_in"), F.col(SEGMENT))).alias("_last"), F.max("_most").alias("_most"))
+    held = cut.withColumn("_late", F.col("_stamp") >= F.coalesce(highest, F.col("_stamp")))
+    last = lambda name: F.max_by(F.struct("_stamp", F.col(f"_what_{name}").alias("_what")), F.when(F.col(f"_ok_{name}") & F.col("_late"), F.col(AT)))
+    parts = stored(held.groupBy(*keys, SEGMENT).agg(*(last(name).alias(name) for name in wanted), F.max("_stamp").alias("_most")))
+    before = F.max("_most").over(earlier(keys))
+    accepted = parts.select("*", *((F.col(name)["_stamp"] >= F.coalesce(before, F.col(name)["_stamp"])).alias(f"_in_{name}") for name in wanted))
+    return accepted.groupBy(*keys).agg(*(F.max_by(name, F.when(F.col(f"_in_{name}"), F.col(SEGMENT))).alias(name) for name in wanted), F.max("_most").alias("_most"))
 
 
 def guarded_latest(rows: DataFrame, keys: list[str], order: list[str], value: str, stamp: str) -> DataFrame:
@@ -43,13 +45,13 @@ def guarded_latest(rows: DataFrame, keys: list[str], order: list[str], value: st
 
     The stamp of a null value counts too, so this is not the value with the largest stamp.
     """
-    out = _last_record(rows, keys, order, F.col(value).isNotNull(), stamp, F.col(value))
+    out = last_records(rows, keys, order, stamp, {"_last": (F.col(value).isNotNull(), F.col(value))})
     return out.select(*keys, F.col("_last._what").alias(value), F.col("_most").alias(stamp))
 
 
 def carried_forward(rows: DataFrame, keys: list[str], order: list[str], stamp: str, present: Column, part: str) -> DataFrame:
     """(keys, part, part_at): the part of the last accepted row that has it, an explicit null too, with that row's stamp."""
-    out = _last_record(rows, keys, order, present, stamp, F.col(part))
+    out = last_records(rows, keys, order, stamp, {"_last": (present, F.col(part))})
     return out.select(*keys, F.col("_last._what").alias(part), F.col("_last._stamp").alias("part_at"))
 
 

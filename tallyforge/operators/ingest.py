@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import content_id, number, session_scoped_id, surface, written_for_an_hour
 from ..sources.scratch import stored
-from .folds import carried_forward, changes, guarded_latest, last_values
+from .folds import changes, guarded_latest, last_records, last_values
 from .ledger import one_per_key, provable, without_bursts
 
 #: The order in which records arrive.
@@ -142,9 +142,9 @@ def credit_observations(observations: DataFrame, senders: Senders) -> DataFrame:
 def folded_credits(observed: DataFrame) -> DataFrame:
     """One row per (provider, email) of credit_observations: the credits observed last, with resets carried forward from the last that told them."""
     keys = ["provider", "email"]
-    last = guarded_latest(observed, keys, ARRIVAL, "credits", "at").withColumnRenamed("at", "credits_at")
-    told = carried_forward(observed, keys, ARRIVAL, "at", F.col("told"), "resets").withColumnRenamed("part_at", "resets_at")
-    return last.join(told, keys, "left").select(*keys, "credits", "credits_at", "resets", F.when(F.col("resets").isNotNull(), F.col("resets_at")).alias("resets_at"))
+    both = {"_last": (F.col("credits").isNotNull(), F.col("credits")), "_told": (F.col("told"), F.col("resets"))}
+    out = last_records(observed, keys, ARRIVAL, "at", both).withColumn("resets", F.col("_told._what"))
+    return out.select(*keys, F.col("_last._what").alias("credits"), F.col("_most").alias("credits_at"), "resets", F.when(F.col("resets").isNotNull(), F.col("_told._stamp")).alias("resets_at"))
 
 
 def balance_series(observed: DataFrame, senders: Senders, least: float = 1e-6) -> DataFrame:

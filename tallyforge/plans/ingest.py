@@ -125,7 +125,9 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         key("host", quoted(F.concat(F.lit("h"), t(k % 40)))), key("os_user", quoted(t(k % 3)), k % 3 != 0), key("fqdn", quoted(t(k))), key("machine_id", quoted(t(k % 7)), k % 4 == 1), key("diagnostics", obj(key("k", t(k))), k % 6 == 0),
         key("generated_at", t(ms)), key("accounts", F.concat(F.lit("["), account, F.lit("]"))), key("sessions", F.concat(F.lit("["), session, F.lit("]"))),
     )
-    text = table(spark, sf_dir, "orders").select(F.lpad(t(k), 12, "0").alias("file_path"), F.from_json(batch, inbox.BATCH).alias("b"))
+    # A small file, but much work for each row, so rows are dealt over the tasks.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    text = orders.select(F.lpad(t(k), 12, "0").alias("file_path"), F.from_json(batch, inbox.BATCH).alias("b"))
     return text.select("b.*", "file_path", F.col("b.host").alias("node"))
 
 

@@ -97,14 +97,20 @@ def changed_files(listing: DataFrame, done: DataFrame) -> DataFrame:
     return listing.filter(F.col("size") > 0).join(done, ["path", "size", "mtime"], "left_anti")
 
 
+def _each(batches: DataFrame, part: str, *columns: str) -> DataFrame:
+    """columns, pos and the fields of each record of an array. An inner posexplode would have the array tested for null and for size before it, and
+    each test parses a batch that is text once more; so the batches without records are taken away behind it."""
+    return batches.select(*columns, F.posexplode_outer(part).alias("pos", "_x")).filter(F.col("pos").isNotNull()).select(*columns, "pos", "_x.*")
+
+
 def raw_turns(batches: DataFrame) -> DataFrame:
     """(file_path, node, pos, usage fields): a row per usage record, in arrival order by (file_path, pos)."""
-    return batches.select("file_path", "node", F.posexplode("usage").alias("pos", "u")).select("file_path", "node", "pos", "u.*")
+    return _each(batches, "usage", "file_path", "node")
 
 
 def account_observations(batches: DataFrame) -> DataFrame:
-    return batches.select("file_path", "node", "generated_at", F.posexplode("accounts").alias("pos", "a")).select("file_path", "node", "generated_at", "pos", "a.*").filter(F.col("email").isNotNull())
+    return _each(batches, "accounts", "file_path", "node", "generated_at").filter(F.col("email").isNotNull())
 
 
 def session_observations(batches: DataFrame) -> DataFrame:
-    return batches.select("file_path", "node", "generated_at", F.posexplode("sessions").alias("pos", "s")).select("file_path", "node", "generated_at", "pos", "s.*").filter(F.col("session_id").isNotNull())
+    return _each(batches, "sessions", "file_path", "node", "generated_at").filter(F.col("session_id").isNotNull())

@@ -206,3 +206,15 @@ def test_credits_are_carried_forward(spark, tmp_path):
             assert got["a"] == want
     series = ingest.balance_series(observed, senders).collect()
     assert sorted((r.email, r.at, r.balance) for r in series) == [("a", 10, 5.0), ("a", 15, 9.0), ("a", 20, 5.0), ("a", 30, 2.0)]
+
+
+def test_batches_are_parsed_once_and_credits_cut_once(spark):
+    rows = [("f1", '{"host":"h","generated_at":1,"accounts":[{"email":"a","credits":{"observed_at":5,"balance":1,"limit_resets":{"n":1}}},null,{"email":"a","credits":{"observed_at":4,"limit_resets":null}}]}'), ("f2", '{"host":"h","accounts":[]}'), ("f3", '{"host":"h"}')]
+    text = spark.createDataFrame(rows, "file_path string, body string").repartition(2)
+    batches = text.select("file_path", F.from_json("body", inbox.BATCH).alias("b")).select("file_path", "b.*", F.col("b.host").alias("node"))
+    seen = inbox.account_observations(batches)
+    assert seen.select("file_path", "pos", "email")._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert sorted((r.file_path, r.pos, r.email) for r in seen.collect()) == [("f1", 0, "a"), ("f1", 2, "a")]
+    before = len(tables_stored())
+    out = ingest.folded_credits(ingest.credit_observations(seen, ingest.Senders())).collect()
+    assert [(r.credits_at, r.resets, r.resets_at) for r in out] == [(5, '{"n":1}', 5)] and len(tables_stored()) - before == 2
