@@ -130,9 +130,11 @@ def patched(rows: DataFrame, overrides: DataFrame, uid: str, fields: list[str],
 
 def distinct_lines(lines: Column) -> Column:
     """Lines without those whose text, letters and digits only, is within an accepted one or has an accepted one within it."""
-    plain = lambda x: F.regexp_replace(x, r"(?U)\W", "")
-    clash = lambda acc, x: F.exists(acc, lambda y: F.contains(plain(y), plain(x)) | F.contains(plain(x), plain(y)))
-    return F.aggregate(lines, F.array().cast("array<string>"), lambda acc, x: F.when((plain(x) == "") | clash(acc, x), acc).otherwise(F.array_append(acc, x)))
+    # Each line is made plain once, not for every comparison; a line whose plain text came before goes whatever became of that one.
+    each = F.filter(F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_replace(x, r"(?U)\W", "").alias("plain"))), lambda x: x["plain"] != "")
+    clash = lambda acc, x: F.exists(acc, lambda y: F.contains(y["plain"], x["plain"]) | F.contains(x["plain"], y["plain"]))
+    kept = F.aggregate(each, F.array().cast("array<struct<line:string,plain:string>>"), lambda acc, x: F.when(clash(acc, x), acc).otherwise(F.array_append(acc, x)))
+    return F.transform(kept, lambda x: x["line"])
 
 
 def sources_with_last_good(fresh: DataFrame, report: DataFrame, last_good: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:

@@ -360,3 +360,10 @@ def test_known_tokens_are_worked_out_once(spark):
     out = spark.range(1).select(X.unknown_tokens(text, r"[A-Z]{2,3}\d{2,4}", "server", X.entities(text, r"(AB\d+)"), "^ISO", r"no\.$", 2).alias("t"))
     assert [r.token for r in out.first().t] == ["ZX10", "ZX11"]
     assert plan_of(out).count("regexp_extract_all(") == 2
+
+
+def test_lines_are_made_plain_once(spark):
+    own = F.array(F.lit("a b"), F.lit("!"), F.lit("a-b"), F.concat(F.lit("c "), F.col("id").cast("string")), F.lit("ab c"), F.lit("d"))
+    out = spark.range(1).select(board.distinct_lines(own).alias("x"))
+    assert out.first().x == ["a b", "c 0", "d"]
+    assert plan_of(out).count("regexp_replace(") == 1
