@@ -141,7 +141,8 @@ def sources_with_last_good(fresh: DataFrame, report: DataFrame, last_good: DataF
     """(rows, report): where a source failed, its last good rows, as stale, up to KEEP_STALE days old.
 
     fresh: (source, ...); report: (source, error, scanned), error empty if there was none; last_good: (source, saved_at, ...). A source whose list
-    was read but had nothing to keep has not failed. The report gets ok, stale, count and collected_at.
+    was read but had nothing to keep has not failed. The report gets ok, stale, count and collected_at. It has one row for each source, so it is
+    sent to the rows: joined by their few sources, they would all meet in as many tasks.
     """
     count = fresh.groupBy("source").agg(F.count("*").alias("_n"))
     state = report.join(count, "source", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
@@ -150,14 +151,14 @@ def sources_with_last_good(fresh: DataFrame, report: DataFrame, last_good: DataF
     old = recent.groupBy("source").agg(F.count("*").alias("_old"), F.max("saved_at").alias("_saved"))
     state = state.withColumn("ok", ok).join(old, "source", "left").withColumn("stale", ~F.col("ok") & F.col("_old").isNotNull())
     out = state.withColumn("count", F.when(F.col("ok"), F.col("_n")).otherwise(F.coalesce("_old", F.lit(0)))).withColumn("collected_at", F.when(F.col("stale"), F.col("_saved")).otherwise(""))
-    good = fresh.join(state.filter("ok").select("source"), "source", "left_semi").withColumn("stale", F.lit(False)).withColumn("stale_since", F.lit(""))
-    kept = recent.join(state.filter("stale").select("source"), "source", "left_semi").withColumn("stale", F.lit(True)).withColumnRenamed("saved_at", "stale_since")
+    good = fresh.join(F.broadcast(state.filter("ok").select("source")), "source", "left_semi").withColumn("stale", F.lit(False)).withColumn("stale_since", F.lit(""))
+    kept = recent.join(F.broadcast(state.filter("stale").select("source")), "source", "left_semi").withColumn("stale", F.lit(True)).withColumnRenamed("saved_at", "stale_since")
     return good.unionByName(kept, allowMissingColumns=True), out.drop("_n", "_old", "_saved")
 
 
 def saved_last_good(last_good: DataFrame, rows: DataFrame, report: DataFrame, saved_at: str) -> DataFrame:
     """last_good after a run: the rows of the sources that did not fail in place of their older ones."""
-    ok = report.filter("ok").select("source")
+    ok = F.broadcast(report.filter("ok").select("source"))
     new = rows.filter(~F.col("stale")).drop("stale", "stale_since").withColumn("saved_at", F.lit(saved_at))
     return last_good.join(ok, "source", "left_anti").unionByName(new.join(ok, "source", "left_semi"), allowMissingColumns=True)
 

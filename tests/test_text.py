@@ -367,3 +367,19 @@ def test_lines_are_made_plain_once(spark):
     out = spark.range(1).select(board.distinct_lines(own).alias("x"))
     assert out.first().x == ["a b", "c 0", "d"]
     assert plan_of(out).count("regexp_replace(") == 1
+
+
+def test_rows_of_failed_sources_are_not_dealt_by_source(spark):
+    held = spark.range(40).select(F.concat(F.lit("s"), (F.col("id") % 2).cast("string")).alias("source"), F.lit("1998-06-01 09:00").alias("saved_at"), "id")
+    report = spark.createDataFrame([("s0", "", 1), ("s1", "timed out", 0)], "source string, error string, scanned int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, told = board.sources_with_last_good(held.filter("source = 's0'").drop("saved_at"), report, held.filter("source = 's1'"), "1998-06-15")
+        kept = board.saved_last_good(held, rows, told, "1998-06-15")
+        assert sorted((r.source, r.stale) for r in rows.collect()) == [("s0", False)] * 20 + [("s1", True)] * 20 and kept.count() == 40
+        for df, kinds in ((rows, ("LeftSemi",)), (kept, ("LeftSemi", "LeftAnti"))):
+            lines = df._jdf.queryExecution().sparkPlan().toString().split("\n")
+            assert not [x for x in lines if "SortMergeJoin" in x and any(k in x for k in kinds)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
