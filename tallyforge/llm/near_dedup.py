@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ SLICE = 512
 NIBBLE, RING, BUDGET = 4, 5, 72
 #: Longs of a set's bit map, behind its ring: a shingle sets one of their bits.
 MAP = 16
+#: Members of a key up to which a join makes its pairs. In a key with more they are compared in blocks of ROOM hashes a side (4 MB).
+FEW, ROOM = 64, 1 << 19
 #: A null id comes after all others.
 LAST = 2**63 - 1
 #: Shingles whose hash bits are counted at once.
@@ -184,8 +187,10 @@ _TIMES |= np.uint64(1)
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least hash of a set in each of PARTS * MINIMA orders."""
     least = np.full(PARTS * MINIMA, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[i : i + 4096] * _TIMES + _PLUS).min(1), out=least)
+    for i in range(0, len(hashes), 1024):
+        each = hashes[i : i + 1024] * _TIMES
+        each += _PLUS  # in place: half the time
+        np.minimum(least, each.min(1), out=least)
     return least
 
 
@@ -296,13 +301,65 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return stored(pairs.filter(both / (F.size("_a") + F.size("_b") - both) >= least).select("a", "b"))
 
 
+def _first_links(rows: pa.Table, least: float) -> pa.Table:
+    """(a, b): the links between the two sides of a block, rows (own, fp, at, n, bits, root, main, hashes), by the tests of a join's pairs and then
+    by the sets themselves. Of a set's links to one component the first is given: the others would join the same two components."""
+
+    def side(own: bool) -> tuple:
+        t = rows.filter(pc.equal(rows.column("own"), own))
+        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, RING + MAP)  # bits of signed numbers are those of their sizes
+        sets = t.column("hashes").combine_chunks()
+        begin = np.append(0, np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False)))
+        return *(t.column(c).to_numpy() for c in ("fp", "n", "root", "main")), np.ascontiguousarray(bits[:, :RING]).view(np.uint16), bits[:, RING:], sets.flatten().to_numpy(), begin
+
+    *left, own_hashes, own_begin = side(True)
+    fp, n, root, main, ring, bitmap, hashes, begin = side(False)
+    known, number = np.unique(np.concatenate((own_hashes, hashes)), return_inverse=True)
+    own_number, number = number[: len(own_hashes)], number[len(own_hashes) :]
+    at, mark, out = rows.column("at")[0].as_py(), np.zeros(len(known), bool), []
+    for i, (a, size, own_root, _, own_ring, own_map) in enumerate(zip(*left, strict=True)):
+        differing = np.bitwise_count(ring ^ own_ring)
+        own, other = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (own_map & ~bitmap, bitmap & ~own_map))
+        shared = np.minimum(size - own, n - other)
+        near = (np.minimum(n, size) / np.maximum(n, size) >= least) & (differing.sum(1, dtype=np.int64) <= BUDGET) & (shared / (n + size - shared) >= least)
+        near = np.flatnonzero(near & (root != own_root) & ((root == main) | (a < fp)))
+        # As in in_chain.
+        ahead = np.cumsum(np.concatenate((np.zeros((len(near), 1)), differing[near] - BUDGET / PARTS), 1), 1)
+        near = near[(ahead[:, at + 1 :].max(1) <= ahead[:, at] + 1e-9) & (ahead[:, : at + 1].max(1) + ahead[:, -1] <= ahead[:, at] + 1e-9)]
+        mine = own_number[own_begin[i] : own_begin[i + 1]]
+        mark[mine] = True
+        both = np.fromiter((np.count_nonzero(mark[number[begin[j] : begin[j + 1]]]) for j in near), np.int64, len(near))
+        mark[mine] = False
+        linked = near[both / (size + n[near] - both) >= least]
+        out += [(min(a, b), max(a, b)) for b in fp[linked[np.unique(root[linked], return_index=True)[1]]].tolist()]
+    return pa.table({name: pa.array([x[k] for x in out], pa.int64()) for k, name in enumerate("ab")})
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b), stored, between the members of keys with many of them, of rows (key, fp, at, root, _main, _a, _m, _left, _n) and sets (fp, hashes).
+
+    Each block of members outside a key's main component meets each block of all its members in a task of its own, which holds no more than
+    their sets; no pair becomes a row before it is a link.
+    """
+    blocks = lambda count: F.ceil(F.col(count) * F.col("_n") / ROOM).cast("int")
+    rows = rows.join(sets, "fp").withColumns({"_lefts": blocks("_left"), "_rights": blocks("_m")})
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    dealt = lambda count: F.pmod(F.xxhash64("fp"), F.col(count)).cast("int")
+    columns = ["fp", "at", "_a.n", "_a.bits", "root", F.col("_main").alias("main"), "hashes"]
+    left = rows.filter("root <> _main").select("key", dealt("_lefts").alias("_l"), every("_rights").alias("_r"), F.lit(True).alias("own"), *columns)
+    right = rows.select("key", every("_lefts").alias("_l"), dealt("_rights").alias("_r"), F.lit(False).alias("own"), *columns)
+    found = left.unionByName(right).groupBy("key", "_l", "_r").applyInArrow(lambda block: _first_links(block, least), "a long, b long")
+    return stored(found.distinct())
+
+
 def similar_links(docs: DataFrame, distinct: DataFrame, shingle: int, least: float) -> DataFrame:
     """Links (a, b) between the sets of distinct (fp, rank, n, keys, bits) that are alike by `least`; with them, the components are
     those of all candidates, sets that share a key.
 
     In a group of m copies not all m * m pairs are made: first each with the first of every key, then with the one that has most
-    links so far, and last those of a key that are in different components still and whose rings allow the similarity. Each pair meets by a
-    part that both share, the first segment of a chain, and is compared only if the chain holds over the whole ring.
+    links so far, and last those of a key that are in different components still and whose rings allow the similarity: by a join where a key has
+    few members, in blocks where it has many. Each pair meets by a part that both share, the first segment of a chain, and is compared only if the
+    chain holds over the whole ring.
     """
     keys = stored(distinct.select("fp", F.col("rank._row").alias("_row"), F.posexplode("keys").alias("at", "key")))
     often = frequent(keys, "key", keys.count())
@@ -313,30 +370,36 @@ def similar_links(docs: DataFrame, distinct: DataFrame, shingle: int, least: flo
     members = stored(look_up(keys, firsts, "key", often).filter("other is not null").join(maps("fp", "_a"), "fp"))
     wanted = stored(members.select("fp", F.col("_row").alias(ROW)).distinct())
 
-    def made(pairs: DataFrame) -> DataFrame:
-        """The sets of pairs. Most sets are in none; the rows of those that are, two numbers each, go to the tasks by their size, or Spark joins by a shuffle."""
-        rows = stored(wanted.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"))
+    def made(fps: DataFrame) -> DataFrame:
+        """The sets of fps. Most sets are not asked for; the rows of those that are, two numbers each, go to the tasks by their size, or Spark joins by a shuffle."""
+        rows = stored(wanted.join(fps.distinct(), "fp", "left_semi"))
         return stored(_sets(docs.join(rows, ROW).select("fp", "_text"), shingle))
+
+    either = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("fp"))
     tested = _pairs(members, "other", "_a", "_b", least)
-    found = _confirmed(tested, made(tested), least)
+    found = _confirmed(tested, made(either(tested)), least)
 
     members = members.select("fp", "at", "key", "_a")
-    degree = found.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("_d"))
+    degree = either(found).groupBy("fp").agg(F.count("*").alias("_d"))
     best = stored(members.join(stored(degree), "fp").groupBy("key").agg(F.max(F.struct("_d", "fp", "_a")).alias("_best")))
     near = look_up(members, best, "key", often).filter("_best is not null")
     more = stored(_pairs(near.withColumn("other", F.col("_best.fp")), "other", "_a", "_best._a", least).join(tested, ["a", "b"], "left_anti"))
-    tested, found = stored(tested.union(more)), stored(found.union(_confirmed(more, made(more), least)))
+    tested, found = stored(tested.union(more)), stored(found.union(_confirmed(more, made(either(more)), least)))
 
     roots = stored(components(distinct.select("fp", "rank"), found).select("fp", F.col("root._row").alias("root")))
     members = stored(members.join(roots, "fp"))
-    main = members.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("_main"), F.count("*").alias("_roots")).filter("_roots > 1")
-    open_ = stored(look_up(members, main.drop("_roots"), "key", often).filter("_main is not null"))
-    left = open_.filter("root <> _main").select("key", "at", "fp", "root", "_a")
-    right = open_.select("key", F.col("fp").alias("other"), F.col("root").alias("_root"), "_main", F.col("_a").alias("_b"))
+    each = members.groupBy("key", "root").agg(F.count("*").alias("count"), F.max("_a.n").alias("_n")).groupBy("key")
+    main = each.agg(F.max_by("root", "count").alias("_main"), F.sum("count").alias("_m"), (F.sum("count") - F.max("count")).alias("_left"), F.max("_n").alias("_n")).filter("_left > 0")
+    open_ = stored(look_up(members, main, "key", often).filter("_main is not null"))
+    many = open_.filter(F.col("_m") > FEW)
+    found = stored(found.union(_block_links(many, made(many.select("fp")), least)))
+    few = open_.filter(F.col("_m") <= FEW)
+    left = few.filter("root <> _main").select("key", "at", "fp", "root", "_a")
+    right = few.select("key", F.col("fp").alias("other"), F.col("root").alias("_root"), "_main", F.col("_a").alias("_b"))
     apart = (F.col("root") != F.col("_root")) & ((F.col("_root") == F.col("_main")) | (F.col("fp") < F.col("other"))) & may_be_alike("_a", "_b", least)
     rest = in_chain(left.join(right, (left["key"] == right["key"]) & apart), "_a", "_b", "at")
     once = stored(rest.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-    return stored(found.union(_confirmed(once, made(once), least)))
+    return stored(found.union(_confirmed(once, made(either(once)), least)))
 
 
 def similar_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, row_col: str = ROW) -> DataFrame:

@@ -100,3 +100,20 @@ def test_every_similar_pair_of_a_larger_table_meets(spark):
         starts = [i for i, (p, q) in enumerate(zip(parts_of(x), parts_of(y), strict=True)) if p == q]
         met += any(all(sum(apart[(i + j) % PARTS] for j in range(n)) <= n * BUDGET / PARTS for n in range(1, PARTS + 1)) for i in starts)
     assert met >= 0.99 * len(pairs)
+
+
+def test_pairs_of_a_large_key_are_no_rows(spark, sf_dir, monkeypatch):
+    """Edits of one text, most of them alike by less than 0.8: their pairs, which grow with the square of the group, are compared within blocks."""
+    from tallyforge.llm import near_dedup
+
+    r, asked, confirmed = random.Random(6), [], near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, sets, least: asked.append(pairs.count()) or confirmed(pairs, sets, least))
+    base, rows = [f"b{i}" for i in range(300)], []
+    for i in range(240):
+        words = list(base)
+        for k in r.sample(range(300), r.choice((3, 4, 4, 4, 5))):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(near_dedup, "ROOM", 20_000, raising=False)  # several blocks a side
+    assert stage(spark, rows, sf_dir) == kept(rows)
+    assert sum(asked) < 20 * len(rows)
