@@ -26,7 +26,7 @@ _made: dict[str, SparkSession] = {}
 _names: dict[str, str] = {}
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df, written once as a table in the shared folder and read back.
 
     It cuts the lineage, so that a lost executor costs no more than one step, and keeps what is read several times
@@ -35,7 +35,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tallyforge-{uuid.uuid4().hex}"
     _made[path] = spark
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
